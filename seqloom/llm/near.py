@@ -17,7 +17,7 @@ one component, or was compared; no member and no partner is capped.
 Scale. Signatures are made in the scan; only representatives of classes are
 banded. Buckets are counted with map-side combination, members join their leader
 (Spark splits skewed joins), and blocks are salted. The chance to miss a pair at
-similarity 0.8 is (1 - 0.8**6)**32, below 7 in 100,000, and less above it.
+similarity 0.8 is (1 - 0.8**7)**40, below 9 in 100,000, and less above it.
 
 Defined cases: a text of fewer than five words is one shingle of all its words;
 null texts and texts without words are alone; repeated rows are copies; other
@@ -40,7 +40,7 @@ from ._shared import KEY, Powers, Shelf, binary, keyed, mix, rolling, word_hashe
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 6, 32
+ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
 #: Pairs whose signatures agree less than this are not verified: over four standard deviations below the threshold.
 LIKELY = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
@@ -137,7 +137,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         while start < len(keys):
             end, size, sets, own, digests = start, 0, [], [], []
-            while end < len(keys) and size < 1 << 18 and end - start < 512:
+            while end < len(keys) and size < 1 << 15 and end - start < 256:
                 ids, counts, words = shingles(texts[end], powers)
                 if len(ids):
                     sets.append((ids, counts))
