@@ -136,8 +136,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The rows of which the mix takes copies, with the columns given, how many copies, and the words they hold."""
+    """The rows of which the mix takes copies, with the columns given, how many copies, and the words they hold.
+
+    Columns named copies or taken are replaced.
+    """
     shelf = Shelf(docs.sparkSession, "mixing")
     rows = keyed(docs, "mixing")
-    counted = shelf.put(copies(rows, shelf, weights, cap).filter("copies > 0").select(F.col(KEY).alias("key"), "copies", (F.col("copies") * F.col("size")).alias("taken")), "copies", free=True)
-    return rows.join(counted.hint("shuffle_hash"), rows[KEY] == counted["key"]).select(*docs.columns, "copies", "taken")
+    counted = shelf.put(copies(rows.select(KEY, F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), shelf, weights, cap).filter("copies > 0").select(F.col(KEY).alias("_key"), "copies", (F.col("copies") * F.col("size")).alias("taken")), "copies", free=True)
+    rows = rows.drop("copies", "taken")
+    return rows.join(counted.hint("shuffle_hash"), rows[KEY] == counted["_key"]).drop(KEY, "_key")

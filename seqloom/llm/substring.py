@@ -206,10 +206,11 @@ def rows_with_repeats_removed(docs: DataFrame, width: int = 35) -> DataFrame:
     """The rows and columns given, with shortened texts; rows of which no word is left go."""
     shelf = Shelf(docs.sparkSession, "substring")
     rows = keyed(docs, "substring")
-    starts = repeated_starts(rows, shelf, width)
-    both = rows.join(starts.hint("shuffle_hash"), rows[KEY] == starts["key"], "left")
+    # The rows' own columns are packed first: they may have any names.
     rest = [c for c in docs.columns if c != "text"]
-    packed = both.select(F.struct(*rest).alias("row"), "text", "at") if rest else both.select("text", "at")
+    packed = rows.select(KEY, *([F.struct(*rest).alias("row")] if rest else []), "text")
+    starts = repeated_starts(rows.select(KEY, "text"), shelf, width)
+    packed = packed.join(starts.hint("shuffle_hash"), packed[KEY] == starts["key"], "left").drop(KEY, "key")
     schema = (f"row {packed.schema['row'].dataType.simpleString()}, " if rest else "") + "n_words long, n_removed long, kept_sha256 string, kept_text binary"
     out = packed.mapInArrow(_cut(width, True), schema).filter("NOT (n_removed > 0 AND n_removed = n_words)")
     return out.select(*[(F.expr("cast(kept_text AS string)") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
