@@ -2,14 +2,945 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import motif as mo
+from ..functions import sequence as sq
+from ..functions.hashing import hash_split, hash_unit, row_hash
+from ..operators import controls, graph, intervals, metrics, weights
+from ..sources import readers
+from .fixtures import SEQS, WINDOWS, interval_sql, merged_sql, table, unit
+from .fixtures import intervals as ivs
+from .fixtures import seqs, windows
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+C = F.col
+#: The motif that the queries scan for: CUUUUCU with some play.
+MOTIF = mo.Motif(tuple((0.05, 0.85, 0.05, 0.05) if b == "C" else (0.05, 0.15, 0.05, 0.75) for b in "CUUUUCU"))
+HIT = 3.0
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def _6(c):
+    return F.round(c, 6)
+
+
+def _n(c="*"):
+    return F.count(c).cast("long")
+
+
+# Scans, filters and predicates
+
+
+@query("SELECT lang, count(*) AS lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY lang")
+def src_text(s, d):
+    lines = table(s, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("line != ''").groupBy("lang").agg(_n().alias("lines"))
+
+
+@query("SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS quantity, l_shipmode FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem) WHERE l_returnflag LIKE 'R%' AND l_quantity >= 45")
+def scan_filter_cast(s, d):
+    return table(s, d, "lineitem").filter(C("l_returnflag").startswith("R") & (C("l_quantity") >= 45)).select("l_orderkey", C("l_quantity").cast("long").alias("quantity"), C("l_linestatus").alias("l_shipmode"))
+
+
+@query("SELECT event_id, nullif(regexp_extract(attributes, '(?:^|[;\\s])kind\\s+\"([^\"]*)\"', 1), '') AS kind, nullif(regexp_extract(attributes, '(?:^|[;\\s])who\\s+\"([^\"]*)\"', 1), '') AS who FROM (SELECT event_id, 'kind \"' || event_type || '\"; who \"' || CAST(user_id AS VARCHAR) || '\";' AS attributes FROM events)")
+def parse_attrs(s, d):
+    made = table(s, d, "events").select("event_id", F.format_string('kind "%s"; who "%s";', "event_type", C("user_id").cast("string")).alias("attributes"))
+    return made.select("event_id", readers.attribute(C("attributes"), "kind").alias("kind"), readers.attribute(C("attributes"), "who").alias("who"))
+
+
+@query(f"WITH {SEQS} SELECT doc_id, CASE WHEN doc_id % 250 + 20 <= 201 THEN substr(seq, CAST(doc_id % 250 + 1 AS INT), 20) END AS part FROM seqs")
+def seq_slice(s, d):
+    return seqs(s, d).select("doc_id", sq.slice_checked(C("seq"), C("doc_id") % 250, C("doc_id") % 250 + 20).alias("part"))
+
+
+@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01'")
+def scan_parquet(s, d):
+    return table(s, d, "lineitem").filter(C("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_extendedprice")
+
+
+@query("SELECT 'documents' AS source, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS size FROM documents UNION ALL SELECT 'pages', count(*), CAST(sum(length(html)) AS BIGINT) FROM pages UNION ALL SELECT 'benchmark', count(*), CAST(sum(length(text)) AS BIGINT) FROM benchmark")
+def manifest_summary(s, d):
+    one = lambda n, c: table(s, d, n).agg(_n().alias("n_rows"), F.sum(c).cast("long").alias("size")).select(F.lit(n).alias("source"), "n_rows", "size")
+    return one("documents", C("n_chars")).unionByName(one("pages", F.length("html"))).unionByName(one("benchmark", F.length("text")))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, count(DISTINCT o_orderkey) = count(*) AS keys_unique, bool_and(o_totalprice > 0) AS prices_positive, count(*) FILTER (o_custkey IS NULL) AS nulls FROM orders")
+def validate_schema(s, d):
+    keys = F.countDistinct("o_orderkey")
+    return table(s, d, "orders").agg(_n().alias("n_rows"), keys.alias("n_keys"), (keys == F.count("*")).alias("keys_unique"), F.bool_and(C("o_totalprice") > 0).alias("prices_positive"), F.count_if(C("o_custkey").isNull()).alias("nulls"))
+
+
+@query("SELECT c_custkey, round(sum(o_totalprice), 6) AS spent FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey HAVING sum(o_totalprice) >= 1000000")
+def filter_threshold(s, d):
+    spent = table(s, d, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
+    return spent.join(table(s, d, "customer"), "c_custkey", "left_semi").filter("spent >= 1000000").select("c_custkey", _6("spent").alias("spent"))
+
+
+@query("SELECT doc_id, NOT regexp_matches(seq, '[^ACGU]') AS canonical FROM (SELECT doc_id, substr(upper(text), 1, 3) AS seq FROM documents)")
+def is_canonical(s, d):
+    return table(s, d, "documents").select("doc_id", sq.is_canonical(F.substring(F.upper("text"), 1, 3)).alias("canonical"))
+
+
+_REASONS = "CASE WHEN st - 30 < 0 THEN 'before start' WHEN en + 30 > 2500 THEN 'past end' WHEN en - st < 3 THEN 'too short' END"
+
+
+def _reasons(df):
+    reason = F.when(C("st") - 30 < 0, "before start").when(C("en") + 30 > 2500, "past end").when(C("en") - C("st") < 3, "too short")
+    return df.withColumn("reason", reason)
+
+
+@query(f"WITH {interval_sql('iv')} SELECT id, {_REASONS} AS reason FROM iv WHERE {_REASONS} IS NOT NULL")
+def exclusion_reasons(s, d):
+    return _reasons(ivs(s, d)).filter("reason IS NOT NULL").select("id", "reason")
+
+
+@query(f"WITH {interval_sql('iv')} SELECT reason, count(*) AS n FROM (SELECT {_REASONS} AS reason FROM iv) WHERE reason IS NOT NULL GROUP BY reason")
+def exclusion_counts(s, d):
+    return exclusion_reasons(s, d).groupBy("reason").agg(_n().alias("n"))
+
+
+@query(f"WITH {interval_sql('iv')} SELECT id, (st + en) // 2 AS mid, (st + en) // 2 - 100 AS wstart, (st + en) // 2 + 101 AS wend FROM iv")
+def window_anchor(s, d):
+    mid = F.floor((C("st") + C("en")) / 2)
+    return ivs(s, d).select("id", mid.alias("mid"), (mid - 100).alias("wstart"), (mid + 101).alias("wend"))
+
+
+@query(f"WITH {WINDOWS} SELECT window_id, label FROM windows WHERE split = 'test'")
+def split_filter(s, d):
+    return windows(s, d).filter("split = 'test'").select("window_id", "label")
+
+
+# Joins
+
+
+@query("SELECT o_orderkey, c_name, coalesce(c_acctbal, 0) AS balance FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+def equi_join_left(s, d):
+    some = table(s, d, "customer").filter("c_custkey % 3 != 0")
+    return table(s, d, "orders").join(some, C("o_custkey") == C("c_custkey"), "left").select("o_orderkey", "c_name", F.coalesce("c_acctbal", F.lit(0.0)).alias("balance"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (c_custkey IS NULL) AS unmapped FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+def join_unmapped_count(s, d):
+    some = table(s, d, "customer").filter("c_custkey % 3 != 0")
+    return table(s, d, "orders").join(some, C("o_custkey") == C("c_custkey"), "left").agg(_n().alias("n"), F.count_if(C("c_custkey").isNull()).alias("unmapped"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_join(s, d):
+    return table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join(s, d):
+    return table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, quality, n_chars, (SELECT count(*) FROM labels) = (SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS complete FROM labels JOIN documents USING (doc_id)")
+def keyed_align(s, d):
+    labels = table(s, d, "labels")
+    joined = labels.join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    counts = labels.agg(_n().alias("a")).join(joined.agg(_n().alias("b"))).select((C("a") == C("b")).alias("complete"))
+    return joined.join(F.broadcast(counts)).select("doc_id", "quality", "n_chars", "complete")
+
+
+def _right(df):
+    return df.select(C("id").alias("r_id"), C("chrom").alias("r_chrom"), C("st").alias("r_st"), C("en").alias("r_en"))
+
+
+@query(f"WITH {interval_sql('a', 'A')}, {interval_sql('r', 'R')} SELECT id FROM a WHERE EXISTS (SELECT 1 FROM r WHERE a.chrom = r.chrom AND a.st < r.en AND a.en > r.st)")
+def interval_hits(s, d):
+    return intervals.hits(ivs(s, d, "A"), _right(ivs(s, d, "R"))).select("id")
+
+
+_SPANS = "spans AS (SELECT chrom AS span, chrom, min(st) AS st, max(en) AS en FROM n GROUP BY chrom)"
+
+
+@query(f"""WITH {interval_sql('n', 'N')}, {interval_sql('r', 'R')}, {merged_sql('r', 'm')}, {_SPANS},
+cut AS (SELECT span, spans.chrom, greatest(spans.st, m.st) AS b, least(spans.en, m.en) AS e FROM spans JOIN m ON spans.chrom = m.chrom AND spans.st < m.en AND spans.en > m.st UNION ALL SELECT span, chrom, en, en FROM spans),
+g AS (SELECT cut.span, cut.chrom, coalesce(max(e) OVER (PARTITION BY cut.span ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), spans.st) AS st, b AS en FROM cut JOIN spans ON cut.span = spans.span)
+SELECT span, chrom, st, en FROM g WHERE en > st""")
+def interval_subtract(s, d):
+    spans = ivs(s, d, "N").groupBy(C("chrom").alias("span")).agg(F.min("chrom").alias("chrom"), F.min("st").alias("st"), F.max("en").alias("en"))
+    blocks = intervals.merge(ivs(s, d, "R")).select(C("chrom").alias("r_chrom"), C("st").alias("r_st"), C("en").alias("r_en"))
+    return intervals.subtract(spans, blocks, "span")
+
+
+@query(f"WITH {interval_sql('a', 'A')}, {interval_sql('r', 'R')} SELECT a.id, min(r.id) AS gene FROM a JOIN r ON a.chrom = r.chrom AND a.st < r.en AND a.en > r.st GROUP BY a.id HAVING count(*) = 1")
+def overlap_unique(s, d):
+    found = intervals.overlaps(ivs(s, d, "A"), _right(ivs(s, d, "R")))
+    return found.groupBy("id").agg(F.min("r_id").alias("gene"), F.count("*").alias("n")).filter("n = 1").select("id", "gene")
+
+
+@query(f"WITH {interval_sql('a', 'A')}, {interval_sql('r', 'R')} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM r WHERE a.chrom = r.chrom AND a.st < r.en AND a.en > r.st) THEN 'exonic' ELSE 'intronic' END AS context FROM a")
+def exonic_flag(s, d):
+    a = ivs(s, d, "A")
+    hit = intervals.places_hit(a, _right(ivs(s, d, "R"))).withColumn("hit", F.lit(1))
+    return a.join(hit, ["chrom", "st", "en"], "left").select("id", F.when(C("hit") == 1, "exonic").otherwise("intronic").alias("context"))
+
+
+_BANDS = "bands AS (SELECT doc_id, b, md5(substr(seq, b * 50 + 1, 50)) AS key FROM seqs, (SELECT unnest([0, 1, 2, 3]) AS b))"
+
+
+@query(f"WITH {SEQS}, {_BANDS} SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.b = y.b AND x.key = y.key AND x.doc_id < y.doc_id")
+def lsh_pairs(s, d):
+    bands = seqs(s, d).select("doc_id", F.posexplode(F.array(*[F.md5(F.substring("seq", b * 50 + 1, 50)) for b in range(4)])).alias("b", "key"))
+    many = bands.groupBy("b", "key").agg(F.count("*").alias("n")).filter("n > 1").select("b", "key")
+    kept = bands.join(many, ["b", "key"], "left_semi")
+    other = kept.select("b", "key", C("doc_id").alias("other"))
+    return kept.join(other, ["b", "key"]).filter("doc_id < other").select(C("doc_id").alias("a"), C("other").alias("b")).distinct()
+
+
+@query(f"WITH {WINDOWS} SELECT kind, count(*) AS n FROM (SELECT 'sequence' AS kind, seq FROM windows GROUP BY seq HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'gene', gene FROM windows GROUP BY gene HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'source', source FROM windows GROUP BY source HAVING count(DISTINCT split) > 1) GROUP BY kind")
+def leakage_overlap(s, d):
+    w = windows(s, d)
+    each = w.select("split", F.explode(F.create_map(F.lit("sequence"), C("seq"), F.lit("gene"), C("gene"), F.lit("source"), C("source"))).alias("kind", "value"))
+    return each.groupBy("kind", "value").agg(F.countDistinct("split").alias("n")).filter("n > 1").groupBy("kind").agg(_n().alias("n"))
+
+
+_SEGMENTS = "seg AS (SELECT s_suppkey, size, coalesce(sum(size) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM (SELECT s_suppkey, s_suppkey % 17 + 1 AS size FROM supplier))"
+
+
+def _segments(s, d):
+    order = Window.orderBy("s_suppkey")
+    rows = table(s, d, "supplier").select("s_suppkey", (C("s_suppkey") % 17 + 1).alias("size"))
+    return rows.withColumn("lo", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+@query(f"WITH {_SEGMENTS} SELECT s_suppkey, CAST(lo AS BIGINT) AS lo, CAST(lo + size AS BIGINT) AS hi FROM seg")
+def cumsum(s, d):
+    return _segments(s, d).select("s_suppkey", C("lo").cast("long").alias("lo"), (C("lo") + C("size")).cast("long").alias("hi"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT p_partkey, s_suppkey, CAST(draw - lo AS BIGINT) AS place FROM (SELECT p_partkey, p_partkey * 7 % (SELECT sum(size) FROM seg) AS draw FROM part) JOIN seg ON draw >= lo AND draw < lo + size")
+def cumsum_lookup(s, d):
+    seg = _segments(s, d)
+    total = seg.agg(F.sum("size").alias("total"))
+    draws = table(s, d, "part").join(F.broadcast(total)).select("p_partkey", (C("p_partkey") * 7 % C("total")).alias("draw"))
+    # Segments are at most 17 long: both sides meet in bins of that width.
+    binned = seg.withColumn("bin", F.explode(F.sequence(F.floor(C("lo") / 17), F.floor((C("lo") + C("size") - 1) / 17))))
+    return draws.withColumn("bin", F.floor(C("draw") / 17)).join(binned, "bin").filter("draw >= lo AND draw < lo + size").select("p_partkey", "s_suppkey", (C("draw") - C("lo")).cast("long").alias("place"))
+
+
+@query(f"WITH {WINDOWS} SELECT a.gene, round(a.v - b.v, 6) AS delta FROM (SELECT gene, avg(score) AS v FROM windows WHERE toxic = 0 GROUP BY gene) a JOIN (SELECT gene, avg(gc) AS v FROM windows WHERE label = 1 GROUP BY gene) b ON a.gene = b.gene")
+def paired_delta(s, d):
+    w = windows(s, d)
+    a, b = w.filter("toxic = 0").groupBy("gene").agg(F.avg("score").alias("x")), w.filter("label = 1").groupBy("gene").agg(F.avg("gc").alias("y"))
+    return a.join(b, "gene").select("gene", _6(C("x") - C("y")).alias("delta"))
+
+
+# Aggregations
+
+
+@query("SELECT l_orderkey, round(sum(l_extendedprice), 6) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def group_sum_size(s, d):
+    return table(s, d, "lineitem").groupBy("l_orderkey").agg(_6(F.sum("l_extendedprice")).alias("total"), _n().alias("n"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def value_counts(s, d):
+    return table(s, d, "documents").groupBy("source").agg(_n().alias("n"))
+
+
+@query(f"WITH {WINDOWS} SELECT context, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM windows GROUP BY context")
+def crosstab(s, d):
+    return windows(s, d).groupBy("context").pivot("label", [0, 1]).count().na.fill(0).select("context", C("0").alias("n0"), C("1").alias("n1"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def count_distinct(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+
+
+@query(f"WITH {WINDOWS} SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS prevalence, count(DISTINCT gene) AS genes, round(avg(gc) FILTER (label = 1), 6) AS gc_positive FROM windows GROUP BY split")
+def split_counts(s, d):
+    return windows(s, d).groupBy("split").agg(_n().alias("n"), F.sum("label").alias("positives"), _6(F.avg("label")).alias("prevalence"), F.countDistinct("gene").alias("genes"), _6(F.avg(F.when(C("label") == 1, C("gc")))).alias("gc_positive"))
+
+
+@query(f"WITH {interval_sql('iv')}, {merged_sql('iv', 'm')} SELECT chrom, st, en FROM m")
+def merge_intervals(s, d):
+    return intervals.merge(ivs(s, d))
+
+
+@query(f"WITH {interval_sql('a', 'A')}, {interval_sql('r', 'R')}, u AS (SELECT chrom, greatest(st - 5, 0) AS st, en + 5 AS en FROM (SELECT * FROM a UNION ALL SELECT * FROM r)), {merged_sql('u', 'm')} SELECT chrom, st, en FROM m")
+def blockers(s, d):
+    return intervals.merge(intervals.expand(ivs(s, d, "A").unionByName(ivs(s, d, "R")), 5))
+
+
+@query(f"WITH {WINDOWS} SELECT " + ", ".join([f"round(quantile_cont(gc, {q}), 6) AS gc_{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8))] + [f"round(quantile_cont(tpm, {q}), 6) AS tpm_{i}" for i, q in enumerate(("1.0 / 3", "2.0 / 3"))]) + ", count(*) AS n FROM windows WHERE split = 'train'")
+def train_bins(s, d):
+    return _edges(windows(s, d)).join(windows(s, d).filter("split = 'train'").agg(_n().alias("n")))
+
+
+def _edges(w):
+    g, t = F.percentile("gc", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))), F.percentile("tpm", F.array(F.lit(1 / 3), F.lit(2 / 3)))
+    both = w.filter("split = 'train'").agg(g.alias("g"), t.alias("t"))
+    return both.select(*[_6(C("g")[i]).alias(f"gc_{i}") for i in range(4)], *[_6(C("t")[i]).alias(f"tpm_{i}") for i in range(2)])
+
+
+_ODDS = "[" + ", ".join("MAP {" + ", ".join(f"'{b}': {v!r}" for b, v in zip("ACGU", row)) + "}" for row in MOTIF.log_odds()) + "]"
+_SCAN = f"scan AS (SELECT doc_id, i, {' + '.join(f'coalesce(odds[{j + 1}][substr(seq, CAST(i + {j + 1} AS INT), 1)], 0)' for j in range(len(MOTIF)))} AS v FROM seqs, (SELECT unnest(range(0, {201 - len(MOTIF) + 1})) AS i), (SELECT {_ODDS} AS odds))"
+
+
+@query(f"WITH {SEQS}, {_SCAN} SELECT round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.9), 6) AS q90, round(quantile_cont(v, 0.99), 6) AS threshold, round(quantile_cont(v, 0.999), 6) AS q999, count(*) AS positions FROM scan")
+def null_threshold(s, d):
+    v = seqs(s, d).select(F.explode(mo.scan(C("seq"), MOTIF)).alias("v"))
+    return v.agg(F.percentile("v", F.array(*map(F.lit, (0.5, 0.9, 0.99, 0.999)))).alias("q"), _n().alias("positions")).select(*[_6(C("q")[i]).alias(n) for i, n in enumerate(("q50", "q90", "threshold", "q999"))], "positions")
+
+
+_PREF = "CASE WHEN score - other < -1e-6 THEN 1.0 WHEN abs(score - other) <= 1e-6 THEN 0.5 ELSE 0.0 END"
+_PAIRED = WINDOWS + f", pref AS (SELECT gene, doc_id, score, {unit(chr(39) + 'o' + chr(39) + ' || CAST(doc_id AS VARCHAR)')} AS other FROM windows)"
+
+
+def _preferences(w):
+    other = hash_unit(F.concat(F.lit("o"), C("doc_id").cast("string")))
+    gap = C("score") - other
+    return w.select("gene", "doc_id", F.when(gap < -1e-6, 1.0).when(F.abs(gap) <= 1e-6, 0.5).otherwise(0.0).alias("pref"), "score", other.alias("other"))
+
+
+@query(f"WITH {_PAIRED} SELECT doc_id, {_PREF} AS pref FROM pref")
+def preference(s, d):
+    return _preferences(windows(s, d)).select("doc_id", "pref")
+
+
+@query(f"WITH {_PAIRED} SELECT round(avg(v), 6) AS mpa, count(*) AS components FROM (SELECT gene, avg({_PREF}) AS v FROM pref GROUP BY gene)")
+def mpa_by_component(s, d):
+    return _preferences(windows(s, d)).groupBy("gene").agg(F.avg("pref").alias("v")).agg(_6(F.avg("v")).alias("mpa"), _n().alias("components"))
+
+
+@query(f"WITH {WINDOWS} SELECT count(*) FILTER (v > 0) AS agree, count(*) AS n, round(median(v), 6) AS mid, round(min(v), 6) AS least, round(max(v), 6) AS most FROM (SELECT source, avg(score - gc) AS v FROM windows GROUP BY source)")
+def seed_agreement(s, d):
+    v = windows(s, d).groupBy("source").agg(F.avg(C("score") - C("gc")).alias("v"))
+    return v.agg(F.count_if(C("v") > 0).alias("agree"), _n().alias("n"), _6(F.median("v")).alias("mid"), _6(F.min("v")).alias("least"), _6(F.max("v")).alias("most"))
+
+
+@query(f"WITH {WINDOWS} SELECT bool_and(n >= 20) AS all_large, bool_or(n < 20) AS any_small, bool_and(p > 0 AND p < n) AS both_classes FROM (SELECT split, count(*) AS n, sum(label) AS p FROM windows GROUP BY split)")
+def gate_all(s, d):
+    v = windows(s, d).groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    return v.agg(F.bool_and(C("n") >= 20).alias("all_large"), F.bool_or(C("n") < 20).alias("any_small"), F.bool_and((C("p") > 0) & (C("p") < C("n"))).alias("both_classes"))
+
+
+@query(f"WITH {SEQS} SELECT size, count(*) AS components FROM (SELECT count(*) AS size FROM seqs GROUP BY seq) GROUP BY size")
+def component_stats(s, d):
+    return seqs(s, d).groupBy("seq").agg(_n().alias("size")).groupBy("size").agg(_n().alias("components"))
+
+
+# Order and top-k
+
+
+@query(f"WITH {interval_sql('iv')} SELECT chrom, a, id AS b FROM (SELECT *, lag(id) OVER w AS a, lag(en) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY chrom ORDER BY st, en, id)) WHERE st < pe")
+def locus_links(s, d):
+    return intervals.previous_links(ivs(s, d), "chrom", "id")
+
+
+@query(f"""WITH RECURSIVE {interval_sql('iv')}, o AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY st, en, id) AS rn FROM iv),
+k AS (SELECT chrom, rn, id, st, en AS last, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.chrom, o.rn, o.id, o.st, CASE WHEN o.st >= k.last THEN o.en ELSE k.last END, o.st >= k.last FROM k JOIN o ON o.chrom = k.chrom AND o.rn = k.rn + 1)
+SELECT chrom, st, last AS en, id FROM k WHERE kept""")
+def greedy_collapse(s, d):
+    return intervals.collapse(ivs(s, d), "chrom", "id")
+
+
+@query(f"WITH {WINDOWS} SELECT window_id FROM (SELECT *, row_number() OVER (PARTITION BY context, label ORDER BY {unit('window_id')}, window_id) AS rn, least(count(*) FILTER (label = 1) OVER (PARTITION BY context), count(*) FILTER (label = 0) OVER (PARTITION BY context)) AS n FROM windows) WHERE rn <= n")
+def matched_1to1(s, d):
+    group = Window.partitionBy("context")
+    n = F.least(F.count_if(C("label") == 1).over(group), F.count_if(C("label") == 0).over(group))
+    rn = F.row_number().over(Window.partitionBy("context", "label").orderBy(hash_unit(C("window_id")), "window_id"))
+    return windows(s, d).withColumn("n", n).withColumn("rn", rn).filter("rn <= n").select("window_id")
+
+
+@query(f"WITH {WINDOWS} SELECT gene, window_id FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY {unit('window_id')}, window_id) AS rn FROM windows WHERE score >= 0.3) WHERE rn <= 3 ORDER BY gene, {unit('window_id')}, window_id LIMIT 100")
+def panel_cap(s, d):
+    u = hash_unit(C("window_id"))
+    rn = F.row_number().over(Window.partitionBy("gene").orderBy(u, "window_id"))
+    return windows(s, d).filter("score >= 0.3").withColumn("rn", rn).filter("rn <= 3").orderBy("gene", u, "window_id").limit(100).select("gene", "window_id")
+
+
+@query(f"WITH {WINDOWS} SELECT label, present, window_id FROM (SELECT *, gc > 0.5 AS present, row_number() OVER (PARTITION BY label, gc > 0.5 ORDER BY {unit('window_id')}, window_id) AS rn FROM windows) WHERE rn <= 16")
+def ism_panel(s, d):
+    w = windows(s, d).withColumn("present", C("gc") > 0.5)
+    rn = F.row_number().over(Window.partitionBy("label", "present").orderBy(hash_unit(C("window_id")), "window_id"))
+    return w.withColumn("rn", rn).filter("rn <= 16").select("label", "present", "window_id")
+
+
+@query(f"WITH {WINDOWS} SELECT window_id, round(abs(score - 0.5), 6) AS effect FROM windows ORDER BY abs(score - 0.5) DESC, window_id LIMIT 25")
+def topk_ties(s, d):
+    e = F.abs(C("score") - 0.5)
+    return windows(s, d).select("window_id", e.alias("e")).orderBy(F.desc("e"), "window_id").limit(25).select("window_id", _6("e").alias("effect"))
+
+
+@query(f"WITH {WINDOWS} SELECT round(avg(CASE WHEN sign(score - 0.5) = sign(gc - 0.5) THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) AS k FROM (SELECT *, row_number() OVER (ORDER BY abs(score - 0.5) DESC, window_id) AS rn, count(*) OVER () AS n FROM windows) WHERE rn <= greatest(1, n // 10)")
+def top_decile_sign(s, d):
+    w = windows(s, d).select("window_id", "gc", "score", F.abs(C("score") - 0.5).alias("e"))
+    k = max(1, w.count() // 10)
+    top = w.orderBy(F.desc("e"), "window_id").limit(k)
+    return top.agg(_6(F.avg((F.signum(C("score") - 0.5) == F.signum(C("gc") - 0.5)).cast("double"))).alias("agreement"), _n().alias("k"))
+
+
+@query("SELECT source, max_by(doc_id, n_chars * 1000000 - doc_id) AS longest FROM documents GROUP BY source")
+def argmax(s, d):
+    return table(s, d, "documents").groupBy("source").agg(F.max_by("doc_id", C("n_chars") * 1000000 - C("doc_id")).alias("longest"))
+
+
+@query(f"WITH {WINDOWS} SELECT context, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM windows GROUP BY context ORDER BY 2, 3, 1 LIMIT 1")
+def worst_stratum(s, d):
+    return windows(s, d).groupBy("context").agg(F.count_if(C("label") == 1).alias("pos"), F.count_if(C("label") == 0).alias("neg")).orderBy("pos", "neg", "context").limit(1)
+
+
+# Sets
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, split FROM windows WHERE split = 'train' UNION ALL SELECT doc_id, split FROM windows WHERE split = 'validation'")
+def union_all(s, d):
+    w = windows(s, d).select("doc_id", "split")
+    return w.filter("split = 'train'").unionByName(w.filter("split = 'validation'"))
+
+
+@query(f"WITH {SEQS} SELECT DISTINCT seq FROM seqs")
+def dedup(s, d):
+    return seqs(s, d).select("seq").dropDuplicates()
+
+
+@query(f"WITH {SEQS} SELECT seq, count(*) AS n FROM seqs GROUP BY seq HAVING count(*) > 1")
+def dup_check(s, d):
+    return seqs(s, d).groupBy("seq").agg(_n().alias("n")).filter("n > 1")
+
+
+# Sequence scalars
+
+_DNA = SEQS + ", dna AS (SELECT doc_id, replace(seq, 'U', 'T') AS seq FROM seqs)"
+
+
+@query(f"WITH {_DNA} SELECT doc_id, translate(seq, 'T', 'U') AS rna FROM dna")
+def to_rna(s, d):
+    return seqs(s, d).select("doc_id", sq.to_rna(F.replace("seq", F.lit("U"), F.lit("T"))).alias("rna"))
+
+
+_RC = "CASE WHEN contains(seq, 'U') THEN reverse(translate(seq, 'ACGU', 'UGCA')) ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END"
+
+
+@query(f"WITH {SEQS} SELECT doc_id, {_RC} AS rc FROM seqs")
+def revcomp(s, d):
+    return seqs(s, d).select("doc_id", sq.reverse_complement(C("seq")).alias("rc"))
+
+
+@query(f"WITH {SEQS} SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN {_RC} ELSE seq END AS oriented FROM seqs")
+def orient(s, d):
+    return seqs(s, d).select("doc_id", sq.orient(C("seq"), F.when(C("doc_id") % 2 == 1, "-").otherwise("+")).alias("oriented"))
+
+
+def _count_sql(b):
+    return f"length(seq) - length(replace(seq, '{b}', ''))"
+
+
+@query(f"WITH {SEQS} SELECT doc_id, {', '.join(f'{_count_sql(b)} AS n_{b}' for b in 'ACGU')}, round(({_count_sql('G')} + {_count_sql('C')}) / 201.0, 6) AS gc FROM seqs")
+def base_counts(s, d):
+    return seqs(s, d).select("doc_id", *[sq.base_count(C("seq"), b).alias(f"n_{b}") for b in "ACGU"], _6(sq.gc(C("seq"))).alias("gc"))
+
+
+@query(f"WITH {SEQS} SELECT doc_id, {', '.join(f'round(({_count_sql(b)}) / 201.0, 6) AS f_{b}' for b in 'ACGU')} FROM seqs")
+def mono_features(s, d):
+    return seqs(s, d).select("doc_id", *[_6(sq.base_count(C("seq"), b) / F.length("seq")).alias(f"f_{b}") for b in "ACGU"])
+
+
+def _pairs_sql(b):
+    return f"len(list_filter(pairs, lambda x: x = '{b}'))"
+
+
+_PAIRS = SEQS + ", p AS (SELECT doc_id, list_transform(range(1, 201), lambda i: substr(seq, CAST(i AS INT), 2)) AS pairs FROM seqs)"
+_16 = [a + b for a in "ACGU" for b in "ACGU"]
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, {', '.join(f'round({_pairs_sql(b)} / 200.0, 6) AS {b}' for b in _16)} FROM p")
+def dinuc_features(s, d):
+    # One pass over the pairs of each row, then sixteen columns.
+    pairs = seqs(s, d).select("doc_id", F.explode(sq.kmers(C("seq"), 2)).alias("pair"))
+    return pairs.groupBy("doc_id").pivot("pair", _16).count().na.fill(0).select("doc_id", *[_6(C(b) / 200.0).alias(b) for b in _16])
+
+
+_KMERS = SEQS + ", k AS (SELECT doc_id, k, substr(seq, CAST(i AS INT), CAST(k AS INT)) AS kmer FROM seqs, (SELECT unnest([3, 4, 5]) AS k), (SELECT unnest(range(1, 200)) AS i) WHERE i + k - 1 <= 201)"
+
+
+@query(f"WITH {_KMERS} SELECT doc_id, k, kmer, round(count(*) / (201.0 - k + 1), 6) AS freq FROM k WHERE NOT regexp_matches(kmer, '[^ACGU]') GROUP BY doc_id, k, kmer")
+def kmer_freq(s, d):
+    def _sized(k):
+        return F.transform(sq.kmers(C("seq"), k), lambda x: F.struct(F.lit(k).alias("k"), x.alias("kmer")))
+
+    each = seqs(s, d).select("doc_id", F.inline(F.flatten(F.array(*[_sized(k) for k in (3, 4, 5)]))))
+    return each.filter(sq.is_canonical(C("kmer"))).groupBy("doc_id", "k", "kmer").agg(_6(F.count("*") / (201.0 - C("k") + 1)).alias("freq"))
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, CAST(context = 'en' AS DOUBLE) AS is_en, CAST(context = 'de' AS DOUBLE) AS is_de, round(tpm, 6) AS log1p_tpm FROM windows")
+def context_features(s, d):
+    return windows(s, d).select("doc_id", (C("context") == "en").cast("double").alias("is_en"), (C("context") == "de").cast("double").alias("is_de"), _6("tpm").alias("log1p_tpm"))
+
+
+@query(f"WITH {_PAIRS}, q AS (SELECT doc_id, list_transform(range(1, 201), lambda i: substr(reverse(seq), CAST(i AS INT), 2)) AS rev, pairs FROM seqs JOIN p USING (doc_id)) SELECT doc_id, {' + '.join(f'''abs({_pairs_sql(b)} - len(list_filter(rev, lambda x: x = '{b}')))''' for b in _16)} AS l1 FROM q")
+def dinuc_l1(s, d):
+    both = seqs(s, d).select("doc_id", F.explode(F.concat(F.transform(sq.kmers(C("seq"), 2), lambda x: F.struct(x.alias("pair"), F.lit(1).alias("sign"))), F.transform(sq.kmers(F.reverse("seq"), 2), lambda x: F.struct(x.alias("pair"), F.lit(-1).alias("sign"))))).alias("p"))
+    return both.groupBy("doc_id", "p.pair").agg(F.abs(F.sum("p.sign")).alias("gap")).groupBy("doc_id").agg(F.sum("gap").alias("l1"))
+
+
+@query(f"WITH {SEQS} SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, {', '.join(f'''CAST(substr(seq, CAST(i AS INT), 1) = '{b}' AS BIGINT) AS is_{b}''' for b in 'ACGU')} FROM seqs, (SELECT unnest(range(1, 202)) AS i)")
+def onehot(s, d):
+    return seqs(s, d).select("doc_id", F.posexplode(sq.one_hot(C("seq"))).alias("pos", "hot")).select("doc_id", C("pos").cast("long").alias("pos"), *[C("hot")[i].cast("long").alias(f"is_{b}") for i, b in enumerate("ACGU")])
+
+
+@query(f"SELECT doc_id, round({unit('CAST(doc_id AS VARCHAR)')}, 6) AS u FROM documents", name="hash_unit")
+def _hash_unit(s, d):
+    return table(s, d, "documents").select("doc_id", _6(hash_unit(C("doc_id"))).alias("u"))
+
+
+@query("SELECT doc_id, 'W_' || md5(CAST(doc_id AS VARCHAR)) AS window_id FROM documents", name="window_id")
+def _window_id(s, d):
+    from ..functions.hashing import window_id
+
+    return table(s, d, "documents").select("doc_id", window_id(C("doc_id")).alias("window_id"))
+
+
+@query("SELECT doc_id, sha256(concat_ws('|', doc_id, lang, source, n_chars)) AS h FROM documents", name="row_hash")
+def _row_hash(s, d):
+    return table(s, d, "documents").select("doc_id", row_hash(C("doc_id"), C("lang"), C("source"), C("n_chars")).alias("h"))
+
+
+_PWM = "pwm AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}', {p})" for i, row in enumerate(MOTIF.probabilities) for b, p in zip("ACGU", row)) + ") t(pos, base, p))"
+
+
+@query(f"WITH {_PWM} SELECT pos, base, round(log2(greatest(p + 0.25, 1e-12) / 0.5), 6) AS odds FROM pwm")
+def pwm_log_odds(s, d):
+    return MOTIF.frame(s).select("pos", "base", _6(F.log2(F.greatest(C("p") + 0.25, F.lit(1e-12)) / 0.5)).alias("odds"))
+
+
+@query(f"WITH {_PWM} SELECT pos, max_by(base, p) AS best FROM pwm GROUP BY pos")
+def pwm_consensus(s, d):
+    return MOTIF.frame(s).groupBy("pos").agg(F.max_by("base", "p").alias("best"))
+
+
+@query(f"WITH {SEQS}, {_SCAN} SELECT doc_id, i AS pos, round(v, 6) AS score FROM scan")
+def pwm_scan(s, d):
+    return seqs(s, d).select("doc_id", F.posexplode(mo.scan(C("seq"), MOTIF)).alias("pos", "v")).select("doc_id", C("pos").cast("long").alias("pos"), _6("v").alias("score"))
+
+
+@query(f"WITH {SEQS}, {_SCAN} SELECT doc_id, round(max(v), 6) AS best, count(*) FILTER (v >= {HIT}) AS over FROM scan GROUP BY doc_id")
+def motif_scores(s, d):
+    v = mo.scan(C("seq"), MOTIF)
+    return seqs(s, d).select("doc_id", v.alias("v")).select("doc_id", _6(F.array_max("v")).alias("best"), F.size(F.filter("v", lambda x: x >= HIT)).cast("long").alias("over"))
+
+
+@query()
+def best_hits(s, d):
+    return mo.with_hits(seqs(s, d), "doc_id", "seq", MOTIF, HIT)
+
+
+@query("SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages", name="split_part")
+def _split_part(s, d):
+    return table(s, d, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"))
+
+
+@query("SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS p, CAST(sign(c_acctbal) AS BIGINT) AS way FROM customer")
+def sigmoid(s, d):
+    return table(s, d, "customer").select("c_custkey", _6(1 / (1 + F.exp(-C("c_acctbal") / 1000))).alias("p"), F.signum("c_acctbal").cast("long").alias("way"))
+
+
+# Similarity, components and splits
+
+
+def _edges_of(w):
+    return graph.star_edges(w, "gene", "doc_id").unionByName(graph.star_edges(w, "seq", "doc_id")).distinct()
+
+
+_EDGES = "edges AS (SELECT min(doc_id) OVER (PARTITION BY gene) AS a, doc_id AS b FROM windows UNION SELECT min(doc_id) OVER (PARTITION BY seq), doc_id FROM windows)"
+
+
+@query(f"WITH {WINDOWS}, {_EDGES} SELECT a, b FROM edges WHERE a <> b")
+def component_edges(s, d):
+    return _edges_of(windows(s, d))
+
+
+_COMPONENTS = f"WITH RECURSIVE {WINDOWS}, {_EDGES}, both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b), reach AS (SELECT doc_id AS node, doc_id AS seen FROM windows UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.seen = both_ways.a), components AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"
+
+
+def _components(s, d):
+    w = windows(s, d)
+    return graph.connected_components(w.select(C("doc_id").alias("node")), _edges_of(w))
+
+
+@query(f"{_COMPONENTS} SELECT node, component FROM components")
+def connected_components(s, d):
+    return _components(s, d)
+
+
+@query(f"{_COMPONENTS} SELECT component, count(*) AS size, count(*) > 0.05 * (SELECT count(*) FROM components) AS giant FROM components GROUP BY component")
+def giant_component(s, d):
+    sizes = _components(s, d).groupBy("component").agg(_n().alias("size"))
+    total = sizes.agg(F.sum("size").alias("total"))
+    return sizes.join(F.broadcast(total)).select("component", "size", (C("size") > 0.05 * C("total")).alias("giant"))
+
+
+_COEFFICIENTS = [(2 * i + 1) * 40503 % 65521 for i in range(8)]
+_HASHED = SEQS + ", sh AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(substr(seq, CAST(i AS INT), 8)), 1, 8) AS BIGINT) AS h FROM seqs, (SELECT unnest(range(1, 195)) AS i))"
+
+
+@query(f"WITH {_HASHED} SELECT doc_id, {', '.join(f'min((h * {a} + {i * 7919}) % 4294967291) AS m{i}' for i, a in enumerate(_COEFFICIENTS))} FROM sh GROUP BY doc_id")
+def minhash(s, d):
+    hashes = F.transform(F.array_distinct(sq.kmers(C("seq"), 8)), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    one = lambda a, i: F.array_min(F.transform("h", lambda h: (h * a + i * 7919) % 4294967291))
+    return seqs(s, d).select("doc_id", hashes.alias("h")).select("doc_id", *[one(a, i).alias(f"m{i}") for i, a in enumerate(_COEFFICIENTS)])
+
+
+@query(f"WITH {SEQS}, {_BANDS}, pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.b = y.b AND x.key = y.key AND x.doc_id < y.doc_id) SELECT a, b, CAST(levenshtein(x.seq, y.seq) AS BIGINT) AS edits, 1 - levenshtein(x.seq, y.seq) / 201.0 >= 0.9 AS near FROM pairs JOIN seqs x ON x.doc_id = a JOIN seqs y ON y.doc_id = b")
+def near_dup_verify(s, d):
+    x, y = seqs(s, d).select(C("doc_id").alias("a"), C("seq").alias("x")), seqs(s, d).select(C("doc_id").alias("b"), C("seq").alias("y"))
+    edits = F.levenshtein("x", "y").cast("long")
+    return lsh_pairs(s, d).join(x, "a").join(y, "b").select("a", "b", edits.alias("edits"), (1 - edits / 201.0 >= 0.9).alias("near"))
+
+
+@query(f"WITH {WINDOWS} SELECT DISTINCT gene, split FROM windows", name="hash_split")
+def _hash_split(s, d):
+    return windows(s, d).select("gene", hash_split(C("gene")).alias("split")).distinct()
+
+
+@query(f"WITH {WINDOWS} SELECT count(*) AS n, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, (SELECT count(*) FROM (SELECT gene FROM windows GROUP BY gene HAVING count(DISTINCT split) > 1)) AS gene_overlaps, (SELECT count(*) FROM (SELECT seq FROM windows GROUP BY seq HAVING count(DISTINCT split) > 1)) AS sequence_overlaps FROM windows")
+def split_audit(s, d):
+    w = windows(s, d)
+    over = lambda k: w.groupBy(k).agg(F.countDistinct("split").alias("n")).filter("n > 1").agg(_n().alias(f"{k}_n"))
+    sizes = w.agg(_n().alias("n"), *[F.count_if(C("split") == x).alias(x) for x in ("train", "validation", "test")])
+    return sizes.join(over("gene").withColumnRenamed("gene_n", "gene_overlaps")).join(over("seq").withColumnRenamed("seq_n", "sequence_overlaps"))
+
+
+# Strata, weights and panels
+
+_STRATA = WINDOWS + ", edges AS (SELECT " + ", ".join([f"round(quantile_cont(gc, {q}), 6) AS gc_{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8))] + [f"round(quantile_cont(tpm, {q}), 6) AS tpm_{i}" for i, q in enumerate(("1.0 / 3", "2.0 / 3"))]) + " FROM windows WHERE split = 'train'), strata AS (SELECT windows.*, context || '|' || CAST(" + " + ".join(f"CAST(gc > gc_{i} AS INT)" for i in range(4)) + " AS VARCHAR) || '|' || CAST(" + " + ".join(f"CAST(tpm > tpm_{i} AS INT)" for i in range(2)) + " AS VARCHAR) AS stratum FROM windows, edges)"
+
+
+def _strata(s, d):
+    w = windows(s, d)
+    q, t = weights.bin_of(C("gc"), [C(f"gc_{i}") for i in range(4)]), weights.bin_of(C("tpm"), [C(f"tpm_{i}") for i in range(2)])
+    return w.join(F.broadcast(_edges(w))).withColumn("q", q).withColumn("t", t).withColumn("stratum", F.concat_ws("|", "context", q.cast("string"), t.cast("string"))).select(*w.columns, "stratum", "q", "t")
+
+
+@query(f"WITH {_STRATA} SELECT doc_id, stratum FROM strata")
+def strata(s, d):
+    return _strata(s, d).select("doc_id", "stratum")
+
+
+@query()
+def merge_sparse(s, d):
+    counts = _strata(s, d).groupBy("context", "q", "t").agg(F.count_if(C("label") == 1).alias("p"), F.count_if(C("label") == 0).alias("b")).collect()  # strata: languages x 15
+    goes = weights.merge_sparse([tuple(r) for r in counts], 5)
+    rows = [("|".join(map(str, k)), "|".join(map(str, v)) if v else None) for k, v in sorted(goes.items())]
+    return s.createDataFrame(rows, "stratum string, becomes string")
+
+
+@query(f"WITH {WINDOWS} SELECT label, round((SELECT count(*) FROM windows) / (2.0 * count(*)), 6) AS raw FROM windows GROUP BY label")
+def class_weights(s, d):
+    counts = windows(s, d).groupBy("label").agg(F.count("*").alias("n"))
+    return counts.join(counts.agg(F.sum("n").alias("total"))).select("label", _6(C("total") / (2.0 * C("n"))).alias("raw"))
+
+
+_WEIGHTED = _STRATA + ", raw AS (SELECT *, least(count(*) OVER (PARTITION BY stratum) / (2.0 * count(*) OVER (PARTITION BY stratum, label)), 5.0) AS r FROM strata), weighted AS (SELECT *, r / avg(r) OVER () AS w FROM raw)"
+
+
+def _weighted(s, d):
+    return weights.balanced(_strata(s, d))
+
+
+@query(f"WITH {_WEIGHTED} SELECT doc_id, round(w, 6) AS w FROM weighted")
+def balanced_weights(s, d):
+    return _weighted(s, d).select("doc_id", _6("w").alias("w"))
+
+
+@query(f"WITH {_WEIGHTED} SELECT label, round(sum(w) * sum(w) / sum(w * w), 6) AS ess, count(*) AS n FROM weighted GROUP BY label")
+def ess(s, d):
+    return _weighted(s, d).groupBy("label").agg(_6(F.sum("w") * F.sum("w") / F.sum(C("w") * C("w"))).alias("ess"), _n().alias("n"))
+
+
+def _moments_sql(x):
+    return f"m_{x} AS (SELECT label, sum(w * {x}) / sum(w) AS m, (sum(w * {x} * {x}) / sum(w) - (sum(w * {x}) / sum(w)) * (sum(w * {x}) / sum(w))) * sum(w) / (sum(w) - 1) AS v FROM weighted GROUP BY label)"
+
+
+def _smd_sql(x):
+    return f"(SELECT (a.m - b.m) / sqrt((a.v + b.v) / 2) FROM m_{x} a, m_{x} b WHERE a.label = 1 AND b.label = 0)"
+
+
+def _smd(df, names):
+    cells = {}
+    for y in (0, 1):
+        w = F.when(C("label") == y, C("w"))
+        cells |= {f"s{y}": F.sum(w)} | {f"{k}{y}_{x}": F.sum(w * f) for x in names for k, f in (("a", C(x)), ("b", C(x) * C(x)))}
+    sums = df.agg(*[v.alias(k) for k, v in cells.items()])
+    mean = lambda y, x: C(f"a{y}_{x}") / C(f"s{y}")
+    var = lambda y, x: (C(f"b{y}_{x}") / C(f"s{y}") - mean(y, x) * mean(y, x)) * C(f"s{y}") / (C(f"s{y}") - 1)
+    return sums.select(*[((mean(1, x) - mean(0, x)) / F.sqrt((var(1, x) + var(0, x)) / 2)).alias(f"smd_{x}") for x in names])
+
+
+@query(f"WITH {_WEIGHTED}, {_moments_sql('gc')}, {_moments_sql('tpm')} SELECT round({_smd_sql('gc')}, 6) AS smd_gc, round({_smd_sql('tpm')}, 6) AS smd_tpm")
+def weighted_smd(s, d):
+    return _smd(_weighted(s, d), ["gc", "tpm"]).select(_6("smd_gc").alias("smd_gc"), _6("smd_tpm").alias("smd_tpm"))
+
+
+@query(f"WITH {_WEIGHTED}, {_moments_sql('gc')}, {_moments_sql('tpm')} SELECT round((SELECT sum(w) * sum(w) / sum(w * w) / count(*) FROM weighted), 6) AS ess_fraction, abs({_smd_sql('gc')}) <= 0.1 AS gc_ok, abs({_smd_sql('tpm')}) <= 0.1 AS tpm_ok, round((SELECT max(gap) FROM (SELECT abs(sum(w) FILTER (label = 1) / (SELECT sum(w) FROM weighted WHERE label = 1) - coalesce(sum(w) FILTER (label = 0), 0) / (SELECT sum(w) FROM weighted WHERE label = 0)) AS gap FROM weighted GROUP BY context)), 6) AS context_gap")
+def balance_qc(s, d):
+    w = _weighted(s, d)
+    fraction = w.agg((F.sum("w") * F.sum("w") / F.sum(C("w") * C("w")) / F.count("*")).alias("f"))
+    part = lambda y: F.sum(F.when(C("label") == y, C("w")).otherwise(0.0))
+    sums = w.groupBy("context").agg(part(1).alias("p"), part(0).alias("b"))
+    total = sums.agg(F.sum("p").alias("tp"), F.sum("b").alias("tb"))
+    gap = sums.join(total).agg(F.max(F.abs(C("p") / C("tp") - C("b") / C("tb"))).alias("gap"))
+    return fraction.join(_smd(w, ["gc", "tpm"])).join(gap).select(_6("f").alias("ess_fraction"), (F.abs("smd_gc") <= 0.1).alias("gc_ok"), (F.abs("smd_tpm") <= 0.1).alias("tpm_ok"), _6("gap").alias("context_gap"))
+
+
+@query(f"WITH {_STRATA}, ranges AS (SELECT stratum, min(gc) FILTER (label = 1) AS a1, max(gc) FILTER (label = 1) AS b1, min(gc) FILTER (label = 0) AS a0, max(gc) FILTER (label = 0) AS b0 FROM strata GROUP BY stratum) SELECT doc_id FROM strata WHERE stratum IN (SELECT stratum FROM ranges WHERE a1 <= b0 AND a0 <= b1)")
+def common_support(s, d):
+    st = _strata(s, d)
+    of = lambda f, y: f(F.when(C("label") == y, C("gc")))
+    good = st.groupBy("stratum").agg(of(F.min, 1).alias("a1"), of(F.max, 1).alias("b1"), of(F.min, 0).alias("a0"), of(F.max, 0).alias("b0")).filter("a1 <= b0 AND a0 <= b1")
+    return st.join(good, "stratum", "left_semi").select("doc_id")
+
+
+@query(f"WITH {interval_sql('a', 'A')}, {merged_sql('a', 'm')}, free AS (SELECT chrom, en AS lo, lead(st) OVER (PARTITION BY chrom ORDER BY st) AS hi FROM m), c AS (SELECT chrom, lo + CAST(floor({unit('concat_ws(chr(31), chrom, lo, k)')} * (hi - lo)) AS BIGINT) AS place, {unit('concat_ws(chr(31), chrom, lo, k, 1)')} AS u FROM free, (SELECT unnest([0, 1]) AS k) WHERE hi > lo) SELECT chrom, place FROM (SELECT chrom, place, min(u) AS u FROM c GROUP BY chrom, place) ORDER BY u, chrom, place LIMIT 500")
+def bg_sample(s, d):
+    # Free segments stay ranges; places are drawn in them by hash, not listed.
+    order = Window.partitionBy("chrom").orderBy("st")
+    free = intervals.merge(ivs(s, d, "A")).select("chrom", C("en").alias("lo"), F.lead("st").over(order).alias("hi")).filter("hi > lo")
+    c = free.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    at = C("lo") + F.floor(hash_unit(C("chrom"), C("lo"), C("k")) * (C("hi") - C("lo")))
+    return c.select("chrom", at.alias("place"), hash_unit(C("chrom"), C("lo"), C("k"), F.lit(1)).alias("u")).groupBy("chrom", "place").agg(F.min("u").alias("u")).orderBy("u", "chrom", "place").limit(500).select("chrom", "place")
+
+
+@query()
+def control_panel(s, d):
+    return controls.control_panel(seqs(s, d), MOTIF, HIT)
+
+
+@query()
+def order_controls(s, d):
+    return control_panel(s, d).filter("kind = 'order' AND informative")
+
+
+@query()
+def outside_controls(s, d):
+    return control_panel(s, d).filter("kind = 'outside' AND informative")
+
+
+# Models and attribution
+
+_FEATURES = ("gc", "tpm", "score")
+_COEF = {"gc": 1.5, "tpm": -0.25, "score": 0.75}
+
+
+def _standard(w):
+    fit = w.filter("split = 'train'").agg(*[f(c).alias(f"{n}_{c}") for c in _FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return w.join(F.broadcast(fit)).select("doc_id", "label", "split", *[((C(c) - C(f"m_{c}")) / F.when(C(f"s_{c}") == 0, 1.0).otherwise(C(f"s_{c}"))).alias(c) for c in _FEATURES])
+
+
+_STANDARD = WINDOWS + ", fit AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in _FEATURES) + " FROM windows WHERE split = 'train'), z AS (SELECT doc_id, label, split, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _FEATURES) + " FROM windows, fit)"
+
+
+@query(f"WITH {_STANDARD} SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in _FEATURES)} FROM z")
+def standardize(s, d):
+    return _standard(windows(s, d)).select("doc_id", *[_6(c).alias(c) for c in _FEATURES])
+
+
+@query(f"WITH {_STANDARD} SELECT doc_id, round(1 / (1 + exp(-(0.1 + {' + '.join(f'{v} * {c}' for c, v in _COEF.items())}))), 6) AS p FROM z")
+def logreg_score(s, d):
+    z = sum((F.lit(v) * C(c) for c, v in _COEF.items()), F.lit(0.1))
+    return _standard(windows(s, d)).select("doc_id", _6(1 / (1 + F.exp(-z))).alias("p"))
+
+
+def _fitted(s, d, weighted: bool):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    z = _standard(windows(s, d))
+    z = z.join(_weighted(s, d).select("doc_id", "w"), "doc_id") if weighted else z.withColumn("w", F.lit(1.0))
+    table_ = VectorAssembler(inputCols=list(_FEATURES), outputCol="features").transform(z)
+    train = table_.filter("split = 'train'")
+    n = max(1, train.count())
+    model = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(train)
+    return model.transform(table_).select("doc_id", "split", _6(vector_to_array("probability")[1]).alias("p"))
+
+
+@query()
+def logreg(s, d):
+    return _fitted(s, d, False)
+
+
+@query()
+def weighted_logreg(s, d):
+    return _fitted(s, d, True)
+
+
+@query(f"WITH {WINDOWS} SELECT split, count(*) AS n, round(avg(label), 6) AS ap, 0.5 AS auroc FROM windows GROUP BY split")
+def b0_metrics(s, d):
+    return windows(s, d).groupBy("split").agg(_n().alias("n"), _6(F.avg("label")).alias("ap"), F.lit(0.5).cast("double").alias("auroc"))
+
+
+@query("SELECT CAST(4 * 32 * 11 + 32 + 2 * (32 * 32 * 5 + 32) AS BIGINT) AS convolutions, CAST(64 * 32 + 32 + 32 + 1 AS BIGINT) AS head, CAST(1 + 10 + 2 * 4 + 4 * 4 AS BIGINT) AS receptive_field")
+def param_count(s, d):
+    layers = [(4, 32, 11, 1), (32, 32, 5, 2), (32, 32, 5, 4)]
+    return s.createDataFrame([(sum(a * b * k + b for a, b, k, _ in layers), 64 * 32 + 32 + 32 + 1, 1 + sum((k - 1) * r for _, _, k, r in layers))], "convolutions long, head long, receptive_field long")
+
+
+@query(f"WITH {SEQS}, odds AS (SELECT {_ODDS} AS odds), cells AS (SELECT doc_id, j, base, coalesce(odds[CAST(j + 1 AS INT)][base], 0) - coalesce(odds[CAST(j + 1 AS INT)][substr(seq, CAST(j + 101 AS INT), 1)], 0) AS delta FROM seqs, odds, (SELECT unnest(range(0, 7)) AS j), (SELECT unnest(['A', 'C', 'G', 'U']) AS base) WHERE base <> substr(seq, CAST(j + 101 AS INT), 1)) SELECT doc_id, j, base, round(delta, 6) AS delta FROM cells")
+def ism_linear(s, d):
+    # Every substitution in the motif's place at 100, scored against the base that is there.
+    odds = s.createDataFrame([(j, b, v) for j, row in enumerate(MOTIF.log_odds()) for b, v in zip("ACGU", row)], "j long, base string, v double")
+    here = seqs(s, d).select("doc_id", F.posexplode(F.split(F.substring("seq", 101, len(MOTIF)), "")).alias("j", "old")).withColumn("j", C("j").cast("long"))
+    old = F.broadcast(odds.select("j", C("base").alias("old"), C("v").alias("was")))
+    return here.join(old, ["j", "old"], "left").join(F.broadcast(odds), "j").filter("base != old").select("doc_id", "j", "base", _6(C("v") - F.coalesce("was", F.lit(0.0))).alias("delta"))
+
+
+@query(_SQL["ism_linear"])
+def taylor_linear(s, d):
+    # For a linear scorer the gradient at each base is its weight, so the difference of gradients is exact.
+    g = F.array(*[F.struct(F.lit(j).cast("long").alias("j"), F.lit(b).alias("base"), F.lit(v).alias("g")) for j, row in enumerate(MOTIF.log_odds()) for b, v in zip("ACGU", row)])
+    cells = seqs(s, d).select("doc_id", "seq", F.inline(g)).withColumn("old", F.substr("seq", (C("j") + 101).cast("int"), F.lit(1)))
+    at = F.sum(F.when(C("base") == C("old"), C("g")).otherwise(0.0)).over(Window.partitionBy("doc_id", "j"))
+    return cells.withColumn("at", at).filter("base != old").select("doc_id", "j", "base", _6(C("g") - C("at")).alias("delta"))
+
+
+@query(f"WITH {WINDOWS}, r AS (SELECT context, rank() OVER (PARTITION BY context ORDER BY gc) + (count(*) OVER (PARTITION BY context, gc) - 1) / 2.0 AS x, rank() OVER (PARTITION BY context ORDER BY score) + (count(*) OVER (PARTITION BY context, score) - 1) / 2.0 AS y FROM windows) SELECT context, CASE WHEN count(*) >= 3 THEN round(corr(x, y), 6) END AS rho FROM r GROUP BY context")
+def spearman(s, d):
+    def rank(c):
+        return F.rank().over(Window.partitionBy("context").orderBy(c)) + (F.count("*").over(Window.partitionBy("context", c)) - 1) / 2
+
+    r = windows(s, d).select("context", rank("gc").alias("x"), rank("score").alias("y"))
+    return r.groupBy("context").agg(F.when(F.count("*") >= 3, _6(F.corr("x", "y"))).alias("rho"))
+
+
+# Metrics and inference
+
+_AP = "SELECT {by}, CASE WHEN sum(pos) > 0 AND sum(pos) < sum(n) THEN sum(pos * tp / seen) / sum(pos) END AS ap FROM (SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY {by} ORDER BY score DESC) AS seen FROM (SELECT {by}, score, sum({w} * label) AS pos, sum({w}) AS n FROM {t} GROUP BY {by}, score)) GROUP BY {by}"
+
+
+@query(f"WITH {WINDOWS}, t AS (SELECT split, label, round(score, 1) AS score FROM windows) SELECT split, round(ap, 6) AS ap FROM ({_AP.format(by='split', t='t', w='1.0')})")
+def average_precision(s, d):
+    return metrics.average_precision(windows(s, d).withColumn("score", F.round("score", 1)), ["split"]).select("split", _6("ap").alias("ap"))
+
+
+@query(f"WITH {WINDOWS}, r AS (SELECT split, label, rank() OVER (PARTITION BY split ORDER BY round(score, 1)) + (count(*) OVER (PARTITION BY split, round(score, 1)) - 1) / 2.0 AS r FROM windows) SELECT split, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 6) AS auroc FROM r GROUP BY split")
+def auroc(s, d):
+    return metrics.auroc(windows(s, d).withColumn("score", F.round("score", 1)), ["split"]).select("split", _6("auroc").alias("auroc"))
+
+
+_LOSS = "avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15))))"
+
+
+@query(f"WITH {WINDOWS} SELECT split, round({_LOSS}, 6) AS log_loss FROM windows GROUP BY split")
+def log_loss(s, d):
+    return metrics.losses(windows(s, d), ["split"]).select("split", _6("log_loss").alias("log_loss"))
+
+
+@query(f"WITH {WINDOWS} SELECT split, round(avg((score - label) * (score - label)), 6) AS brier FROM windows GROUP BY split")
+def brier(s, d):
+    return metrics.losses(windows(s, d), ["split"]).select("split", _6("brier").alias("brier"))
+
+
+@query(f"WITH {WINDOWS} SELECT gene, count(*) AS n, round(avg(label), 6) AS prevalence, CASE WHEN min(label) = max(label) THEN 'one_class_input' END AS error FROM windows GROUP BY gene")
+def metrics_guard(s, d):
+    return windows(s, d).groupBy("gene").agg(_n().alias("n"), _6(F.avg("label")).alias("prevalence"), F.when(F.min("label") == F.max("label"), "one_class_input").alias("error"))
+
+
+REPS = 50
+_DRAWS = WINDOWS + f", comp AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT gene FROM windows)), draws AS (SELECT rep, CAST(floor({unit('concat_ws(chr(31), rep, ordinal)')} * n) AS BIGINT) AS ordinal FROM comp, (SELECT unnest(range(0, {REPS})) AS rep)), times AS (SELECT rep, gene, count(*) AS times FROM draws JOIN comp USING (ordinal) GROUP BY rep, gene)"
+_CI = "round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.025), 6) AS lo, round(quantile_cont({v}, 0.975), 6) AS hi, count({v}) AS valid, count(*) - count({v}) AS invalid"
+
+
+def _ci(values, v):
+    return metrics.interval(values, v).select(_6("mean").alias("mean"), _6("lo").alias("lo"), _6("hi").alias("hi"), "valid", "invalid")
+
+
+def _times(w):
+    return metrics.multiplicities(w.select(C("gene").alias("component")), REPS).withColumnRenamed("component", "gene")
+
+
+@query(f"WITH {_DRAWS}, t AS (SELECT rep, times, label, round(score, 2) AS score FROM times JOIN windows USING (gene)) SELECT {_CI.format(v='ap')} FROM ({_AP.format(by='rep', t='t', w='times')})")
+def bootstrap_ap(s, d):
+    # Counts by component, score and label come first, so replicates multiply counts and not rows.
+    w = windows(s, d)
+    cells = w.groupBy("gene", F.round("score", 2).alias("score"), "label").agg(F.count("*").alias("n"))
+    drawn = _times(w).join(cells, "gene").withColumn("weight", (C("times") * C("n")).cast("double"))
+    return _ci(metrics.average_precision(drawn, ["rep"], weight="weight"), "ap")
+
+
+def _bootstrap_sql(value, where="true"):
+    return f"WITH {_DRAWS}, v AS (SELECT gene, avg({value}) AS v FROM windows WHERE {where} GROUP BY gene) SELECT {_CI.format(v='m')} FROM (SELECT rep, sum(times * v) / sum(times) AS m FROM times JOIN v USING (gene) GROUP BY rep)"
+
+
+def _bootstrap(s, d, value, where="true"):
+    w = windows(s, d)
+    means = w.filter(where).groupBy("gene").agg(F.avg(value).alias("v"))
+    drawn = _times(w).join(means, "gene").groupBy("rep").agg((F.sum(C("times") * C("v")) / F.sum("times")).alias("m"))
+    return _ci(drawn, "m")
+
+
+@query(_bootstrap_sql("score"))
+def bootstrap_mean(s, d):
+    return _bootstrap(s, d, C("score"))
+
+
+@query(_bootstrap_sql("score - gc"))
+def bootstrap_delta(s, d):
+    return _bootstrap(s, d, C("score") - C("gc"))
+
+
+@query(_bootstrap_sql("score - gc", "label = 1"))
+def bootstrap_spec(s, d):
+    return _bootstrap(s, d, C("score") - C("gc"), "label = 1")
+
+
+_CLAIM = "CASE WHEN invalid > 0 THEN 'inconclusive' WHEN lo > 0 AND mean >= 0.1 THEN 'intervention_supported' WHEN lo > -0.5 THEN 'valid_demo' ELSE 'inconclusive' END"
+
+
+@query(f"SELECT mean, lo, hi, lo > 0 AS above, mean >= 0.1 AS large FROM ({_bootstrap_sql('score - gc')})")
+def claim_table(s, d):
+    return bootstrap_delta(s, d).select("mean", "lo", "hi", (C("lo") > 0).alias("above"), (C("mean") >= 0.1).alias("large"))
+
+
+@query(f"SELECT {_CLAIM} AS level FROM ({_bootstrap_sql('score - gc')})")
+def claim_level(s, d):
+    level = F.when(C("invalid") > 0, "inconclusive").when((C("lo") > 0) & (C("mean") >= 0.1), "intervention_supported").when(C("lo") > -0.5, "valid_demo").otherwise("inconclusive")
+    return bootstrap_delta(s, d).select(level.alias("level"))
+
+
+@query("SELECT gate, status, status IN ('purchase', 'signup') AS passed FROM (SELECT 'G' || CAST(user_id % 8 AS VARCHAR) AS gate, max_by(event_type, event_id) AS status FROM events GROUP BY 1)")
+def gate_summary(s, d):
+    log = table(s, d, "events").select(F.concat(F.lit("G"), (C("user_id") % 8).cast("string")).alias("gate"), "event_type", "event_id")
+    return log.groupBy("gate").agg(F.max_by("event_type", "event_id").alias("status")).select("gate", "status", C("status").isin("purchase", "signup").alias("passed"))
+
+
+@query(f"WITH {WINDOWS}, m AS (SELECT split, avg(label) AS prevalence, avg(score) AS mean_score, avg(gc) AS mean_gc FROM windows GROUP BY split) SELECT split, 'prevalence' AS metric, round(prevalence, 6) AS value FROM m UNION ALL SELECT split, 'mean_score', round(mean_score, 6) FROM m UNION ALL SELECT split, 'mean_gc', round(mean_gc, 6) FROM m")
+def results_long(s, d):
+    wide = windows(s, d).groupBy("split").agg(F.avg("label").alias("prevalence"), F.avg("score").alias("mean_score"), F.avg("gc").alias("mean_gc"))
+    return wide.unpivot("split", ["prevalence", "mean_score", "mean_gc"], "metric", "value").withColumn("value", _6("value"))
+
+
+@query(f"WITH {_WEIGHTED} SELECT stratum, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, round(sum(w) * sum(w) / sum(w * w), 6) AS ess, round(sum(w * gc) / sum(w), 6) AS gc FROM weighted GROUP BY stratum")
+def flagship(s, d):
+    """Documents to sequences, train-only bins, strata, balanced weights, and how each stratum comes out."""
+    w = _weighted(s, d)
+    return w.groupBy("stratum").agg(_n().alias("n"), F.sum("label").alias("positives"), _6(F.sum("w") * F.sum("w") / F.sum(C("w") * C("w"))).alias("ess"), _6(F.sum(C("w") * C("gc")) / F.sum("w")).alias("gc"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
