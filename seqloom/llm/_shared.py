@@ -6,6 +6,7 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -61,6 +62,7 @@ class Shelf:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        del df
         if free:
             release(self.spark)
         return out
@@ -70,9 +72,11 @@ class Shelf:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are finished."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that are finished: it does so once the driver has collected them, in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def keyed(df: DataFrame, name: str = "input") -> DataFrame:

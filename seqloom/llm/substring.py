@@ -7,7 +7,7 @@ Two positions i and j always have an offset d below the period with both i + d a
 j + d at cover positions. So two equal windows share the hash of the shorter run
 (``width`` - period + 1 words) at an aligned cover position, and hashing only
 there, about a quarter of all positions, loses no match. Anchors that occur twice
-are extended to the windows around them, and those are compared by 128 bits of
+are extended to the windows around them, and those are compared by 96 bits of
 two independent polynomial hashes.
 
 Scale. Anchors and windows are grouped by hash in one shuffle each. Before it,
@@ -61,7 +61,7 @@ def _fold(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, pos: np.ndarray) -> p
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([h1[lone] & clear, h1[heads] & clear, odd]).view(np.int64)),
-            pa.array(np.concatenate([h2[lone], h2[heads], np.zeros(n3, np.uint64)]).view(np.int64)),
+            pa.array((np.concatenate([h2[lone], h2[heads], np.zeros(n3, np.uint64)]) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
             pa.array(np.concatenate([key[lone], np.zeros(n2, np.uint64), key[many]]).view(np.int64)),
             pa.array(np.concatenate([pos[lone], np.full(n2, -1), pos[many]]).astype(np.int32)),
             pa.array(np.concatenate([np.ones(n1, np.int8), np.full(n2, 2, np.int8), np.full(n3, 2, np.int8)])),
@@ -70,7 +70,7 @@ def _fold(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, pos: np.ndarray) -> p
     )
 
 
-_ROWS = "h1 long, h2 long, key long, pos int, n byte"
+_ROWS = "h1 long, h2 int, key long, pos int, n byte"
 
 
 class _Segments:
