@@ -226,10 +226,10 @@ def _classes(rows: DataFrame, shelf: Shelf, threshold: float) -> tuple[DataFrame
     pairs = shelf.put(near.select("a", "b", "sig_a", "sig_b").mapInPandas(_likely, "a long, b long"), "pairs-0")
     links = _verified(pairs, texts, shelf, "links-0", threshold)
     labels = components(links, shelf, "labels-0")
-    step, done = 0, members.groupBy("bucket").agg(F.first("lead").alias("done"))
+    # Members that come after the leaders done with, which is the first leader now.
+    step, members = 0, members.filter("key != lead").select("bucket", "key")
     while True:
-        named = members.select("bucket", "key").join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        rest = named.join(done, "bucket").filter("key > done")
+        rest = members.join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
         mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
         step += 1
         left = shelf.put(rest.join(mixed, "bucket", "left_semi"), f"left-{step}")
@@ -246,8 +246,7 @@ def _classes(rows: DataFrame, shelf: Shelf, threshold: float) -> tuple[DataFrame
         links = shelf.put(links.union(_verified(pairs, texts, shelf, f"more-{step}", threshold)), f"links-{step}")
         labels = components(links, shelf, f"labels-{step}")
         ends = heads.groupBy("bucket").agg(F.max("key").alias("upto"))
-        members = left.select("bucket", "key")
-        done = shelf.put(ends.withColumnRenamed("upto", "done"), f"done-{step}")
+        members = left.join(ends, "bucket").filter("key > upto").select("bucket", "key")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

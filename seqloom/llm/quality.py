@@ -153,8 +153,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_fold: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
     measured = rows.mapInArrow(_measured, "quality int, " + ", ".join(f"{c} double" for c in FEATURES))
     # Repeated ids may make more rows of the chosen labels; the same bound holds for them.
-    table = measured.orderBy(*FEATURES, "quality").limit(sample).toPandas()
-    return fit(table[list(FEATURES)].to_numpy(np.float64), (table["quality"].to_numpy() == 1).astype(np.int64))
+    table = measured.orderBy(*FEATURES, "quality").limit(sample).toArrow()
+    x = np.stack([table[c].to_numpy() for c in FEATURES], axis=1).astype(np.float64)
+    return fit(x, (table["quality"].to_numpy() == 1).astype(np.int64))
 
 
 def _scored(forest: Forest):

@@ -37,7 +37,7 @@ from ._shared import KEY, Shelf, binary, keyed, mix, words_of
 
 DEPTH, END = 5, b"\n"
 #: Entries of the broadcast tables, of 12 bytes each.
-FREQUENT = 6_000_000
+FREQUENT = 1_500_000
 #: Sequences that one task of the tree holds, about.
 PART = 250_000
 #: Bytes of text that a task gathers before it counts.
@@ -271,8 +271,8 @@ def tree(grams: DataFrame, shelf: Shelf) -> DataFrame:
     latest = F.shiftrightunsigned("node", 24)
     some = max(1, min(256, parts))
     # At most 256 contexts of one byte, with 255 nodes each.
-    first = third.repartition(some, latest).mapInArrow(_upper, _NODES).toPandas().sort_values("node")
-    level = Level(first["node"].to_numpy(np.int64).view(np.uint64), *(first[c].to_numpy(np.float64) for c in ("zeros", "ones", "weighted")), None)
+    first = third.repartition(some, latest).mapInArrow(_upper, _NODES).toArrow().sort_by("node")
+    level = Level(first["node"].to_numpy().view(np.uint64), *(first[c].to_numpy() for c in ("zeros", "ones", "weighted")), None)
     level.stop = np.exp(kt(level.zeros, level.ones) - np.log(2) - level.weighted)
     root, to_root = level.parent()
     state = level.mixed(root.mixed(None, None), to_root)
@@ -382,8 +382,8 @@ def scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     tables, others = [], []
     for kind, table in ((WORD, weighed), (GRAM, grams)):
         near, far = _frequent(table, frequent)
-        got = near.select("key", F.col("value").cast("float" if kind == GRAM else "double").alias("value")).toPandas()
-        tables.append((got["key"].to_numpy(np.int64).view(np.uint64), got["value"].to_numpy()))
+        got = near.select("key", F.col("value").cast("float" if kind == GRAM else "double").alias("value")).toArrow()
+        tables.append((got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()))
         others.append(far.select(F.lit(kind).cast("byte").alias("kind"), "key", "value"))
     shared = spark.sparkContext.broadcast([shelf.root, *tables])
     schema = f"{KEY} long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, sum double, rare array<struct<kind:byte,key:long,times:long>>"
