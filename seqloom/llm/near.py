@@ -12,7 +12,10 @@ the banding; each bucket then links its members to one leader, links are verifie
 on whole texts by the exact probability Jaccard similarity, and classes are the
 connected components. Buckets whose members are not in one component after that
 go on with blocks of further leaders until every pair that shares a bucket is in
-one component, or was compared; no member and no partner is capped.
+one component, or was compared; no member and no partner is capped. A block is
+compared in passes, each member's likeliest leaders first, so that in a large group
+most pairs are in one component before their turn comes. What is left then is mostly
+pairs of a little under 0.8; longer signatures tell these before texts are joined.
 
 Scale. Signatures are made in the scan; only representatives of classes are
 banded. Buckets are counted with map-side combination, members join their leader
@@ -28,6 +31,7 @@ all are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -45,7 +49,12 @@ REGISTERS = ROWS * BANDS
 #: Pairs whose signatures agree less than this are not verified: over four standard deviations below the threshold.
 LIKELY = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Leaders in a block, members in a salted piece of a bucket.
-LEADERS, MEMBERS = 128, 1024
+LEADERS, MEMBERS = 1024, 1024
+#: Ranks at which the passes over a block start: each compares more of a member's heads, where labels still differ.
+PASSES = (0, 1, 16, LEADERS)
+#: Registers, of a byte each, of the longer signatures made for members of buckets that the first leaders leave in several components.
+LONG = 1280
+LIKELY_LONG = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / LONG) ** 0.5
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -130,24 +139,29 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 _SIGNED = "key long, d1 long, d2 long, bands array<long>, sig binary"
 
 
+def _weighted(batch: pa.RecordBatch, powers: Powers) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]], list[int]]]:
+    """Keys, weighted sets and word digests of a batch's texts with words, a bounded number of shingles at a time."""
+    keys, texts = batch.column(0).to_pylist(), binary(batch.column(1))
+    start = 0
+    while start < len(keys):
+        end, size, sets, own, digests = start, 0, [], [], []
+        while end < len(keys) and size < 1 << 15 and end - start < 256:
+            ids, counts, words = shingles(texts[end], powers)
+            if len(ids):
+                sets.append((ids, counts))
+                own.append(keys[end])
+                digests.append(xxhash.xxh3_128_intdigest(words.tobytes()))
+                size += len(ids)
+            end += 1
+        start = end
+        if sets:
+            yield own, sets, digests
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers(_BASE)
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), binary(batch.column(1))
-        start = 0
-        while start < len(keys):
-            end, size, sets, own, digests = start, 0, [], [], []
-            while end < len(keys) and size < 1 << 15 and end - start < 256:
-                ids, counts, words = shingles(texts[end], powers)
-                if len(ids):
-                    sets.append((ids, counts))
-                    own.append(keys[end])
-                    digests.append(xxhash.xxh3_128_intdigest(words.tobytes()))
-                    size += len(ids)
-                end += 1
-            start = end
-            if not sets:
-                continue
+        for own, sets, digests in _weighted(batch, powers):
             sig = signatures(sets)
             bands = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
@@ -162,6 +176,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    powers = Powers(_BASE)
+    for batch in batches:
+        for own, sets, _ in _weighted(batch, powers):
+            sig = (signatures(sets, LONG) & np.uint64(0xFF)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["key", "sig"])
+
+
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         if len(part):
@@ -186,19 +208,26 @@ def _verify(threshold: float):
     return run
 
 
-def _blocks(leaders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a leader and a later member of other labels whose signatures agree."""
-    if leaders.empty or members.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    x, y = (np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(len(t), -1) for t in (leaders, members))
-    keys, labels = members["key"].to_numpy(), members["label"].to_numpy()
-    out = []
-    for sig, key, label in zip(x, leaders["key"], leaders["label"]):
-        fit = np.flatnonzero((keys > key) & (labels != label))
-        fit = fit[(y[fit] == sig).mean(axis=1) >= LIKELY]
-        out.append(np.column_stack([np.full(len(fit), key), keys[fit]]))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+def _blocks(first: int, end: int):
+    """Pairs of a head and a later member of other labels whose signatures agree.
+
+    Each member ranks all heads of the bucket that come before it, best agreement first; the pairs
+    of ranks first to end - 1 are given. Ranks hold for the block, whatever the labels become.
+    """
+
+    def run(heads: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if heads.empty or members.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        heads = heads.sort_values("key")
+        x, y = (np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1) for t in (heads, members))
+        at, keys = heads["key"].to_numpy(np.int64), members["key"].to_numpy(np.int64)
+        agree = np.column_stack([np.count_nonzero(y == sig, axis=1) for sig in x])
+        agree[(keys[:, None] <= at) | (agree < LIKELY_LONG * LONG)] = 0
+        order = np.argsort(-agree, axis=1, kind="stable")[:, first:end]
+        fit = (np.take_along_axis(agree, order, 1) > 0) & (members["label"].to_numpy()[:, None] != heads["label"].to_numpy()[order])
+        return pd.DataFrame({"a": at[order[fit]], "b": keys[np.nonzero(fit)[0]]})
+
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shelf: Shelf, name: str, threshold: float) -> DataFrame:
@@ -209,6 +238,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, shelf: Shelf, name: str, thres
     return shelf.put(joined.mapInArrow(_verify(threshold), "a long, b long, similarity double"), name, free=True)
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with labels, of buckets that hold more than one label."""
+    rest = members.join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
+    return rest.join(mixed, "bucket", "left_semi")
+
+
 def _classes(rows: DataFrame, shelf: Shelf, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(key, label) of each row with words, where label is the least key of its class; verified links of representatives."""
     signed = shelf.put(rows.select(KEY, "text").mapInArrow(_sign, _SIGNED), "signed")
@@ -227,24 +263,30 @@ def _classes(rows: DataFrame, shelf: Shelf, threshold: float) -> tuple[DataFrame
     links = _verified(pairs, texts, shelf, "links-0", threshold)
     labels = components(links, shelf, "labels-0")
     # Members that come after the leaders done with, which is the first leader now.
-    step, members = 0, members.filter("key != lead").select("bucket", "key")
+    step, compared, members = 0, pairs, members.filter("key != lead").select("bucket", "key")
     while True:
-        rest = members.join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
         step += 1
-        left = shelf.put(rest.join(mixed, "bucket", "left_semi"), f"left-{step}")
+        left = shelf.put(_mixed(members, labels), f"left-{step}")
         if not left.limit(1).count():
             return same.join(labels, same["rep"] == labels["node"], "left").select("key", F.coalesce("label", "rep").alias("label")), links
+        if step == 1:
+            sigs = shelf.put(texts.join(left.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_sign_long, "key long, sig binary"), "long")
         order = Window.partitionBy("bucket").orderBy("key")
-        heads = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS).drop("rank")
-        counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-        heads = shelf.put(heads.join(counts, "bucket").join(sigs, "key"), f"heads-{step}")
-        tails = left.join(counts, "bucket").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(sigs, "key")
-        spread = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-        found = spread.groupBy("bucket", "salt").cogroup(tails.groupBy("bucket", "salt")).applyInPandas(_blocks, "a long, b long").distinct()
-        pairs = shelf.put(found, f"pairs-{step}")
-        links = shelf.put(links.union(_verified(pairs, texts, shelf, f"more-{step}", threshold)), f"links-{step}")
-        labels = components(links, shelf, f"labels-{step}")
+        heads = shelf.put(left.select("bucket", "key", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= LEADERS).select("bucket", "key"), f"heads-{step}")
+        for turn, (first, end) in enumerate(pairwise(PASSES)):
+            if turn:
+                left = shelf.put(_mixed(left.select("bucket", "key"), labels), f"left-{step}-{turn}")
+                if not left.limit(1).count():
+                    break
+            counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+            ahead = shelf.put(left.join(heads, ["bucket", "key"]).join(counts, "bucket").join(sigs, "key"), f"ahead-{step}-{turn}")
+            tails = left.join(counts, "bucket").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(sigs, "key")
+            spread = ahead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+            found = spread.groupBy("bucket", "salt").cogroup(tails.groupBy("bucket", "salt")).applyInPandas(_blocks(first, end), "a long, b long").distinct()
+            pairs = shelf.put(found.join(compared, ["a", "b"], "left_anti"), f"pairs-{step}-{turn}")
+            compared = compared.union(pairs)
+            links = shelf.put(links.union(_verified(pairs, texts, shelf, f"more-{step}-{turn}", threshold)), f"links-{step}-{turn}")
+            labels = components(links, shelf, f"labels-{step}-{turn}")
         ends = heads.groupBy("bucket").agg(F.max("key").alias("upto"))
         members = left.join(ends, "bucket").filter("key > upto").select("bucket", "key")
 
