@@ -1,24 +1,26 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-For each benchmark item, every document window of the item's size that shares a
-five-word shingle with it gets a 64-bit SimHash of its words. Fingerprints within
-``RADIUS`` bits of an item's agree with it on one of ``RADIUS + 1`` blocks at
-least, so joining on (size, block, value) finds all of them; the bits are then
-counted. Candidates are verified by the exact similarity of their five-word
-shingles weighted by occurrence (sum of minima over sum of maxima).
+A document holds a benchmark item if a window of the item's size has a similarity
+of 0.8 to it: that of their five-word shingles weighted by occurrence (sum of
+minima over sum of maxima). Every window that can reach it is compared exactly.
+The best window's 64-bit SimHash of words, and how many of its bits differ from the
+item's, is given with the match but decides nothing: at 0.8 about 10 of 64 bits are
+expected to differ, far more where words repeat, so each radius loses matches.
 
 Words are maximal runs of letters and digits in lower case, so punctuation that
 sticks to a passage does not hide it.
 
 Scale. The pass over the corpus is one narrow scan that looks up shingles of the
-benchmark; a window without a shared shingle has similarity zero, so this skips
-no candidate. The lookup is broadcast only if the benchmark's shingles were
-counted and are few, and is a shuffled join otherwise. Hits are folded to
-distinct windows before they meet the texts again, joined by row.
+benchmark, broadcast only if they were counted and are few, and a shuffled join
+otherwise. For each document and item the places of shared shingles are gathered.
+A window starts at one of them (moving it up to its first shared shingle loses
+nothing) and has so many of them as the threshold asks for; places that are too
+few in a window's length never meet the texts again.
 
 Defined cases: null and empty texts match nothing; a window that would run past
 the document's end is moved back, or is the whole document where that is
-shorter; items of fewer than five words are no evidence and match nothing; items
+shorter; of equal windows the first that starts with a shared shingle is given;
+items of fewer than five words are no evidence and match nothing; items
 that repeat each get their rows; an empty benchmark gives no rows; other columns
 are ignored. Null item ids and doc ids are carried as they are.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._shared import KEY, Shelf, keyed
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 11
+SHINGLE, THRESHOLD = 5, 0.8
 #: The most benchmark shingles, of 24 bytes each, that are broadcast.
 BROADCAST_ROWS = 1_000_000
 _LANES = 16
@@ -82,10 +84,13 @@ def _bits(sums: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in range(64)])
 
 
-def _blocks(bits: Column, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint, each with its number."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+def _starts(at: Column, n: Column, size: Column, threshold: float) -> Column:
+    """Starts of the windows that hold enough of the sorted places to reach the threshold, moved back where they would run past the end."""
+    width = F.least(n, size) - (SHINGLE - 1)
+    # Shares of o in two multisets of a and b: o / (a + b - o) >= t where o >= (a + b) t / (1 + t).
+    least = F.ceil((n - (SHINGLE - 1) + width) * (threshold / (1 + threshold)) - 1e-9).cast("int")
+    enough = F.filter(at, lambda p, i: F.get(at, i + least - 1) - p < width)
+    return F.array_distinct(F.transform(enough, lambda p: F.greatest(F.lit(0), F.least(p, size - n))))
 
 
 def _occurrences(df: DataFrame, name: str) -> DataFrame:
@@ -94,33 +99,32 @@ def _occurrences(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("ordered", F.sort_array(name)).withColumn(name, F.transform(ordered, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(ordered, x)))).drop("ordered")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, shelf: Shelf, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, shelf: Shelf, threshold: float = THRESHOLD) -> DataFrame:
     """_k, doc_id, item_id, start, n_words, hamming, similarity: each document's best window for each item. ``docs`` has the row key."""
     ids = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.monotonically_increasing_id()).withColumn("ids", word_ids(F.col("text"))).filter(F.size("ids") >= SHINGLE)
     items = ids.select("item", "item_id", F.size("ids").alias("n"), "ids", fingerprint(F.col("ids")).alias("sums"))
     items = shelf.put(_with_shingles(items).select("item", "item_id", "n", _bits(F.col("sums")).alias("bits"), "shingles"), "items")
-    grams = shelf.put(items.select("item", "n", F.posexplode_outer("shingles").alias("at", "gram")).groupBy("gram", "n", "at").agg(F.min("item").alias("item")), "grams")
+    grams = shelf.put(items.select("item", "n", F.explode_outer(F.array_distinct("shingles")).alias("gram")), "grams")
     few = grams.count() <= BROADCAST_ROWS
     lookup = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     # The outer form makes Spark add no filter that would evaluate the shingles again; its null rows find no partner.
     here = _with_shingles(docs.select(KEY, word_ids(F.col("text")).alias("ids"))).select(KEY, F.size("ids").alias("size"), F.posexplode_outer("shingles").alias("p", "gram"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("size") - F.col("n")))
-    places = here.join(lookup(grams), "gram").select(KEY, "n", start.alias("start")).distinct()
-    hits = shelf.put(places.groupBy(F.col(KEY).alias("key")).agg(F.collect_list(F.struct("start", "n")).alias("places")), "hits", free=True)
+    shared = here.join(lookup(grams), "gram").groupBy(KEY, "item", "n", "size").agg(F.sort_array(F.collect_list("p")).alias("at"))
+    places = shared.select(KEY, "item", "n", _starts(F.col("at"), F.col("n"), F.col("size"), threshold).alias("starts")).filter(F.size("starts") > 0)
+    hits = shelf.put(places.groupBy(F.col(KEY).alias("key")).agg(F.collect_list(F.struct("item", "n", "starts")).alias("places")), "hits", free=True)
     texts = docs.select(KEY, "doc_id", "text")
     found = texts.join(hits.hint("shuffle_hash"), texts[KEY] == hits["key"]).select(KEY, "doc_id", word_ids(F.col("text")).alias("ids"), "places")
-    windows = found.select(KEY, "doc_id", "ids", F.explode_outer("places").alias("w")).select(KEY, "doc_id", "w.start", "w.n", F.slice("ids", F.col("w.start") + 1, F.col("w.n")).alias("words"))
-    summed = windows.select(KEY, "doc_id", "start", "n", "words", fingerprint(F.col("words")).alias("sums"))
-    marked = shelf.put(_occurrences(_with_shingles(summed, "words").select(KEY, "doc_id", "start", "n", _bits(F.col("sums")).alias("print"), "shingles"), "shingles"), "windows", free=True)
-    keys = marked.select(KEY, "start", "n", "print", F.inline_outer(_blocks(F.col("print"), radius)))
-    sides = items.select("item", "n", "bits", F.inline_outer(_blocks(F.col("bits"), radius)))
-    pairs = keys.join(lookup(sides), ["n", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("bits"))) <= radius).select(KEY, "start", "n", "item", F.bit_count(F.col("print").bitwiseXOR(F.col("bits"))).alias("hamming")).distinct()
-    weighed = _occurrences(items.select("item", "item_id", F.col("shingles").alias("other")), "other")
-    both = pairs.join(marked.select(KEY, "doc_id", "start", "n", "shingles"), [KEY, "start", "n"]).join(lookup(weighed), "item")
-    shared = F.size(F.array_intersect("shingles", "other"))
-    scored = both.withColumn("similarity", shared / (F.size("shingles") + F.size("other") - shared)).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy(KEY, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus_start"), "n", "hamming", "doc_id", "item_id")).alias("b"))
-    return best.select(KEY, "b.doc_id", "b.item_id", (-F.col("b.minus_start")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"), F.col("b.hamming").cast("int").alias("hamming"), "b.similarity")
+    each = _with_shingles(found).select(KEY, "doc_id", "ids", "shingles", F.inline_outer("places")).select(KEY, "doc_id", "ids", "shingles", "item", "n", F.explode_outer("starts").alias("start"))
+    width = F.least(F.col("n"), F.size("ids")) - (SHINGLE - 1)
+    windows = each.select(KEY, "doc_id", "item", "n", "start", F.slice("ids", F.col("start") + 1, F.col("n")).alias("words"), F.slice("shingles", F.col("start") + 1, width).alias("shingles"))
+    marked = _occurrences(windows, "shingles")
+    weighed = _occurrences(items.select("item", "item_id", "bits", F.col("shingles").alias("other")), "other")
+    common = marked.join(lookup(weighed), "item").withColumn("common", F.size(F.array_intersect("shingles", "other")))
+    scored = common.withColumn("similarity", F.col("common") / (F.size("shingles") + F.size("other") - F.col("common"))).filter(F.col("similarity") >= threshold)
+    best = scored.groupBy(KEY, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus_start"), "n", "doc_id", "item_id", "bits", "words")).alias("b"))
+    summed = best.select(KEY, "b.*").withColumn("sums", fingerprint(F.col("words"))).drop("words")
+    hamming = F.bit_count(_bits(F.col("sums")).bitwiseXOR(F.col("bits"))).cast("int")
+    return summed.select(KEY, "doc_id", "item_id", (-F.col("minus_start")).cast("long").alias("start"), F.col("n").cast("long").alias("n_words"), hamming.alias("hamming"), "similarity")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -124,6 +124,36 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(docs([]), bench).count() == 0
 
 
+def shingles_of(words):
+    return collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def test_decontamination_edited_ends(spark, docs):
+    rng = random.Random(6)
+    items, rows = [prose(n, rng).split() for n in (50, 60, 100, 200)], []
+    items.append(items[0][:30] + ["same"] * 30)
+    for item in items:
+        most = len(item) // 9
+        for cut in [most, most - 1, most - 2] * 2:
+            front, back = prose(9, rng).split(), prose(80, rng).split()
+            rows += [front + item[: len(item) - cut] + back, front + back + item[cut:] + front, front + item[: len(item) - cut], front + item[cut // 2 : len(item) - cut // 2] + back]
+        half = len(item) // 2
+        rows += [back + item[half:] + item[:half] + front, item[:-cut], item[: len(item) - cut] + ["end"] * cut]
+    def similarity(words, item, start):
+        a, b = shingles_of(item), shingles_of(words[start : start + len(item)])
+        common = (a & b).total()
+        return round(common / (a.total() + b.total() - common), 9)
+
+    values = {(i, j): max(similarity(words, item, s) for s in range(max(1, len(words) - len(item) + 1))) for i, words in enumerate(rows) for j, item in enumerate(items) if set(words) & set(item)}
+    want = {k: v for k, v in values.items() if v >= 0.8}
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    made = decontaminate.contaminated(docs([(i, " ".join(w), "s") for i, w in enumerate(rows)]), bench).collect()
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in made}
+    assert sum(v < 0.9 for v in want.values()) > 50
+    assert (len(made), got) == (len(want), want)
+    assert all(similarity(rows[r.doc_id], items[r.item_id], r.start) == got[r.doc_id, r.item_id] for r in made)
+
+
 def test_html():
     page = b"<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a></nav><div class='ad'>Buy, now.</div><article><h1>Head &amp; line</h1><p>A <b>bo</b>ld  text.<br>Next<p>Two</p><script>var x='</p>';</script></article><footer>c</footer>"
     assert html.main_text(page) == "Head & line A bold text. Next Two"
