@@ -4,9 +4,11 @@ Every text node of a page has a path of tags from the root. For each path the
 nodes, characters of text and punctuation marks are summed; text per node and
 punctuation per node are smoothed over the order in which paths first appear
 (a heading between paragraphs gains from them), and fused by multiplication. The
-threshold is the standard deviation of the fused ratios. Paths through elements
-that say what they are (nav, footer, form, an advert's class and the like) count
-as nothing; where a page marks its article, paths in it pass and others do not.
+threshold is the standard deviation of the fused ratios, on every page. Paths through
+elements that say what they are (nav, footer, form, an advert's class and the like)
+count as nothing. Two checks follow: where a path that passed is in what the page
+marks as its article, paths outside go; and a heading, which is short, comes along
+where a path that passed is in the element that it heads.
 
 Text nodes join into blocks at block-level tags. Tags of scripts and styles, and
 comments, hold no text. Unclosed tags close the way HTML closes them; markup cut
@@ -45,6 +47,7 @@ ASIDE_WORDS = frozenset(
     "reply replies respond disqus share sharing social related recommended newsletter subscribe popup modal login signup search pagination pager toolbar skip copyright legal disclaimer complementary contentinfo".split()
 )
 MAIN = frozenset(("article", "main"))
+_HEADING = re.compile(r"(?:^|/)h[1-6][+-]?$")
 _MAIN_WORDS = frozenset(("article", "articlebody", "main", "maincontent", "post", "postcontent", "entrycontent", "storybody", "content"))
 
 
@@ -140,10 +143,13 @@ def chosen_paths(paths: list[str], nodes: np.ndarray, characters: np.ndarray, ma
     dots = np.where(aside, 0, marks / np.maximum(nodes, 1))
     fused = _smooth(per) * (1 + _smooth(dots))
     fused[aside] = 0
-    if (main & (characters > 0)).any():
-        # The page says where its article is; within it, what has any text passes.
-        return main & (fused > 0)
-    return (fused > 0) & (fused >= min(fused.std(), fused.max()))
+    keep = (fused > 0) & (fused >= min(fused.std(), fused.max()))
+    if (keep & main).any():
+        # The page says where its article is: what passed outside goes.
+        keep &= main
+    within = {"/".join(p.split("/")[:k]) for p, kept in zip(paths, keep) if kept for k in range(p.count("/") + 1)}
+    heads = np.array([bool(_HEADING.search(p)) and p.rpartition("/")[0] in within for p in paths], bool)
+    return keep | (heads & ~aside & (characters > 0) & (main | ~(keep & main).any()))
 
 
 def main_text(html: bytes | None) -> str:
