@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts.
 
 A message's content is a string or a list of parts of type text, image, audio or
-document. A visitor flattens the parts, in order, into text and placeholders, and
+document; in a table, an array of structs in column ``content`` or ``text``, or a
+plain ``text``, which becomes one text part. A visitor flattens the parts, in order, into text and placeholders, and
 records for each attachment its reference and how many tokens it expands to. The
 template marks turns; control strings inside texts are escaped so that the
 formatted string reads back to the same turns, and a loss mask covers each
@@ -17,8 +18,9 @@ Scale. A conversation is one row of output, so its turns meet in one task; the
 grouping combines nothing else, and its size is that of the conversation.
 
 Defined cases: null texts are empty; a null role is the empty role; a null
-conv_id is a conversation of its own; turns are ordered by number, null first,
-and equal numbers by role and text; repeated rows are turns of their own; other
+conv_id is a conversation of its own; null parts are left out, and a part without a
+type is text; turns are ordered by number, null first,
+and equal numbers by role and content; repeated rows are turns of their own; other
 columns are ignored.
 """
 
@@ -31,8 +33,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: The strings with a meaning in the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[TURN]", "[/TURN]", "[IMAGE]", "[AUDIO]", "[DOCUMENT]")
@@ -68,7 +71,7 @@ class PartVisitor:
     def flatten(self, content: str | list[dict] | None) -> str:
         if content is None or isinstance(content, str):
             return escape(content or "")
-        return "".join(getattr(self, f"visit_{part.get('type', 'text')}", self.visit_unknown)(part) for part in content)
+        return "".join(getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part) for part in content if part is not None)
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")
@@ -138,17 +141,28 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for turns in batch.column("turns").to_pylist():
-            made = format_turns([(t["role"], t["text"]) for t in turns])
-            out.append({"n_turns": len(turns), "formatted": made.text, "mask": [{"start": a, "end": b} for a, b in made.mask]})
+            made = format_turns([(t["role"], t["parts"]) for t in turns])
+            attachments = [{"kind": a.kind, "reference": a.reference, "tokens": a.tokens, "turn": a.turn} for a in made.attachments]
+            out.append({"n_turns": len(turns), "formatted": made.text, "mask": [{"start": a, "end": b} for a, b in made.mask], "attachments": attachments})
         mask = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([x["n_turns"] for x in out], pa.int64()), pa.array([x["formatted"] for x in out], pa.string()), pa.array([x["mask"] for x in out], mask)], names=["conv_id", "n_turns", "formatted", "mask"])
+        attached = pa.list_(pa.struct([("kind", pa.string()), ("reference", pa.string()), ("tokens", pa.int64()), ("turn", pa.int64())]))
+        columns = [pa.array([x[name] for x in out], kind) for name, kind in (("n_turns", pa.int64()), ("formatted", pa.string()), ("mask", mask), ("attachments", attached))]
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names=["conv_id", "n_turns", "formatted", "mask", "attachments"])
+
+
+def _parts(conversations: DataFrame) -> Column:
+    """The parts of each turn: column ``content`` where it is an array of parts, else ``text``; plain text is one text part."""
+    for name in ("content", "text"):
+        if name in conversations.columns and isinstance(conversations.schema[name].dataType, ArrayType):
+            return F.col(name)
+    return F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text")))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, formatted, mask for each conversation."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
+    """conv_id, n_turns, formatted, mask, attachments for each conversation."""
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), _parts(conversations).alias("parts")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return grouped.mapInArrow(_rows, "conv_id long, n_turns long, formatted string, mask array<struct<start:int,end:int>>")
+    return grouped.mapInArrow(_rows, "conv_id long, n_turns long, formatted string, mask array<struct<start:int,end:int>>, attachments array<struct<kind:string,reference:string,tokens:long,turn:long>>")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -275,6 +275,17 @@ def test_chat_tables(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_tables_of_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    see = [("text", "see <s>", None, None, None, None, None), ("image", None, "a.png", 56, 28, None, None), None, ("audio", None, "b", None, None, 2.0, None), ("document", None, "c", None, None, None, 2)]
+    rows = [(1, 0, "user", see), (1, 1, "assistant", [(None, "ok", None, None, None, None, None)]), (2, 0, "user", None)]
+    got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{part}>").withColumn("text", F.lit("x"))).collect()}
+    assert got[1].formatted == "<s>[INST]see <\\s>[IMAGE][AUDIO][DOCUMENT][/INST]ok</s>" and got[2].formatted == "<s>[INST][/INST]"
+    assert [tuple(a) for a in got[1].attachments] == [("image", "a.png", 2, 0), ("audio", "b", 50, 0), ("document", "c", 512, 0)] and got[2].attachments == []
+    plain = chat.formatted(spark.createDataFrame([(1, 0, "user", "a<s>")], "conv_id long, turn long, role string, text string")).first()
+    assert plain.formatted == "<s>[INST]a<\\s>[/INST]" and plain.attachments == []
+
+
 def test_mixing(docs):
     rows = corpus()
     got = mixing.mix(docs(rows, True)).collect()
