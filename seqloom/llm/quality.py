@@ -1,8 +1,9 @@
 """Quality classification: histogram gradient-boosted trees over document statistics.
 
 Statistics are taken of the whole text in one scan. The trees are fitted on the
-driver, on at most ``sample`` labelled rows, those with the least hash of their
-id; that bound is the only one. A fitted forest is a handful of flat arrays of
+driver, on at most ``sample`` labels, those with the least hash of their id, and
+where repeated ids make more rows of them, on at most so many distinct rows, those
+with the least hash of the row, each with its count; there is no other bound. A fitted forest is a handful of flat arrays of
 fixed size, in which all documents of a batch go down all trees together.
 
 Defined cases: null texts score as empty ones; empty texts have statistics of
@@ -88,34 +89,44 @@ class Forest:
         return 1 / (1 + np.exp(-margin))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Forest:
-    """Newton boosting of the logistic loss with histograms of at most ``BINS`` bins; the same rows give the same trees in any order."""
-    share = (y.sum() + 1) / (len(y) + 2)
+def _quantiles(sorted_: np.ndarray, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The lower quantiles of sorted values that each stand for so many."""
+    return sorted_[np.searchsorted(counts.cumsum(), np.floor(q * (counts.sum() - 1)), side="right")]
+
+
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> Forest:
+    """Newton boosting of the logistic loss with histograms of at most ``BINS`` bins; the same rows give the same trees in any order.
+
+    A row with a count ``n`` stands for so many equal rows.
+    """
+    n = np.ones(len(y)) if n is None else n.astype(np.float64)
+    share = ((n * y).sum() + 1) / (n.sum() + 2)
     start = float(np.log(share / (1 - share)))
     inner = 2**DEPTH - 1
     none = Forest(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)), start)
-    if len(y) < 2 * LEAST or y.min() == y.max():
+    if n.sum() < 2 * LEAST or y.min() == y.max():
         return none
     order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order].astype(np.float64)
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
+    x, y, n = x[order], y[order].astype(np.float64), n[order]
+    ranks = [np.argsort(x[:, j], kind="stable") for j in range(x.shape[1])]
+    edges = [np.unique(_quantiles(x[r, j], n[r], np.linspace(0, 1, BINS + 1)[1:-1])) for j, r in enumerate(ranks)]
     bins = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
     flat = bins + np.arange(x.shape[1]) * BINS
     margin = np.full(len(y), start)
     features, thresholds, leaves = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = n * (p - y), n * p * (1 - p)
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), np.int64)
         for k in range(inner):
             rows = np.flatnonzero(node == k)
-            if len(rows) < 2 * LEAST:
+            if n[rows].sum() < 2 * LEAST:
                 node[rows] = 2 * k + 1
                 continue
             cells = flat[rows].ravel()
             width = x.shape[1]
-            sums = [np.bincount(cells, np.repeat(v, width), width * BINS).reshape(width, BINS).cumsum(axis=1) for v in (g[rows], h[rows], np.ones(len(rows)))]
+            sums = [np.bincount(cells, np.repeat(v, width), width * BINS).reshape(width, BINS).cumsum(axis=1) for v in (g[rows], h[rows], n[rows])]
             gl, hl, nl = sums
             gt, ht, nt = gl[:, -1:], hl[:, -1:], nl[:, -1:]
             gain = gl**2 / (hl + RIDGE) + (gt - gl) ** 2 / (ht - hl + RIDGE) - gt**2 / (ht + RIDGE)
@@ -152,10 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_fold: i
     chosen = known.filter(fold(F.col("doc_id"), folds) != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
     measured = rows.mapInArrow(_measured, "quality int, " + ", ".join(f"{c} double" for c in FEATURES))
-    # Repeated ids may make more rows of the chosen labels; the same bound holds for them.
-    table = measured.orderBy(*FEATURES, "quality").limit(sample).toArrow()
+    # Repeated ids may make more rows of the chosen labels: equal ones are counted, and the same bound holds for distinct ones, by hash.
+    distinct = measured.groupBy(*FEATURES, "quality").agg(F.count("*").alias("n"))
+    table = distinct.orderBy(F.xxhash64(*FEATURES, "quality"), *FEATURES, "quality").limit(sample).toArrow()
     x = np.stack([table[c].to_numpy() for c in FEATURES], axis=1).astype(np.float64)
-    return fit(x, (table["quality"].to_numpy() == 1).astype(np.int64))
+    return fit(x, (table["quality"].to_numpy() == 1).astype(np.int64), table["n"].to_numpy())
 
 
 def _scored(forest: Forest):

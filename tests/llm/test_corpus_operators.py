@@ -232,6 +232,26 @@ def test_quality_odd_tables(spark, docs):
     assert quality.accepted(docs(rows, True), forest, 0.0).count() == len(rows)
 
 
+def test_quality_counts_repeated_rows(spark, docs):
+    rng = random.Random(8)
+    learnt = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, prose(5 + i, rng), "s") for i in range(60)] + [(learnt, prose(200 + i, rng), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    old, quality.fit = quality.fit, lambda x, y, *n: seen.append((x, y, *n)) or old(x, y, *n)
+    try:
+        quality.learn(docs(rows), labels, sample=60)
+        quality.learn(docs(rows[:60] * 40), labels, sample=60)
+    finally:
+        quality.fit = old
+    # The longest texts are in the sample too, and repeats are counted instead of taking its places.
+    assert seen[0][0][:, 0].max() > np.log1p(200)
+    x, y, n = seen[1]
+    assert len(x) == len(np.unique(x, axis=0)) > 30 and set(n) == {40}
+    a, b = old(x, y, n), old(np.repeat(x, 40, axis=0), np.repeat(y, 40))
+    assert np.allclose(a.scores(x), b.scores(x))
+
+
 def test_token_counts_match_the_library(docs):
     from tokenizers import Tokenizer, models
 
