@@ -7,6 +7,7 @@ partitioning; rows are edited in Arrow batches.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,18 @@ def order_controls(key: object, sequence: str, motif: Motif, threshold: float, m
         return []
     rng, out = _generator(key, "order"), []
     before = set(np.flatnonzero(scores >= threshold))
+    # Once every distinct order was drawn, no further draw can add one.
+    part = sequence[hits[0] : hits[0] + len(motif)]
+    orders, seen = math.factorial(len(part)) // math.prod(math.factorial(part.count(b)) for b in set(part)), set()
     for _ in range(max(200 * most, 2000)):
+        if len(seen) == orders:
+            break
         made = _shuffled(sequence, hits[0], len(motif), rng)
-        if made != sequence and made not in out:
+        if made != sequence and made not in seen:
             after = scan_scores([made], motif)[0]
             if after[hits[0]] < scores[hits[0]] and set(np.flatnonzero(after >= threshold)) <= before - {hits[0]}:
                 out.append(made)
+        seen.add(made)
         if len(out) == most:
             break
     return out
@@ -63,7 +70,7 @@ def outside_controls(key: object, sequence: str, motif: Motif, threshold: float,
     return out
 
 
-def control_panel(df: DataFrame, motif: Motif, threshold: float, most: int = 3) -> DataFrame:
+def control_panel(df: DataFrame, motif: Motif, threshold: float, most: int = 20, least: int = 5) -> DataFrame:
     """doc_id, kind, edit, sequence, informative: both kinds of controls of each row; rows with too few say why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +79,9 @@ def control_panel(df: DataFrame, motif: Motif, threshold: float, most: int = 3)
             for key, sequence in zip(batch["doc_id"], batch["seq"]):
                 for kind, make in (("order", order_controls), ("outside", outside_controls)):
                     made = make(key, sequence, motif, threshold, most)
-                    rows += [(key, kind, i, s, True, None) for i, s in enumerate(made)] or [(key, kind, -1, None, False, "no control")]
+                    enough = len(made) >= least
+                    reason = None if enough else f"fewer than {least} controls"
+                    rows += [(key, kind, i, s, enough, reason) for i, s in enumerate(made)] or [(key, kind, -1, None, False, "no control")]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "edit", "sequence", "informative", "exclusion_reason"])
 
     return df.select("doc_id", "seq").mapInPandas(run, "doc_id long, kind string, edit int, sequence string, informative boolean, exclusion_reason string")

@@ -119,3 +119,18 @@ def test_readers(spark, tmp_path):
 def test_content_hash_ignores_order(spark):
     df = spark.range(10)
     assert sinks.content_hash(df).first() == sinks.content_hash(df.orderBy(F.desc("id"))).first()
+
+
+def test_control_panel_fills_to_twenty_and_asks_for_five(spark):
+    motif = mo.Motif(tuple((0.05, 0.85, 0.05, 0.05) if b == "C" else (0.05, 0.05, 0.05, 0.85) for b in "CUUUUCU"))
+    rng = np.random.default_rng(4)
+    varied = "".join(rng.choice(list("AG"), 97)) + "CUUUUCU" + "".join(rng.choice(list("AG"), 97))
+    rows = spark.createDataFrame([(1, varied), (2, "AAACUUUUCUAAA"), (3, "A" * 97 + "G" * 104)], "doc_id long, seq string")
+    got = {}
+    for r in controls.control_panel(rows, motif, 5.0).collect():
+        got.setdefault((r.doc_id, r.kind), []).append(r)
+    assert len(got[1, "outside"]) == 20 and all(r.informative for r in got[1, "outside"])
+    assert len(got[1, "order"]) > 5 and all(r.informative for r in got[1, "order"])
+    assert all(not r.informative and r.exclusion_reason for r in got[2, "outside"] + got[3, "order"] + got[3, "outside"])
+    few = controls.control_panel(rows.filter("doc_id = 1"), motif, 5.0, most=4).collect()
+    assert len(few) == 8 and not any(r.informative for r in few) and {r.exclusion_reason for r in few} == {"fewer than 5 controls"}
