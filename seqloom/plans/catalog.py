@@ -762,17 +762,37 @@ def logreg_score(s, d):
     return _standard(windows(s, d)).select("doc_id", _6(1 / (1 + F.exp(-z))).alias("p"))
 
 
-def _fitted(s, d, weighted: bool):
+GRID = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def best_logistic(train, validation):
+    """The model of the grid's C with the best average precision on the validation rows, and that C; of equal ones the smallest C."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    train, validation = train.persist(), validation.persist()
+    n, best = max(1, train.count()), None
+    for c in GRID:
+        model = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False).fit(train)
+        ranked = model.transform(validation).select(F.lit(0).alias("all_rows"), "label", vector_to_array("probability")[1].alias("score"))
+        row = metrics.average_precision(ranked, ["all_rows"]).first()
+        # Without both labels there is no ranking, and the smallest C stays.
+        ap = -1.0 if row is None or row.ap is None else row.ap
+        if best is None or ap > best[2]:
+            best = model, c, ap
+    train.unpersist()
+    validation.unpersist()
+    return best[0], best[1]
+
+
+def _fitted(s, d, weighted: bool):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     z = _standard(windows(s, d))
     z = z.join(_weighted(s, d).select("doc_id", "w"), "doc_id") if weighted else z.withColumn("w", F.lit(1.0))
     table_ = VectorAssembler(inputCols=list(_FEATURES), outputCol="features").transform(z)
-    train = table_.filter("split = 'train'")
-    n = max(1, train.count())
-    model = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(train)
+    model, _ = best_logistic(table_.filter("split = 'train'"), table_.filter("split = 'validation'"))
     return model.transform(table_).select("doc_id", "split", _6(vector_to_array("probability")[1]).alias("p"))
 
 

@@ -134,3 +134,27 @@ def test_control_panel_fills_to_twenty_and_asks_for_five(spark):
     assert all(not r.informative and r.exclusion_reason for r in got[2, "outside"] + got[3, "order"] + got[3, "outside"])
     few = controls.control_panel(rows.filter("doc_id = 1"), motif, 5.0, most=4).collect()
     assert len(few) == 8 and not any(r.informative for r in few) and {r.exclusion_reason for r in few} == {"fewer than 5 controls"}
+
+
+def test_logistic_grid_takes_the_best_validation_precision(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from seqloom.plans import catalog
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 3))
+    y = (x[:, 0] + 2 * rng.normal(size=240) > 0).astype(int)
+    frame = lambda a, b: spark.createDataFrame([(Vectors.dense(v), int(k), 1.0) for v, k in zip(x[a:b], y[a:b])], ["features", "label", "w"])
+    train, held = frame(0, 24), frame(24, 240)
+    aps = {}
+    for c in (0.01, 0.1, 1.0, 10.0, 100.0):
+        with_one = catalog.GRID
+        catalog.GRID = (c,)
+        model, _ = catalog.best_logistic(train, held)
+        catalog.GRID = with_one
+        rows = sorted(((r.p, r.label) for r in model.transform(held).select(vector_to_array("probability")[1].alias("p"), "label").collect()), reverse=True)
+        tops = np.cumsum([k for _, k in rows])
+        aps[c] = sum(t / (i + 1) for i, (t, (_, k)) in enumerate(zip(tops, rows)) if k) / tops[-1]
+    _, chosen = catalog.best_logistic(train, held)
+    assert chosen == max(aps, key=aps.get) != 1.0
