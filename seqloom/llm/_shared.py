@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import re
 import tempfile
 import time
 import uuid
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than space, tab, LF, VT, FF and CR; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-KEY = "_k"
+KEY, BOX = "_k", "_row"
 #: Texts longer than this are cut into words piece by piece, so that one text never becomes one huge list.
 PIECE = 1 << 22
 _GAPS = b" \t\n\r\x0b\x0c"
@@ -67,6 +66,10 @@ class Shelf:
             release(self.spark)
         return out
 
+    def get(self, name: str) -> DataFrame:
+        """A table put before, read anew: for plans in which it stands twice."""
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 
@@ -79,17 +82,34 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def boxed(df: DataFrame, *names: str) -> DataFrame:
+    """The columns named, and all columns of each row in one struct, where no name of theirs can clash with one of ours.
+
+    ``select(f"{BOX}.*")`` gives the rows back as they came.
+    """
+    return df.select(F.struct(*(quoted(c) for c in df.columns)).alias(BOX), *(quoted(n) for n in names))
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def keyed(df: DataFrame, name: str = "input") -> DataFrame:
     """Adds a row key. It is the row's place in the scan, so it survives null and repeated ids.
 
-    The key must come out the same each time that the plan runs. That holds for
-    scans; anything behind a shuffle is first written to the shared folder.
+    The key must come out the same each time that the plan runs. That holds where the
+    plan is nothing but projections and filters of file scans; any other is first
+    written to the shared folder.
     """
-    if KEY in df.columns:
-        raise ValueError(f"{KEY} is reserved")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if re.search(r"Exchange|Aggregate|Join|Sort|Limit|Sample|Python|Pandas|Arrow|Adaptive", plan):
-        df = Shelf(df.sparkSession, name).put(df, "rows")
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        kind, children = node.nodeName(), node.children()
+        if kind not in ("Project", "Filter") and not kind.startswith("LogicalRelation") and not (children.isEmpty() and "Relation" in kind and "Local" not in kind):
+            df = Shelf(df.sparkSession, name).put(df, "rows")
+            break
+        todo += [children.apply(i) for i in range(children.size())]
     return df.withColumn(KEY, F.monotonically_increasing_id())
 
 

@@ -8,39 +8,47 @@ similarity. A document's processes end as soon as their next arrival comes after
 the latest first arrival of all registers.
 
 Registers are banded. Documents with the same words fold into one class before
-the banding; each bucket then links its members to one leader, links are verified
-on whole texts by the exact probability Jaccard similarity, and classes are the
-connected components. Buckets whose members are not in one component after that
-go on with blocks of further leaders until every pair that shares a bucket is in
-one component, or was compared; no member and no partner is capped. A block is
-compared in passes, each member's likeliest leaders first, so that in a large group
-most pairs are in one component before their turn comes. What is left then is mostly
-pairs of a little under 0.8; longer signatures tell these before texts are joined.
+the banding. Each bucket links its members to one leader: the member that shares
+buckets with most others, as a group's middle reaches more of it than its rim does.
+Links are verified on whole texts by the exact probability Jaccard similarity, and
+classes are the connected components.
+
+Buckets whose members are then in several components go on: their members gather by
+leader, so that a group that shares forty buckets with one leader gathers once, and
+get longer signatures, one each. Every two members of different components are
+compared by these, in blocks of a bounded size, and likely pairs are verified on
+texts: each member's best partner first, as this joins most of what belongs together
+and leaves few pairs for the last pass, which takes all that is left. No member and
+no partner is capped.
 
 Scale. Signatures are made in the scan; only representatives of classes are
 banded. Buckets are counted with map-side combination, members join their leader
-(Spark splits skewed joins), and blocks are salted. The chance to miss a pair at
-similarity 0.8 is (1 - 0.8**7)**40, below 9 in 100,000, and less above it.
+(Spark splits skewed joins), and gathered groups are cut into blocks, of which every
+two meet in a task of their own. The chance to miss a pair at similarity 0.8 is
+(1 - 0.8**7)**40, below 9 in 100,000, and less above it; 4.2 standard deviations of
+the signatures' estimate add 13 in a million. The comparison of signatures within a
+group of many components grows with the square of the group; pairs that are verified
+grow so only where most pairs of a large group lie between 0.75 and 0.8.
 
 Defined cases: a text of fewer than five words is one shingle of all its words;
-null texts and texts without words are alone; repeated rows are copies; other
-columns are ignored; the class id is the least doc_id of the class, null where
-all are null.
+null texts and texts without words are alone; a very long text is one row of any
+length, its words are hashed piece by piece; repeated rows are copies; other columns,
+of any name, are ignored by ``classes`` and kept by ``one_of_each``; the class id is
+the least doc_id of the class, null where all are null; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import KEY, Powers, Shelf, binary, keyed, mix, rolling, word_hashes
+from ._shared import BOX, KEY, Powers, Shelf, binary, boxed, keyed, mix, rolling, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -48,10 +56,10 @@ ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
 #: Pairs whose signatures agree less than this are not verified: over four standard deviations below the threshold.
 LIKELY = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Leaders in a block, members in a salted piece of a bucket.
-LEADERS, MEMBERS = 1024, 1024
-#: Ranks at which the passes over a block start: each compares more of a member's heads, where labels still differ.
-PASSES = (0, 1, 16, LEADERS)
+#: Members in a block of a group that is compared.
+BLOCK = 2048
+#: Partners, best first, that the passes over the groups verify for each member and block; the last takes all.
+PASSES = (1, 16, None)
 #: Registers, of a byte each, of the longer signatures made for members of buckets that the first leaders leave in several components.
 LONG = 1280
 LIKELY_LONG = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / LONG) ** 0.5
@@ -208,24 +216,46 @@ def _verify(threshold: float):
     return run
 
 
-def _blocks(first: int, end: int):
-    """Pairs of a head and a later member of other labels whose signatures agree.
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Registers at which each row of x agrees with each row of y."""
+    out = np.zeros((len(x), len(y)), np.int16)
+    for i, sig in enumerate(x):
+        out[i] = np.count_nonzero(y == sig, axis=1)
+    return out
 
-    Each member ranks all heads of the bucket that come before it, best agreement first; the pairs
-    of ranks first to end - 1 are given. Ranks hold for the block, whatever the labels become.
+
+def _pairs(most: int | None):
+    """Likely pairs of different labels in a block, or between two blocks: for each member its best partners.
+
+    Members of the commonest label are not compared with each other.
     """
 
-    def run(heads: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if heads.empty or members.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        heads = heads.sort_values("key")
-        x, y = (np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1) for t in (heads, members))
-        at, keys = heads["key"].to_numpy(np.int64), members["key"].to_numpy(np.int64)
-        agree = np.column_stack([np.count_nonzero(y == sig, axis=1) for sig in x])
-        agree[(keys[:, None] <= at) | (agree < LIKELY_LONG * LONG)] = 0
-        order = np.argsort(-agree, axis=1, kind="stable")[:, first:end]
-        fit = (np.take_along_axis(agree, order, 1) > 0) & (members["label"].to_numpy()[:, None] != heads["label"].to_numpy()[order])
-        return pd.DataFrame({"a": at[order[fit]], "b": keys[np.nonzero(fit)[0]]})
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key")
+        key, label, block = (part[c].to_numpy(np.int64) for c in ("key", "label", "block"))
+        sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
+        labels, counts = np.unique(label, return_counts=True)
+        common = label == labels[counts.argmax()]
+        lo, hi = block.min(), int(part["hi"].iloc[0])
+        if part["lo"].iloc[0] == hi:
+            turns = [(np.flatnonzero(~common), np.arange(len(part)))]
+        else:
+            turns = [(np.flatnonzero(~common & (block == hi)), np.flatnonzero(block == lo)), (np.flatnonzero(common & (block == hi)), np.flatnonzero(~common & (block == lo)))]
+        found = []
+        for rows, columns in turns:
+            if len(rows) and len(columns):
+                agree = _agreement(sig[rows], sig[columns])
+                agree[(label[rows][:, None] == label[columns]) | (agree < LIKELY_LONG * LONG)] = 0
+                if len(turns) == 1:
+                    # Two members of uncommon labels are met from both sides.
+                    agree[~common[columns] & (columns >= rows[:, None])] = 0
+                if most is not None and most < len(columns):
+                    least = np.partition(agree, len(columns) - most, axis=1)[:, len(columns) - most]
+                    agree[agree < least[:, None]] = 0
+                i, j = np.nonzero(agree)
+                found.append((key[rows[i]], key[columns[j]]))
+        a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -238,57 +268,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, shelf: Shelf, name: str, thres
     return shelf.put(joined.mapInArrow(_verify(threshold), "a long, b long, similarity double"), name, free=True)
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with labels, of buckets that hold more than one label."""
-    rest = members.join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    return rest.join(mixed, "bucket", "left_semi")
+def _mixed(members: DataFrame, labels: DataFrame, by: str, shelf: Shelf, name: str) -> DataFrame:
+    """The members, with labels, of groups that hold more than one label."""
+    rest = members.join(labels, members["key"] == labels["node"], "left").select(*members.columns, F.coalesce("label", "key").alias("label"))
+    bounds = rest.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    # Written, so that the join is planned by its size and not dealt by the group.
+    mixed = shelf.put(bounds.filter("lo != hi").select(by), f"{name}-mixed")
+    return rest.join(mixed, by, "left_semi")
+
+
+def _gathered(members: DataFrame, labels: DataFrame, sigs: DataFrame, shelf: Shelf, name: str) -> DataFrame | None:
+    """lead, lo, hi, block, key, label, sig: each member once for each two blocks of its group that include its own. None where nothing is left."""
+    left = shelf.put(_mixed(members, labels, "lead", shelf, name), f"{name}-left")
+    sizes = shelf.put(left.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), f"{name}-sizes")
+    if not sizes.limit(1).count():
+        return None
+    placed = left.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).join(sigs, "key")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return spread.select("lead", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "label", "sig")
 
 
 def _classes(rows: DataFrame, shelf: Shelf, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(key, label) of each row with words, where label is the least key of its class; verified links of representatives."""
     signed = shelf.put(rows.select(KEY, "text").mapInArrow(_sign, _SIGNED), "signed")
-    copies = signed.groupBy("d1", "d2").agg(F.min("key").alias("rep"))
+    # Written, so that the join is not dealt by the grouping: a large group of copies can be split.
+    copies = shelf.put(signed.groupBy("d1", "d2").agg(F.min("key").alias("rep")), "copies")
     same = shelf.put(signed.select("key", "d1", "d2").join(copies, ["d1", "d2"]).select("key", "rep"), "same")
     reps = signed.join(same.filter("key = rep").select("key"), "key", "left_semi")
     member = reps.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
-    leads = member.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    members = shelf.put(member.join(leads, "bucket").select("bucket", "key", "lead"), "members")
-    some = members.select("key").distinct()
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = shelf.put(member.join(sizes, "bucket").select("bucket", "key", "n"), "shared")
+    central = shared.groupBy("key").agg(F.sum("n").alias("weight"))
+    first = shared.join(central, "key").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("key")).alias("minus"))).alias("top"))
+    members = shelf.put(shared.join(first.select("bucket", (-F.col("top.minus")).alias("lead")), "bucket").filter("key != lead").select("bucket", "lead", "key"), "members")
+    star = shelf.put(members.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "star")
+    some = shelf.put(star.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "some")
+    shelf.drop("shared")
     sigs = shelf.put(reps.join(some, "key", "left_semi").select("key", "sig"), "sigs")
+    shelf.drop("signed")
     texts = shelf.put(rows.select(F.col(KEY).alias("key"), "text").join(some.hint("shuffle_hash"), "key", "left_semi"), "texts", free=True)
-    star = members.filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     near = star.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = shelf.put(near.select("a", "b", "sig_a", "sig_b").mapInPandas(_likely, "a long, b long"), "pairs-0")
     links = _verified(pairs, texts, shelf, "links-0", threshold)
     labels = components(links, shelf, "labels-0")
-    # Members that come after the leaders done with, which is the first leader now.
-    step, compared, members = 0, pairs, members.filter("key != lead").select("bucket", "key")
-    while True:
-        step += 1
-        left = shelf.put(_mixed(members, labels), f"left-{step}")
-        if not left.limit(1).count():
-            return same.join(labels, same["rep"] == labels["node"], "left").select("key", F.coalesce("label", "rep").alias("label")), links
-        if step == 1:
-            sigs = shelf.put(texts.join(left.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_sign_long, "key long, sig binary"), "long")
-        order = Window.partitionBy("bucket").orderBy("key")
-        heads = shelf.put(left.select("bucket", "key", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= LEADERS).select("bucket", "key"), f"heads-{step}")
-        for turn, (first, end) in enumerate(pairwise(PASSES)):
-            if turn:
-                left = shelf.put(_mixed(left.select("bucket", "key"), labels), f"left-{step}-{turn}")
-                if not left.limit(1).count():
-                    break
-            counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-            ahead = shelf.put(left.join(heads, ["bucket", "key"]).join(counts, "bucket").join(sigs, "key"), f"ahead-{step}-{turn}")
-            tails = left.join(counts, "bucket").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(sigs, "key")
-            spread = ahead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-            found = spread.groupBy("bucket", "salt").cogroup(tails.groupBy("bucket", "salt")).applyInPandas(_blocks(first, end), "a long, b long").distinct()
-            pairs = shelf.put(found.join(compared, ["a", "b"], "left_anti"), f"pairs-{step}-{turn}")
-            compared = compared.union(pairs)
-            links = shelf.put(links.union(_verified(pairs, texts, shelf, f"more-{step}-{turn}", threshold)), f"links-{step}-{turn}")
-            labels = components(links, shelf, f"labels-{step}-{turn}")
-        ends = heads.groupBy("bucket").agg(F.max("key").alias("upto"))
-        members = left.join(ends, "bucket").filter("key > upto").select("bucket", "key")
+    compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    groups = shelf.put(_mixed(members, labels, "bucket", shelf, "first").select("lead", "key").distinct(), "groups")
+    shelf.drop("sigs")
+    long = None
+    for turn, most in enumerate(PASSES, 1):
+        if long is None:
+            asked = groups.select("key").distinct()
+            long = shelf.put(texts.join(asked, "key", "left_semi").select("key", "text").mapInArrow(_sign_long, "key long, sig binary"), "long")
+        spread = _gathered(groups, labels, long, shelf, f"pass-{turn}")
+        if spread is None:
+            break
+        found = spread.groupBy("lead", "lo", "hi").applyInPandas(_pairs(most), "a long, b long").distinct()
+        pairs = shelf.put(found.join(compared, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        compared = compared.union(pairs)
+        links = links.union(_verified(pairs, texts, shelf, f"links-{turn}", threshold))
+        labels = components(links, shelf, f"labels-{turn}")
+    for name in ("texts", "long", "members", "some"):
+        shelf.drop(name)
+    return same.join(labels, same["rep"] == labels["node"], "left").select("key", F.coalesce("label", "rep").alias("label")), links
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -305,9 +346,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns given, one row of each class: that of the least doc_id, then the first in the scan."""
     shelf = Shelf(docs.sparkSession, "near")
-    rows = keyed(docs, "near")
+    rows = keyed(boxed(docs, "doc_id", "text"), "near")
     labels, _ = _classes(rows.select(KEY, "text"), shelf, threshold)
     ids = rows.select(KEY, "doc_id").join(labels, rows[KEY] == labels["key"], "inner").select(KEY, "doc_id", "label")
     stay = ids.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("first")).select(F.col(f"first.{KEY}").alias("stays"))
     gone = shelf.put(ids.join(stay, ids[KEY] == stay["stays"], "left_anti").select(F.col(KEY).alias("gone")), "gone")
-    return rows.join(gone.hint("shuffle_hash"), rows[KEY] == gone["gone"], "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("shuffle_hash"), rows[KEY] == gone["gone"], "left_anti").select(f"{BOX}.*")
