@@ -21,8 +21,10 @@ Defined cases: null and empty texts match nothing; a window that would run past
 the document's end is moved back, or is the whole document where that is
 shorter; of equal windows the first that starts with a shared shingle is given;
 items of fewer than five words are no evidence and match nothing; items
-that repeat each get their rows; an empty benchmark gives no rows; other columns
-are ignored. Null item ids and doc ids are carried as they are.
+that repeat each get their rows; an empty benchmark or table gives no rows; a very
+long text is one row, whose words are one array; other columns, of any name, are
+ignored by ``contaminated`` and kept by ``clean``. Null item ids and doc ids are
+carried as they are.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import KEY, Shelf, keyed
+from ._shared import BOX, KEY, Shelf, boxed, keyed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: The most benchmark shingles, of 24 bytes each, that are broadcast.
 BROADCAST_ROWS = 1_000_000
-_LANES = 16
-_LANE_MASK = 0x0001000100010001
+#: A sum of hash bits holds three counters of 22 bits: bits j, j + 22 and j + 44 of a word's hash.
+_LANES, _WIDTH = 22, 22
+_LANE_MASK = 1 | 1 << _WIDTH | 1 << 2 * _WIDTH
 
 
 def word_ids(text: Column) -> Column:
@@ -59,12 +62,8 @@ def _with_shingles(df: DataFrame, ids: str = "ids", name: str = "shingles") -> D
 
 
 def fingerprint(ids: Column) -> Column:
-    """64-bit SimHash of word hashes: each bit is the majority of the words' bits, in sums of 16 lanes of four counters.
-
-    A counter holds 15 bits, so windows over 32,767 words vote by every so many words.
-    """
-    stride = F.ceil(F.size(ids) / F.lit(32767)).cast("int")
-    votes = F.filter(ids, lambda _, i: i % stride == 0)
+    """64-bit SimHash of word hashes: each bit is the majority of the words' bits, counted for up to 4,194,303 words."""
+    votes = ids
     zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(_LANES)])
     sums = F.aggregate(
         votes,
@@ -78,7 +77,7 @@ def fingerprint(ids: Column) -> Column:
 def _bits(sums: Column) -> Column:
     def bit(k: int) -> Column:
         lane, slot = k % _LANES, k // _LANES
-        count = F.shiftrightunsigned(sums["sums"][f"s{lane}"], 16 * slot).bitwiseAND(F.lit(0xFFFF))
+        count = F.shiftrightunsigned(sums["sums"][f"s{lane}"], _WIDTH * slot).bitwiseAND(F.lit((1 << _WIDTH) - 1 if slot < 2 else (1 << 64 - 2 * _WIDTH) - 1))
         return F.shiftleft((count * 2 > sums["n"]).cast("long"), k)
 
     return reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in range(64)])
@@ -105,7 +104,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, shelf: Shelf, threshold: floa
     items = ids.select("item", "item_id", F.size("ids").alias("n"), "ids", fingerprint(F.col("ids")).alias("sums"))
     items = shelf.put(_with_shingles(items).select("item", "item_id", "n", _bits(F.col("sums")).alias("bits"), "shingles"), "items")
     grams = shelf.put(items.select("item", "n", F.explode_outer(F.array_distinct("shingles")).alias("gram")), "grams")
-    few = grams.count() <= BROADCAST_ROWS
+    # Repeats count too: both what is looked up and the items' own lists are broadcast, or neither.
+    few = (items.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_ROWS
     lookup = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     # The outer form makes Spark add no filter that would evaluate the shingles again; its null rows find no partner.
     here = _with_shingles(docs.select(KEY, word_ids(F.col("text")).alias("ids"))).select(KEY, F.size("ids").alias("size"), F.posexplode_outer("shingles").alias("p", "gram"))
@@ -137,6 +137,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns given, without the documents that hold an item."""
     shelf = Shelf(docs.sparkSession, "decontaminate")
-    rows = keyed(docs, "decontaminate")
+    rows = keyed(boxed(docs, "doc_id", "text"), "decontaminate")
     found = shelf.put(matches(rows.select(KEY, F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, shelf, threshold).select(F.col(KEY).alias("held")).distinct(), "held", free=True)
-    return rows.join(found.hint("shuffle_hash"), rows[KEY] == found["held"], "left_anti").select(*docs.columns)
+    return rows.join(found.hint("shuffle_hash"), rows[KEY] == found["held"], "left_anti").select(f"{BOX}.*")

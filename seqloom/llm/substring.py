@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ._shared import KEY, Powers, Shelf, binary, keyed, mix, rolling, word_hashes, words_of
+from ._shared import BOX, KEY, Powers, Shelf, binary, keyed, mix, quoted, rolling, word_hashes, words_of
 
 #: Perfect difference sets: each non-zero residue is a difference of just one pair. Fixed values.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -205,12 +206,11 @@ def remove_repeats(docs: DataFrame, width: int = 35, texts: bool = False) -> Dat
 def rows_with_repeats_removed(docs: DataFrame, width: int = 35) -> DataFrame:
     """The rows and columns given, with shortened texts; rows of which no word is left go."""
     shelf = Shelf(docs.sparkSession, "substring")
-    rows = keyed(docs, "substring")
-    # The rows' own columns are packed first: they may have any names.
-    rest = [c for c in docs.columns if c != "text"]
-    packed = rows.select(KEY, *([F.struct(*rest).alias("row")] if rest else []), "text")
+    # The rows' own columns are packed: they may have any names.
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    rows = keyed(docs.select(F.struct(*(quoted(c) for c in rest), F.lit(0)).alias(BOX), "text"), "substring")
     starts = repeated_starts(rows.select(KEY, "text"), shelf, width)
-    packed = packed.join(starts.hint("shuffle_hash"), packed[KEY] == starts["key"], "left").drop(KEY, "key")
-    schema = (f"row {packed.schema['row'].dataType.simpleString()}, " if rest else "") + "n_words long, n_removed long, kept_sha256 string, kept_text binary"
+    packed = rows.join(starts.hint("shuffle_hash"), rows[KEY] == starts["key"], "left").select(BOX, "text", "at")
+    schema = StructType([packed.schema[BOX], *(StructField(n, t()) for n, t in (("n_words", LongType), ("n_removed", LongType), ("kept_sha256", StringType), ("kept_text", BinaryType)))])
     out = packed.mapInArrow(_cut(width, True), schema).filter("NOT (n_removed > 0 AND n_removed = n_words)")
-    return out.select(*[(F.expr("cast(kept_text AS string)") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[(F.expr("cast(kept_text AS string)") if c.lower() == "text" else F.col(BOX).getField(c)).alias(c) for c in docs.columns])
