@@ -9,17 +9,21 @@ weights mixes the predictions of all depths. Where a context was never seen in
 training, the mixture ends at the deepest one that was.
 
 All that training needs are the counts of six-byte sequences. They grow with the
-corpus and are counted over all of it, like the words of the base model. The
-tree is computed by partitions of the last three bytes, which hold whole
-subtrees; the levels above hang on at most 65,280 nodes of depth one.
-
-Scoring looks sequences and words up. The most frequent ones, a bounded number
-whatever the corpus, are broadcast; all others are joined, and as they are rare
-no key of that join is hot. Nothing is dropped: both ways give the same sums.
-
-Defined cases: null texts are empty and score their end alone; repeated rows are
-texts of their own; null doc_ids count as training rows; an empty table gives no
-rows; other columns are ignored.
+corpus and are counted over all of it, like the words of the base model. Texts are
+folded by segments of some 24 MB: a segment sends each of its sequences and words once,
+packed by parts, and gets the value of each back the same way. Parts are dealt by the
+latest three bytes of the context, so a part holds whole subtrees of depth three; the
+levels above are sums over a part's nodes, and sums of these.
+
+Scale. One plan at every size; scores do not depend on how texts are dealt, to the last
+bit. What is sent grows with the distinct sequences of the segments, not with their
+bytes. A context of three bytes has at most 2**24 sequences, which bounds what cannot be
+split; segments that meet in a part are dealt to salts by what they hold. Only the
+depth-one nodes, at most 65,280, come to the driver.
+
+Defined cases: null texts are empty and score their end alone; a very long text is a
+segment of its own, worked through in pieces; repeated rows are texts of their own; null
+doc_ids count as training rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +40,12 @@ from pyspark.sql import functions as F
 from ._shared import KEY, Shelf, binary, keyed, mix, words_of
 
 DEPTH, END = 5, b"\n"
-#: Entries of the broadcast tables, of 12 bytes each.
-FREQUENT = 1_500_000
-#: Sequences that one task of the tree holds, about.
-PART = 250_000
-#: Bytes of text that a task gathers before it counts.
-SEGMENT = 24 << 20
+#: Bytes of text in a segment, and in the pieces that it is worked through in.
+SEGMENT, CHUNK = 24 << 20, 2 << 20
+#: Parts: one for so many bytes of text, within bounds.
+PART_BYTES, PARTS = 4 << 20, (64, 4096)
+#: Sequences of different segments that meet in one task.
+TOGETHER = 2_000_000
 WORD, GRAM = 0, 1
 _U8, _255 = np.uint64(8), np.uint64(255)
 _END_HASH = xxhash.xxh64_intdigest(END)
@@ -82,14 +86,22 @@ class Level:
     def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, stop: np.ndarray) -> None:
         self.node, self.zeros, self.ones, self.weighted, self.stop = node, zeros, ones, weighted, stop
 
-    def parent(self) -> tuple[Level, np.ndarray]:
-        """The depth above, and where each node's parent is in it."""
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """Nodes of the depth above, their zeros, ones and what their children weigh, and where each node's parent is among them."""
         above = ((self.node >> np.uint64(16)) << _U8) | (self.node & _255)
         node, at = np.unique(above, return_inverse=True)
-        zeros, ones, children = (np.bincount(at, x, len(node)) for x in (self.zeros, self.ones, self.weighted))
+        return node, *(np.bincount(at, x, len(node)) for x in (self.zeros, self.ones, self.weighted)), at
+
+    def parent(self) -> tuple[Level, np.ndarray]:
+        """The depth above, and where each node's parent is in it."""
+        *sums, at = self.sums()
+        return Level.over(*sums), at
+
+    @classmethod
+    def over(cls, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> Level:
         own = kt(zeros, ones)
         weighted = np.logaddexp(own, children) - np.log(2)
-        return Level(node, zeros, ones, weighted, np.exp(own - np.log(2) - weighted)), at
+        return cls(node, zeros, ones, weighted, np.exp(own - np.log(2) - weighted))
 
     def mixed(self, above: tuple[np.ndarray, ...] | None, at: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """Probability of a one mixed so far, weight that is left, last prediction: passed down from the depth above."""
@@ -112,292 +124,344 @@ def bottom(keys: np.ndarray, counts: np.ndarray) -> tuple[Level, np.ndarray, np.
     return Level(node, zeros, ones, kt(zeros, ones), np.ones(len(node))), at, bits
 
 
-def modelled(text: bytes | None) -> bytes:
-    """The byte string that is scored."""
-    return b" ".join(b" ".join(w) for w in words_of((text or b"").lower()) if w) + END
+def modelled(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """The byte string that is scored, and a hash of each token."""
+    one, parts, hashes = xxhash.xxh64_intdigest, [], []
+    for words in words_of((text or b"").lower()):
+        if words:
+            parts.append(b" ".join(words))
+            hashes.append(np.fromiter(map(one, words), np.uint64, len(words)))
+    return b" ".join(parts) + END, np.concatenate([*hashes, np.array([_END_HASH], np.uint64)])
 
 
-def sequences(data: bytes) -> np.ndarray:
-    """Each byte with the five before it, latest first: zeros stand before the text."""
-    x = np.concatenate([np.zeros(DEPTH, np.uint64), np.frombuffer(data, np.uint8).astype(np.uint64)])
-    n = len(data)
+def sequences(data: np.ndarray) -> np.ndarray:
+    """Each byte from the sixth on with the five before it, latest first."""
+    n = len(data) - DEPTH
     out = np.zeros(n, np.uint64)
     for d in range(1, DEPTH + 1):
-        out = (out << _U8) | x[DEPTH - d : DEPTH - d + n]
-    return (out << _U8) | x[DEPTH:]
+        out = (out << _U8) | data[DEPTH - d : DEPTH - d + n]
+    return (out << _U8) | data[DEPTH:]
 
 
-def _token_hashes(text: bytes | None) -> np.ndarray:
-    one = xxhash.xxh64_intdigest
-    parts = [np.fromiter(map(one, w), np.uint64, len(w)) for w in words_of((text or b"").lower())]
-    return np.concatenate([*parts, np.array([_END_HASH], np.uint64)])
+def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sequences of the texts in order, a bounded number at a time: which text, and the sequence. Zeros stand before a text.
+
+    Only texts above the bound are cut, at the same places wherever they stand.
+    """
+    held: list[bytes] = []
+    owners: list[tuple[int, int]] = []
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        index, sizes = np.array(owners, np.int64).T
+        all_ = sequences(np.frombuffer(b"".join(held), np.uint8).astype(np.uint64))
+        fit = np.ones(len(all_) + DEPTH, bool)
+        first = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+        fit[(first[:, None] + np.arange(DEPTH)).ravel()] = False
+        held.clear()
+        owners.clear()
+        return np.repeat(index, sizes), all_[fit[DEPTH:]]
+
+    size = 0
+    for i, data in enumerate(texts):
+        for s in range(0, len(data), CHUNK):
+            before, piece = data[max(0, s - DEPTH) : s], data[s : s + CHUNK]
+            held.append(before.rjust(DEPTH, b"\0") + piece)
+            owners.append((i, len(piece)))
+            size += len(piece)
+            if size >= CHUNK:
+                yield made()
+                size = 0
+    if held:
+        yield made()
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, key, n: counts in training texts; sequences of other texts with count 0, so that each gets its probability."""
+def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[int | None], list[bytes | None]]]:
+    """A partition's rows in segments: the key of the first row, doc_ids, texts. The same cuts each time that the partition is read."""
+    key, ids, texts, size = None, [], [], 0
+    for batch in batches:
+        for k, doc_id, text in zip(batch.column(KEY).to_pylist(), batch.column("doc_id").to_pylist(), binary(batch.column("text"))):
+            key = k if key is None else key
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text or b"") + 1
+            if size >= most:
+                yield key, ids, texts
+                key, ids, texts, size = None, [], [], 0
+    if ids:
+        yield key, ids, texts
+
+
+def _fold(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts added up."""
+    keys, at = np.unique(np.concatenate([k for k, _ in found] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in found] or [np.zeros(0)]), len(keys)).astype(np.int64)
+
+
+def _keys(ids: list[int | None], made: list[tuple[bytes, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The distinct words and sequences of a segment with their counts in its training texts."""
+    learnt = np.array([not held_out(i) for i in ids])
+    words = [np.unique(hashes, return_counts=True) for _, hashes in made]
+    words = _fold([(k, n * learn) for (k, n), learn in zip(words, learnt)])
+    grams = []
+    for owner, keys in _chunks([data for data, _ in made]):
+        fit = learnt[owner]
+        grams.append(np.unique(keys[fit], return_counts=True))
+        if not fit.all():
+            others = np.unique(keys[~fit])
+            grams.append((others, np.zeros(len(others), np.int64)))
+    return words, _fold(grams)
+
+
+def _dealt(kind: int, keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys of each part that has any, in the order of the keys."""
+    part = mix(keys if kind == WORD else keys >> np.uint64(24)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    for p in np.flatnonzero(np.diff(ends)):
+        yield int(p), order[ends[p] : ends[p + 1]]
+
+
+_PIECES = "seg long, kind int, part int, n long, keys binary, counts binary"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _pieces(parts: int, segment: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, ids, texts in _segments(batches, segment):
+            for kind, (keys, counts) in enumerate(_keys(ids, [modelled(t) for t in texts])):
+                yield _rows(_PIECES, [(seg, kind, part, len(at), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for part, at in _dealt(kind, keys, parts)])
+
+    return run
+
+
+def _texts(segment: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, ids, texts in _segments(batches, segment):
+            for s in range(0, len(ids), 256):
+                yield _rows("seg long, doc_id long, text binary", [(seg, i, t) for i, t in zip(ids[s : s + 256], texts[s : s + 256])])
+
+    return run
 
-    def table(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s in range(0, len(keys), 1 << 17):
-            part = keys[s : s + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(counts[s : s + (1 << 17)].astype(np.int64))], names=["kind", "key", "n"])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        yield from table(WORD, *np.unique(np.concatenate(words or [np.zeros(0, np.uint64)]), return_counts=True))
-        keys, counts = np.unique(np.concatenate(grams or [np.zeros(0, np.uint64)]), return_counts=True)
-        others = np.setdiff1d(np.concatenate(unseen or [np.zeros(0, np.uint64)]), keys)
-        yield from table(GRAM, keys, counts)
-        yield from table(GRAM, others, np.zeros(len(others)))
-        for held in (words, grams, unseen):
-            held.clear()
+def _packed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-    words: list[np.ndarray] = []
-    grams: list[np.ndarray] = []
-    unseen: list[np.ndarray] = []
-    size = 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
-            data = modelled(text)
-            for s in range(0, len(data), SEGMENT):
-                # A piece begins with the bytes that are context for it.
-                made = sequences(data[max(0, s - DEPTH) : s + SEGMENT])[min(s, DEPTH) :]
-                size += len(made)
-                if held_out(doc_id):
-                    unseen.append(np.unique(made))
-                else:
-                    grams.append(made)
-                if size >= SEGMENT:
-                    yield from flush()
-                    size = 0
-            if not held_out(doc_id):
-                words.append(_token_hashes(text))
-    yield from flush()
 
+_COUNTS = "kind int, part int, tokens long, distinct long, n long, keys binary, counts binary"
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
 
+def _added(wide: bool):
+    """One row for each group: its keys in order, and their counts added up."""
 
-_NODES = "node long, zeros double, ones double, weighted double"
+    def run(rows: pa.Table) -> pa.Table:
+        keys, counts = _fold([(_packed(rows["keys"], np.uint64), _packed(rows["counts"], np.int64 if wide else np.uint32))])
+        made = (rows["kind"][0].as_py(), rows["part"][0].as_py(), int(counts.sum()), int((counts > 0).sum()), len(keys), keys.tobytes(), counts.tobytes())
+        return pa.Table.from_batches([_rows(_COUNTS, [made])])
+
+    return run
+
+
+_NODES = "part int, node long, zeros double, ones double, children double"
+
+
+def _levels(keys: bytes, counts: bytes) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The depths 5, 4 and 3 of a part, the links between them, and each decision's node of depth 5 and bit."""
+    level, at, bits = bottom(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
+    levels, links = [level], []
+    for _ in range(DEPTH - 3):
+        level, link = level.parent()
+        levels.append(level)
+        links.append(link)
+    return levels, links, at, bits
 
 
-def _table(level: Level) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(level.node.view(np.int64)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.weighted)], names=["node", "zeros", "ones", "weighted"])
+def _table(schema: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in schema.split(", ")]
+    for s in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)]) for c in columns], names=names)
 
 
-def _numpy(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(n).to_numpy() for n in names]
+def _sums(level: Level) -> list[np.ndarray]:
+    """What a level adds to the one above. Weights in steps of 2**-20: their sums are exact, so their order does not matter."""
+    level.weighted = np.round(level.weighted * 2.0**20) / 2.0**20
+    node, *sums, _ = level.sums()
+    return [node.view(np.int64), *sums]
 
 
 def _lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sequences to the nodes of depth 3."""
-    if (rows := _whole(batches)) is not None:
-        keys, counts = _numpy(rows, "key", "n")
-        level = bottom(keys.view(np.uint64), counts)[0]
-        for _ in range(DEPTH - 3):
-            level = level.parent()[0]
-        yield _table(level)
+    """From the sequences of each part to what it adds to the nodes of depth 2."""
+    for batch in batches:
+        for part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "counts"))):
+            node, *sums = _sums(_levels(keys, counts)[0][-1])
+            yield from _table(_NODES, np.full(len(node), part, np.int32), node, *sums)
+
 
+def _numpy(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy() for n in names]
 
-def _third(rows: pa.Table) -> Level:
-    node, zeros, ones, weighted = _numpy(rows, "node", "zeros", "ones", "weighted")
-    # The stop weight follows from the node's own estimate and its weighted probability.
-    return Level(node.view(np.uint64), zeros, ones, weighted, np.exp(kt(zeros, ones) - np.log(2) - weighted))
+
+def _second(batch: pa.RecordBatch) -> Level:
+    node, *sums = _numpy(batch, "node", "zeros", "ones", "children")
+    return Level.over(node.view(np.uint64), *sums)
 
 
 def _upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From depth 3 to depth 1."""
-    if (rows := _whole(batches)) is not None:
-        yield _table(_third(rows).parent()[0].parent()[0])
+    """From depth 2 to what it adds to depth 1."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from _table("node long, zeros double, ones double, children double", *_sums(_second(batch)))
+
+
+_STATE = "node long, done double, left double, last double"
 
 
 def _downward(shared):
-    """From depth 1, which is known, to depth 3."""
+    """Depth 2's states from those of depth 1, which are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (rows := _whole(batches)) is None:
-            return
-        third = _third(rows)
-        second, to_second = third.parent()
-        first, to_first = second.parent()
         known, *state = shared.value
-        above = tuple(x[np.searchsorted(known, first.node)] for x in state)
-        state = third.mixed(second.mixed(above, to_first), to_second)
-        yield pa.RecordBatch.from_arrays([pa.array(third.node.view(np.int64)), *map(pa.array, state)], names=["node", "done", "left", "last"])
+        for batch in batches:
+            if batch.num_rows:
+                level = _second(batch)
+                above = ((level.node >> np.uint64(16)) << _U8) | (level.node & _255)
+                yield from _table(_STATE, level.node.view(np.int64), *level.mixed(tuple(state), np.searchsorted(known, above)))
 
     return run
 
 
-def _probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, n, log10 probability, of a partition's sequences and what depth 3 hands down."""
-    rows = _whole(batches)
-    if rows is None:
-        return
-    node, key, n, *state = _numpy(rows, "node", "key", "n", "done", "left", "last")
-    tree = rows.column("n").is_null().to_numpy()
-    order = np.argsort(node[tree].astype(np.int64).view(np.uint64))
-    known, state = node[tree].astype(np.int64).view(np.uint64)[order], [x[tree][order] for x in state]
-    keys, counts = key[~tree].astype(np.int64).view(np.uint64), n[~tree].astype(np.int64)
-    if not len(keys):
-        return
-    level, at, bits = bottom(keys, counts)
-    levels, links = [level], []
-    for _ in range(DEPTH - 3):
-        level, link = level.parent()
-        levels.append(level)
-        links.append(link)
-    above = tuple(x[np.searchsorted(known, level.node)] for x in state)
-    for level, link in zip(levels[-2::-1], links[::-1]):
-        above = level.mixed(above, link)
-    done, left, last = above
-    one = (done + left * last)[at]
-    logs = np.log10(np.where(bits, one, 1 - one)).reshape(8, len(keys)).sum(axis=0)
-    for s in range(0, len(keys), 1 << 17):
-        e = s + (1 << 17)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[s:e].view(np.int64)), pa.array(counts[s:e]), pa.array(logs[s:e])], names=["key", "n", "value"])
-
-
-def tree(grams: DataFrame, shelf: Shelf) -> DataFrame:
-    """key, n, value (log10 of the byte's probability after its context) for each sequence counted."""
-    spark = grams.sparkSession
-    parts = max(1, -(-grams.count() // PART))
-    high = F.shiftrightunsigned("key", 24)
-    dealt = grams.select("key", "n").repartition(parts, high)
-    third = shelf.put(dealt.mapInArrow(_lower, _NODES), "third")
-    latest = F.shiftrightunsigned("node", 24)
-    some = max(1, min(256, parts))
+def _probabilities(rows: pa.Table, states: pa.Table) -> pa.Table:
+    """Adds, for each sequence of a part, log10 of its byte's probability after its context."""
+    made = []
+    for kind, part, n, keys, counts in zip(*(rows[c].to_pylist() for c in ("kind", "part", "n", "keys", "counts"))):
+        levels, links, at, bits = _levels(keys, counts)
+        known, *state = _numpy(states, "node", "done", "left", "last")
+        order = np.argsort(known.view(np.uint64))
+        known, state = known.view(np.uint64)[order], tuple(x[order] for x in state)
+        node, *_, link = levels[-1].sums()
+        above = levels[-1].mixed(tuple(x[np.searchsorted(known, node)] for x in state), link)
+        for level, link in zip(levels[-2::-1], links[::-1]):
+            above = level.mixed(above, link)
+        done, left, last = above
+        one = (done + left * last)[at]
+        logs = np.log10(np.where(bits, one, 1 - one)).reshape(8, -1).sum(axis=0)
+        made.append((kind, part, n, keys, logs.tobytes()))
+    return pa.Table.from_batches([_rows(_VALUES, made)])
+
+
+_VALUES = "kind int, part int, n long, keys binary, vals binary"
+
+
+def tree(counts: DataFrame, shelf: Shelf) -> DataFrame:
+    """kind, part, n, keys and their values (log10 of the byte's probability after its context) of the parts counted."""
+    spark = counts.sparkSession
+    third = shelf.put(counts.mapInArrow(_lower, _NODES), "third")
+    names = ("zeros", "ones", "children")
+    second = shelf.put(third.groupBy("node").agg(*(F.sum(c).alias(c) for c in names)), "second")
+    up = second.mapInArrow(_upper, "node long, zeros double, ones double, children double")
     # At most 256 contexts of one byte, with 255 nodes each.
-    first = third.repartition(some, latest).mapInArrow(_upper, _NODES).toArrow().sort_by("node")
-    level = Level(first["node"].to_numpy().view(np.uint64), *(first[c].to_numpy() for c in ("zeros", "ones", "weighted")), None)
-    level.stop = np.exp(kt(level.zeros, level.ones) - np.log(2) - level.weighted)
+    first = up.groupBy("node").agg(*(F.sum(c).alias(c) for c in names)).toArrow().sort_by("node")
+    level = _second(first)
     root, to_root = level.parent()
-    state = level.mixed(root.mixed(None, None), to_root)
-    shared = spark.sparkContext.broadcast((level.node, *state))
-    down = third.repartition(some, latest).mapInArrow(_downward(shared), "node long, done double, left double, last double")
-    none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    nodes = down.select("node", *none(("key", "long"), ("n", "long")), "done", "left", "last", F.shiftrightunsigned("node", 8).alias("high"))
-    leaves = grams.select(*none(("node", "long")), "key", "n", *none(("done", "double"), ("left", "double"), ("last", "double")), high.alias("high"))
-    return shelf.put(nodes.union(leaves).repartition(parts, "high").drop("high").mapInArrow(_probabilities, "key long, n long, value double"), "tree", free=True)
-
-
-class Lookup:
-    """An open-addressing table of 64-bit keys that answers whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.mask = np.int64((1 << self.bits) - 1)
-        self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.keys, self.values = keys, values
-        at, todo = self._home(keys), np.arange(len(keys), dtype=np.int32)
-        while len(todo):
-            free = self.slot[at] < 0
-            self.slot[at[free]] = todo[free]
-            lost = self.slot[at] != todo
-            at, todo = (at[lost] + 1) & self.mask, todo[lost]
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int32)
-        at, todo = self._home(keys), np.arange(len(keys))
-        while len(todo):
-            got = self.slot[at]
-            same = (got >= 0) & (self.keys[got] == keys[todo]) if len(self.keys) else np.zeros(len(todo), bool)
-            out[todo[same]] = got[same]
-            on = ~same & (got >= 0)
-            at, todo = (at[on] + 1) & self.mask, todo[on]
-        return out
-
-
-#: The tables of the run in hand, made once in each Python worker.
-_MADE: dict[str, tuple[Lookup, Lookup]] = {}
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, *tables = shared.value
-        if name not in _MADE:
-            _MADE.clear()
-            _MADE[name] = tuple(Lookup(*x) for x in tables)
-        words, grams = _MADE[name]
-        rare_type = pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("times", pa.int64())]))
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text"))):
-                tokens = _token_hashes(text)
-                at = words.find(tokens)
-                got = at >= 0
-                known, base = int(got.sum()), float(words.values[at[got]].sum(dtype=np.float64))
-                rare = [(WORD, *x) for x in zip(*(y.tolist() for y in np.unique(tokens[~got].view(np.int64), return_counts=True)))]
-                score, data = 0.0, modelled(text)
-                for s in range(0, len(data), SEGMENT):
-                    made = sequences(data[max(0, s - DEPTH) : s + SEGMENT])[min(s, DEPTH) :]
-                    where = grams.find(made)
-                    got = where >= 0
-                    score += float(grams.values[where[got]].sum(dtype=np.float64))
-                    if not got.all():
-                        rare += [(GRAM, *x) for x in zip(*(y.tolist() for y in np.unique(made[~got].view(np.int64), return_counts=True)))]
-                out.append((held_out(doc_id), len(tokens), len(data), known, base, score, [{"kind": a, "key": b, "times": c} for a, b, c in rare]))
-            held, n, size, known, base, score, rare = zip(*out) if out else ((),) * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY), batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, rare_type)],
-                names=[KEY, "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "sum", "rare"],
-            )
+    shared = spark.sparkContext.broadcast((level.node, *level.mixed(root.mixed(None, None), to_root)))
+    states = third.select("part", "node").join(second.mapInArrow(_downward(shared), _STATE), "node")
+    return shelf.put(counts.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(_probabilities, _VALUES), "tree", free=True)
+
+
+_ANSWERS = "seg long, kind int, part int, vals binary"
+
+
+def _answers(pieces: pa.Table, values: pa.Table) -> pa.Table:
+    """For each segment's keys of a part their values."""
+    known, found = _packed(values["keys"], np.uint64), _packed(values["vals"], np.float64)
+    rows = zip(*(pieces[c].to_pylist() for c in ("seg", "kind", "part", "keys")))
+    return pa.Table.from_batches([_rows(_ANSWERS, [(s, k, p, found[np.searchsorted(known, np.frombuffer(keys, np.uint64))].tobytes()) for s, k, p, keys in rows])])
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, n_bytes long, base_score double, score double, bits_per_byte double"
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key, all of which are known. Sorted first, as look-ups in order are much faster."""
+    order = np.argsort(keys)
+    at = keys[order]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    out = np.empty(len(keys))
+    out[order] = values[np.searchsorted(known, at[new])][np.cumsum(new) - 1]
+    return out
+
+
+def _scored(tokens: int, distinct: int, parts: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, made = texts["doc_id"].to_pylist(), [modelled(t) for t in binary(texts["text"])]
+        got = {(k, p): v for k, p, v in zip(*(answers[c].to_pylist() for c in ("kind", "part", "vals")))}
+        tables = []
+        for kind, (keys, _) in enumerate(_keys(ids, made)):
+            values = np.empty(len(keys))
+            for part, at in _dealt(kind, keys, parts):
+                values[at] = np.frombuffer(got[kind, part], np.float64)
+            tables.append((keys, values))
+        score = np.zeros(len(ids))
+        for owner, keys in _chunks([data for data, _ in made]):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            score[owner[starts]] += np.add.reduceat(_looked_up(keys, *tables[GRAM]), starts)
+        rows, zero = [], np.log10(tokens + distinct + 1)
+        for doc_id, (data, hashes), logs in zip(ids, made, score):
+            counts = _looked_up(hashes, *tables[WORD])
+            base = float((np.log10(counts + 1) - zero).sum())
+            rows.append((doc_id, held_out(doc_id), len(hashes), int((counts > 0).sum()), tokens, len(data), base, float(logs), float(-logs / np.log10(2) / len(data))))
+        return pa.Table.from_batches([_rows(_SCORES, rows)])
 
     return run
 
 
-def _frequent(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The entries of the largest counts, at most so many, and all others. Entries of one count stay together."""
-    sizes = table.groupBy(F.least(F.col("n"), F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 4,097 rows
-    total, least = 0, None
-    for r in sizes:
-        total += r["count"]
-        if total > most:
-            break
-        least = r["n"]
-    above = F.lit(False) if least is None else F.col("n") >= least
-    return table.filter(above), table.filter(~above)
-
-
-def scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, n_bytes, base_score, score, bits_per_byte for each row."""
-    spark = docs.sparkSession
-    shelf = Shelf(spark, "scoring")
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "scoring")
-    counts = rows.select("doc_id", "text").mapInArrow(_counts, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = shelf.put(counts, "counts", free=True)
-    words = counts.filter(F.col("kind") == WORD)
-    sums = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-    tokens = int(sums["tokens"] or 0)
-    # log10((c + 1) / (N + V + 1))
-    weighed = words.select("key", "n", (F.log10(F.col("n") + 1.0) - F.log10(F.lit(float(tokens + sums["distinct"] + 1)))).alias("value"))
-    grams = tree(counts.filter(F.col("kind") == GRAM), shelf)
-    tables, others = [], []
-    for kind, table in ((WORD, weighed), (GRAM, grams)):
-        near, far = _frequent(table, frequent)
-        got = near.select("key", F.col("value").cast("float" if kind == GRAM else "double").alias("value")).toArrow()
-        tables.append((got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()))
-        others.append(far.select(F.lit(kind).cast("byte").alias("kind"), "key", "value"))
-    shared = spark.sparkContext.broadcast([shelf.root, *tables])
-    schema = f"{KEY} long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, sum double, rare array<struct<kind:byte,key:long,times:long>>"
-    parts = shelf.put(rows.mapInArrow(_score(shared), schema), "parts", free=True)
-    asked = parts.select(KEY, F.inline("rare"))
-    far = others[0].union(others[1])
-    zero = -F.log10(F.lit(float(tokens + sums["distinct"] + 1)))
-    found = asked.join(far, ["kind", "key"], "left")
-    late = found.groupBy(KEY).agg(
-        F.sum(F.when((F.col("kind") == WORD) & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("late_known"),
-        F.sum(F.when(F.col("kind") == WORD, F.coalesce("value", zero) * F.col("times")).otherwise(0.0)).alias("late_base"),
-        F.sum(F.when(F.col("kind") == GRAM, F.col("value") * F.col("times")).otherwise(0.0)).alias("late_sum"),
-    )
-    whole = parts.drop("rare").join(late, KEY, "left")
-    plus = lambda a, b, z: F.col(a) + F.coalesce(F.col(b), F.lit(z))
-    score = plus("sum", "late_sum", 0.0)
-    return whole.select("doc_id", "held_out", "n_tokens", plus("known", "late_known", 0).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), "n_bytes", plus("base", "late_base", 0.0).alias("base_score"), score.alias("score"), (-score / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))
+def _salted(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pieces with a salt, so that no task gets many more entries than ``room``. ``sizes`` has a row for each kind and part."""
+    return pieces.join(F.broadcast(sizes.select("kind", "part", "salts")), ["kind", "part"]).withColumn("salt", F.pmod(F.xxhash64("seg"), "salts")).drop("salts")
+
+
+def scores(docs: DataFrame, parts: int | None = None, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, n_bytes, base_score, score, bits_per_byte for each row.
+
+    parts and segment say how the work is dealt; they change no score.
+    """
+    shelf = Shelf(docs.sparkSession, "scoring")
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "scoring").select(KEY, "doc_id", "text")
+    if parts is None:
+        least, most = PARTS
+        parts = min(most, max(least, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    pieces = shelf.put(rows.mapInArrow(_pieces(parts, segment), _PIECES), "pieces")
+    # A row for each kind and part: at most 8,192.
+    sizes = shelf.put(pieces.groupBy("kind", "part").agg(F.sum("n").alias("all"), F.ceil(F.sum("n") / TOGETHER).alias("salts")), "sizes")
+    some = _salted(pieces, sizes).groupBy("kind", "part", "salt").applyInArrow(_added(False), _COUNTS)
+    counts = shelf.put(some.groupBy("kind", "part").applyInArrow(_added(True), _COUNTS), "counts", free=True)
+    sums = counts.filter(F.col("kind") == WORD).agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    tokens, distinct = int(sums["tokens"] or 0), int(sums["distinct"] or 0)
+    words = counts.filter(F.col("kind") == WORD).mapInArrow(_as_values, _VALUES)
+    values = tree(counts.filter(F.col("kind") == GRAM), shelf).union(words)
+    sizes = shelf.put(sizes.join(counts.select("kind", "part", "n"), ["kind", "part"]).select("kind", "part", F.ceil(F.col("all") / F.greatest("n", F.lit(TOGETHER))).alias("salts")), "salts")
+    copies = values.join(F.broadcast(shelf.get("salts")), ["kind", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    by = ("kind", "part", "salt")
+    asked = _salted(pieces.select("seg", "kind", "part", "keys"), sizes)
+    answers = shelf.put(asked.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_answers, _ANSWERS), "answers", free=True)
+    for name in ("pieces", "third", "second"):
+        shelf.drop(name)
+    texts = rows.mapInArrow(_texts(segment), "seg long, doc_id long, text binary")
+    return texts.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_scored(tokens, distinct, parts), _SCORES)
+
+
+def _as_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words as values."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "n", "keys", "counts")))
+        yield _rows(_VALUES, [(*x, np.frombuffer(c, np.int64).astype(np.float64).tobytes()) for *x, c in rows])

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, and on odd tables."""
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import zlib
 
@@ -186,25 +188,85 @@ def test_topk(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
-def test_scoring_matches_one_process_and_bound_does_not_matter(docs):
+def context_tree(texts, asked):
+    """log10 of the asked texts' probabilities after learning ``texts``: weights by recursion over a dict of nodes."""
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def decisions(data):
+        for i, byte in enumerate(data):
+            context = (b"\0" * 5 + data)[i : i + 5][::-1]
+            for k in range(8):
+                yield context, (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+
+    for data in texts:
+        for context, prefix, bit in decisions(data):
+            for d in range(6):
+                counts[context[:d], prefix][bit] += 1
+    below = collections.defaultdict(list)
+    for context, prefix in counts:
+        if context:
+            below[context[:-1], prefix].append((context, prefix))
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(zeros + ones + 1)
+
+    @functools.cache
+    def weighted(node):
+        own = kt(*counts[node])
+        return own if len(node[0]) == 5 else np.logaddexp(own, sum(map(weighted, below[node]))) - math.log(2)
+
+    @functools.cache
+    def probability(context, prefix):
+        done, left, last = 0.0, 1.0, 0.5
+        for d in range(6):
+            if (node := (context[:d], prefix)) in counts:
+                zeros, ones = counts[node]
+                last = (ones + 0.5) / (zeros + ones + 1)
+                stop = math.exp(kt(zeros, ones) - math.log(2) - weighted(node)) if d < 5 else 1.0
+                done, left = done + left * stop * last, left * (1 - stop)
+            elif d == 0:
+                done, left = 0.25, 0.5  # nothing was learnt of this decision
+        return done + left * last
+
+    for data in asked:
+        yield sum(math.log10(p if bit else 1 - p) for c, prefix, bit in decisions(data) for p in [probability(c, prefix)])
+
+
+def test_scoring_matches_one_process_and_ways_to_deal_do_not_matter(docs):
     rows = corpus()
-    a = sorted(scoring.scores(docs(rows, True)).collect(), key=str)
-    b = sorted(scoring.scores(docs(rows), frequent=50).collect(), key=str)
+    made = [sorted(map(tuple, scoring.scores(docs(rows, i == 0).repartition(i + 1), *x).collect()), key=str) for i, x in enumerate([(None, 1 << 20), (3, 500), (700, 20_000)])]
+    assert made[0] == made[1] == made[2]
+    a = [r for r in scoring.scores(docs(rows)).collect()]
+    assert sorted(map(tuple, a), key=str) == made[0]
     counts = collections.Counter()
     for i, t, _ in rows:
         if not scoring.held_out(i):
             counts.update([*split((t or "").lower()), "end"])
     total, distinct = sum(counts.values()), len(counts)
-    text = {i: t for i, t, _ in rows}
-    for x, y in zip(a, b):
-        words = [*split((text[x.doc_id] or "").lower()), "end"]
+    text = {i: b" ".join(split((t or "").lower())) + b"\n" for i, t, _ in rows}
+    scores = context_tree([b" ".join(split((t or "").lower())) + b"\n" for i, t, _ in rows if not scoring.held_out(i)], [text[x.doc_id] for x in a])
+    for x, score in zip(a, scores):
+        words = [*text[x.doc_id].split(), "end"]
         base = sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in words)
-        assert x.n_tokens == len(words) and x.train_tokens == total and x.n_known == y.n_known == sum(counts[w] > 0 for w in words)
-        assert abs(x.base_score - base) < 1e-6 and abs(y.base_score - base) < 1e-6 and abs(x.score - y.score) < 1e-3 * max(1, abs(x.score))
+        assert x.n_tokens == len(words) and x.train_tokens == total and x.n_known == sum(counts[w] > 0 for w in words) and x.n_bytes == len(text[x.doc_id])
+        assert abs(x.base_score - base) < 1e-6 and abs(x.score - score) < 1e-6 * max(1, abs(score))
         assert x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 7 == 2)
     assert scoring.scores(docs([])).count() == 0
 
 
+def test_scoring_cuts_long_texts_alike():
+    rng = random.Random(9)
+    texts = [prose(n, rng).encode() for n in (3, 4000, 1, 900)]
+    whole = [scoring.sequences(np.frombuffer(b"\0" * 5 + t, np.uint8).astype(np.uint64)) for t in texts]
+    old, scoring.CHUNK = scoring.CHUNK, 1000
+    try:
+        made = list(scoring._chunks(texts))
+    finally:
+        scoring.CHUNK = old
+    assert len(made) > 10 and np.array_equal(np.concatenate([k for _, k in made]), np.concatenate(whole))
+    assert np.array_equal(np.concatenate([o for o, _ in made]), np.repeat(np.arange(4), [len(t) for t in texts]))
+
+
 def test_kt_by_its_definition():
     a, b = np.array([0, 3, 5000]), np.array([0, 2, 1])
     got = scoring.kt(a, b)
