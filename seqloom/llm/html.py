@@ -14,8 +14,12 @@ Text nodes join into blocks at block-level tags. Tags of scripts and styles, and
 comments, hold no text. Unclosed tags close the way HTML closes them; markup cut
 off at the end of the page ends there.
 
+Paths are numbered as nodes of a trie and open elements are found by tag, so time and
+memory are in proportion to the page, however deep it nests.
+
 Defined cases: null and empty pages have an empty text; pages without a text node
-too; repeated pages give a row each; other columns are ignored.
+too; a very long page is one row and is worked on whole; repeated pages give a row each;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ ASIDE_WORDS = frozenset(
     "reply replies respond disqus share sharing social related recommended newsletter subscribe popup modal login signup search pagination pager toolbar skip copyright legal disclaimer complementary contentinfo".split()
 )
 MAIN = frozenset(("article", "main"))
-_HEADING = re.compile(r"(?:^|/)h[1-6][+-]?$")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN_WORDS = frozenset(("article", "articlebody", "main", "maincontent", "post", "postcontent", "entrycontent", "storybody", "content"))
 
 
@@ -61,23 +65,68 @@ def _kind(tag: str, attributes: str) -> str:
     return "+" if tag in MAIN or (tag in ("div", "section", "td") and words & _MAIN_WORDS) else ""
 
 
-def text_nodes(html: str) -> tuple[list[str], list[int], list[int], list[str]]:
-    """Text nodes; the number of each one's path; the number of its block; the paths, in the order of their first node."""
+class Paths:
+    """The tag paths of a page, as nodes of a trie: each path is its last element and the path above."""
+
+    def __init__(self) -> None:
+        self.above, self.label = [-1], [""]
+        self.aside, self.main = [False], [False]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def child(self, above: int, tag: str, kind: str) -> int:
+        node = self.known.setdefault((above, tag + kind), len(self.label))
+        if node == len(self.label):
+            self.above.append(above)
+            self.label.append(tag)
+            self.aside.append(self.aside[above] or kind == "-")
+            self.main.append(self.main[above] or kind == "+")
+        return node
+
+
+class _Open:
+    """The open elements, with the places of each tag and of those that end tags do not reach out of."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def path(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def reaches(self, place: int) -> bool:
+        return place >= 0 and (not self.scopes or self.scopes[-1] < place)
+
+    def push(self, tag: str, path: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, path))
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+
+def text_nodes(html: str) -> tuple[list[str], list[int], list[int], Paths]:
+    """Text nodes; each one's path; the number of its block; the paths."""
     texts: list[str] = []
     path_of: list[int] = []
     block_of: list[int] = []
-    stack: list[tuple[str, str]] = []
-    known: dict[str, int] = {}
-    block, at, path = 0, 0, ""
+    paths, open_ = Paths(), _Open()
+    block, at = 0, 0
 
     def add(text: str) -> None:
         texts.append(unescape(text))
-        path_of.append(known.setdefault(path, len(known)))
+        path_of.append(open_.path())
         block_of.append(block)
 
-    def rename() -> str:
-        return "/".join(t + k for t, k in stack if t not in INLINE or k)
-
     size = len(html)
     while at < size:
         start = html.find("<", at)
@@ -95,11 +144,10 @@ def text_nodes(html: str) -> tuple[list[str], list[int], list[int], list[str]]:
         if not tag:
             continue
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            place = open_.last((tag,))
             # An end tag does not reach out of the section it stands in.
-            if depth >= 0 and (tag in SCOPES or not any(t in SCOPES for t, _ in stack[depth + 1 :])):
-                del stack[depth:]
-                path = rename()
+            if place >= 0 and (tag in SCOPES or open_.reaches(place)):
+                open_.cut(place)
             block += tag not in INLINE
             continue
         if tag in RAW:
@@ -116,17 +164,12 @@ def text_nodes(html: str) -> tuple[list[str], list[int], list[int], list[str]]:
                 continue
             block += 1
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+        if closes and open_.reaches(place := open_.last(closes)):
+            open_.cut(place)
         if tag not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append((tag, _kind(tag, found[3])))
-        path = rename()
-    return texts, path_of, block_of, list(known)
+            kind = _kind(tag, found[3])
+            open_.push(tag, paths.child(open_.path(), tag, kind) if tag not in INLINE or kind else open_.path())
+    return texts, path_of, block_of, paths
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -135,10 +178,10 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def chosen_paths(paths: list[str], nodes: np.ndarray, characters: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which paths hold content."""
-    aside = np.array(["-" in p for p in paths], bool)
-    main = np.array(["+" in p for p in paths], bool) & ~aside
+def chosen_paths(paths: Paths, order: list[int], nodes: np.ndarray, characters: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the paths in ``order`` hold content."""
+    aside = np.array([paths.aside[p] for p in order], bool)
+    main = np.array([paths.main[p] for p in order], bool) & ~aside
     per = np.where(aside, 0, characters / np.maximum(nodes, 1))
     dots = np.where(aside, 0, marks / np.maximum(nodes, 1))
     fused = _smooth(per) * (1 + _smooth(dots))
@@ -147,8 +190,12 @@ def chosen_paths(paths: list[str], nodes: np.ndarray, characters: np.ndarray, ma
     if (keep & main).any():
         # The page says where its article is: what passed outside goes.
         keep &= main
-    within = {"/".join(p.split("/")[:k]) for p, kept in zip(paths, keep) if kept for k in range(p.count("/") + 1)}
-    heads = np.array([bool(_HEADING.search(p)) and p.rpartition("/")[0] in within for p in paths], bool)
+    within = set()
+    for p, kept in zip(order, keep):
+        while kept and p >= 0 and p not in within:
+            within.add(p)
+            p = paths.above[p]
+    heads = np.array([paths.label[p] in _HEADINGS and paths.above[p] in within for p in order], bool)
     return keep | (heads & ~aside & (characters > 0) & (main | ~(keep & main).any()))
 
 
@@ -158,13 +205,15 @@ def main_text(html: bytes | None) -> str:
     texts, path_of, block_of, paths = text_nodes(page)
     if not texts:
         return ""
-    ids = np.array(path_of)
+    # Paths in the order in which they first hold a text node.
+    number = {p: i for i, p in enumerate(dict.fromkeys(path_of))}
+    ids = np.array([number[p] for p in path_of])
     sizes = np.array([len("".join(t.split())) for t in texts])
     dots = np.array([len(_MARKS.findall(t)) for t in texts])
-    n = len(paths)
-    keep = chosen_paths(paths, np.bincount(ids, sizes > 0, n), np.bincount(ids, sizes, n), np.bincount(ids, dots, n))
+    n = len(number)
+    keep = chosen_paths(paths, list(number), np.bincount(ids, sizes > 0, n), np.bincount(ids, sizes, n), np.bincount(ids, dots, n))
     blocks: dict[int, list[str]] = {}
-    for text, path, block in zip(texts, path_of, block_of):
+    for text, path, block in zip(texts, ids, block_of):
         if keep[path]:
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(b).split()) for b in blocks.values())
