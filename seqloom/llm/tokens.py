@@ -17,8 +17,9 @@ The vocabulary is a file on the driver, named by parameter; its pieces and score
 (some ten thousand entries, fixed by the file) are broadcast.
 
 Defined cases: null and empty texts have no tokens and score 0; bytes that are
-not UTF-8 count as the replacement character; repeated rows are counted each;
-other columns are ignored.
+not UTF-8 count as the replacement character; a very long text is cut into words piece
+by piece, and a very long word needs no more state than the longest piece; repeated rows
+are counted each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,38 +57,49 @@ class Vocabulary:
                 made.add_word(piece, (len(piece), score))
             if self.pieces:
                 made.make_automaton()
-            self.automaton, self.unknown = made, min((s for _, s in self.pieces), default=0.0) - PENALTY
+            self.automaton, self.unknown, self.longest = made, min((s for _, s in self.pieces), default=0.0) - PENALTY, max((len(p) for p, _ in self.pieces), default=1)
         return self.automaton
 
     def count(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation of one string."""
         matcher = self.matcher()
         size = len(text)
-        best, many, lost = [0.0] + [-np.inf] * size, [0] * (size + 1), bytearray(size + 1)
-        at = 0
+        # Only as many ends back as the longest piece are looked at again, so that state does not grow with the text.
+        ring = self.longest + 2
+        best, many, lost, single = [-np.inf] * ring, [0] * ring, bytearray(ring), bytearray(ring)
+        best[0], at, opened = 0.0, 0, 0
+
+        def open_(end: int) -> None:
+            nonlocal opened
+            if opened < end:
+                opened, i = end, end % ring
+                best[i], many[i], lost[i], single[i] = -np.inf, 0, 0, 0
 
         def settle(end: int) -> None:
             # Ends up to this one have seen all their matches; without a piece of one character the unknown character competes last.
             nonlocal at
             while at < end:
                 at += 1
-                if not single[at]:
-                    score = best[at - 1] + self.unknown
-                    if score > best[at]:
-                        best[at], lost[at] = score, 1
-                        many[at] = many[at - 1] + (len(text[at - 1].encode("utf-8", "replace")) if self.bytes_known else 1 - lost[at - 1])
+                open_(at)
+                i, j = at % ring, (at - 1) % ring
+                if not single[i]:
+                    score = best[j] + self.unknown
+                    if score > best[i]:
+                        best[i], lost[i] = score, 1
+                        many[i] = many[j] + (len(text[at - 1].encode("utf-8", "replace")) if self.bytes_known else 1 - lost[j])
 
-        single = bytearray(size + 1)
         for last, (length, piece) in matcher.iter(text) if self.pieces else ():
             end = last + 1
             settle(end - 1)
+            open_(end)
+            i, j = end % ring, (end - length) % ring
             if length == 1:
-                single[end] = 1
-            score = best[end - length] + piece
-            if score > best[end]:
-                best[end], many[end], lost[end] = score, many[end - length] + 1, 0
+                single[i] = 1
+            score = best[j] + piece
+            if score > best[i]:
+                best[i], many[i], lost[i] = score, many[j] + 1, 0
         settle(size)
-        return many[size], best[size]
+        return many[size % ring], best[size % ring]
 
     def word(self, word: bytes) -> tuple[int, float]:
         got = self.memo.get(word)
