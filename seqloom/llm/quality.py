@@ -187,10 +187,10 @@ def scored(docs: DataFrame, forest: Forest, threshold: float = REJECT_BELOW, hel
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _passing(forest: Forest, threshold: float):
+def _passing(forest: Forest, threshold: float, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([statistics(t) for t in binary(batch.column("text"))], np.float64).reshape(-1, len(FEATURES))
+            rows = np.array([statistics(t) for t in binary(batch.column(text))], np.float64).reshape(-1, len(FEATURES))
             if len(rows):
                 yield batch.filter(pa.array(forest.scores(rows) >= threshold))
 
@@ -198,5 +198,7 @@ def _passing(forest: Forest, threshold: float):
 
 
 def accepted(docs: DataFrame, forest: Forest, threshold: float = REJECT_BELOW) -> DataFrame:
-    """The rows and columns given, without those that score below the threshold."""
-    return docs.mapInArrow(_passing(forest, threshold), docs.schema)
+    """The rows and columns given, of any names, without those that score below the threshold."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = [c.lower() for c in docs.columns].index("text")
+    return plain.mapInArrow(_passing(forest, threshold, text), plain.schema).toDF(*docs.columns)
