@@ -32,18 +32,9 @@ class Motif:
     def consensus(self) -> str:
         return "".join(BASES[row.index(max(row))] for row in self.probabilities)
 
-    def iupac(self, least: float = 0.6) -> str:
-        """The fewest bases, most probable first, that reach the share."""
-        out = ""
-        for row in self.probabilities:
-            total, chosen = 0.0, []
-            for p, b in sorted(zip(row, BASES), key=lambda x: (-x[0], x[1])):
-                chosen.append(b)
-                total += p
-                if total >= least - 1e-12:
-                    break
-            out += IUPAC["".join(sorted(chosen))]
-        return out
+    def iupac(self, share: float = 0.6) -> str:
+        """At each position the letter of the bases that reach this share of the most probable one."""
+        return "".join(IUPAC["".join(sorted(b for p, b in zip(row, BASES) if p >= share * max(row)))] for row in self.probabilities)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, b, float(p)) for i, row in enumerate(self.probabilities) for b, p in zip(BASES, row)]
@@ -53,11 +44,10 @@ class Motif:
 def scan(s: Column, motif: Motif) -> Column:
     """The score at each start; an unknown base scores nothing. One array expression, no exploded rows."""
     odds = F.array(*[F.create_map(*[x for b, v in zip(BASES, row) for x in (F.lit(b), F.lit(v))]) for row in motif.log_odds()])
-    letters = F.split(s, "")
     width = len(motif)
 
     def at(i: Column) -> Column:
-        terms = [F.coalesce(F.element_at(F.element_at(odds, j + 1), F.get(letters, i + j)), F.lit(0.0)) for j in range(width)]
+        terms = [F.coalesce(F.element_at(F.element_at(odds, j + 1), F.substr(s, i + (j + 1), F.lit(1))), F.lit(0.0)) for j in range(width)]
         return sum(terms[1:], terms[0])
 
     return F.when(F.length(s) >= width, F.transform(F.sequence(F.lit(0), F.length(s) - width), at)).otherwise(F.array().cast("array<double>"))

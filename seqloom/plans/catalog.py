@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import motif as mo
 from ..functions import sequence as sq
 from ..functions.hashing import hash_split, hash_unit, row_hash
-from ..operators import controls, graph, intervals, metrics, weights
+from ..operators import controls, graph, intervals, metrics, near_duplicates, weights
 from ..sources import readers
-from .fixtures import SEQS, WINDOWS, interval_sql, merged_sql, table, unit
+from .fixtures import CYCLE, LETTERS, SEQS, WINDOWS, interval_sql, merged_sql, table, unit
 from .fixtures import intervals as ivs
 from .fixtures import seqs, windows
 
@@ -69,9 +69,9 @@ def seq_slice(s, d):
     return seqs(s, d).select("doc_id", sq.slice_checked(C("seq"), C("doc_id") % 250, C("doc_id") % 250 + 20).alias("part"))
 
 
-@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01'")
+@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")
 def scan_parquet(s, d):
-    return table(s, d, "lineitem").filter(C("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_extendedprice")
+    return table(s, d, "lineitem").filter(C("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_extendedprice")
 
 
 @query("SELECT 'documents' AS source, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS size FROM documents UNION ALL SELECT 'pages', count(*), CAST(sum(length(html)) AS BIGINT) FROM pages UNION ALL SELECT 'benchmark', count(*), CAST(sum(length(text)) AS BIGINT) FROM benchmark")
@@ -92,9 +92,11 @@ def filter_threshold(s, d):
     return spent.join(table(s, d, "customer"), "c_custkey", "left_semi").filter("spent >= 1000000").select("c_custkey", _6("spent").alias("spent"))
 
 
-@query("SELECT doc_id, NOT regexp_matches(seq, '[^ACGU]') AS canonical FROM (SELECT doc_id, substr(upper(text), 1, 3) AS seq FROM documents)")
+@query(f"SELECT doc_id, NOT regexp_matches(seq, '[^ACGU]') AS canonical FROM (SELECT doc_id, translate(regexp_replace(lower(text), '[ .,]', '', 'g'), '{LETTERS}', '{CYCLE}') AS seq FROM documents)")
 def is_canonical(s, d):
-    return table(s, d, "documents").select("doc_id", sq.is_canonical(F.substring(F.upper("text"), 1, 3)).alias("canonical"))
+    # The whole text, but for blanks and common marks.
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[ .,]", ""), LETTERS, CYCLE)
+    return table(s, d, "documents").select("doc_id", sq.is_canonical(letters).alias("canonical"))
 
 
 _REASONS = "CASE WHEN st - 30 < 0 THEN 'before start' WHEN en + 30 > 2500 THEN 'past end' WHEN en - st < 3 THEN 'too short' END"
@@ -194,16 +196,19 @@ def exonic_flag(s, d):
     return a.join(hit, ["chrom", "st", "en"], "left").select("id", F.when(C("hit") == 1, "exonic").otherwise("intronic").alias("context"))
 
 
-_BANDS = "bands AS (SELECT doc_id, b, md5(substr(seq, b * 50 + 1, 50)) AS key FROM seqs, (SELECT unnest([0, 1, 2, 3]) AS b))"
+_REPS = SEQS + ", reps AS (SELECT min(doc_id) AS doc_id, seq FROM seqs GROUP BY seq)"
+_HASHED = _REPS + ", sh AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(substr(seq, CAST(i AS INT), 8)), 1, 13) AS BIGINT) AS h FROM reps, (SELECT unnest(range(1, 195)) AS i))"
+_SIGNED = _HASHED + ", signed AS (SELECT doc_id, " + ", ".join(f"min(xor(h, {m})) AS m{i}" for i, m in enumerate(near_duplicates.MASKS)) + " FROM sh GROUP BY doc_id)"
+_BANDS = _SIGNED + ", bands AS (SELECT doc_id, unnest([" + ", ".join("'{}:' || ".format(b) + " || '-' || ".join(f"m{b * 4 + r}" for r in range(4)) for b in range(16)) + "]) AS band FROM signed), pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.doc_id < y.doc_id)"
 
 
-@query(f"WITH {SEQS}, {_BANDS} SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.b = y.b AND x.key = y.key AND x.doc_id < y.doc_id")
+def _reps(s, d):
+    return seqs(s, d).groupBy("seq").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(f"WITH {_BANDS} SELECT a, b FROM pairs")
 def lsh_pairs(s, d):
-    bands = seqs(s, d).select("doc_id", F.posexplode(F.array(*[F.md5(F.substring("seq", b * 50 + 1, 50)) for b in range(4)])).alias("b", "key"))
-    many = bands.groupBy("b", "key").agg(F.count("*").alias("n")).filter("n > 1").select("b", "key")
-    kept = bands.join(many, ["b", "key"], "left_semi")
-    other = kept.select("b", "key", C("doc_id").alias("other"))
-    return kept.join(other, ["b", "key"]).filter("doc_id < other").select(C("doc_id").alias("a"), C("other").alias("b")).distinct()
+    return near_duplicates.candidates(minhash(s, d), "doc_id")
 
 
 @query(f"WITH {WINDOWS} SELECT kind, count(*) AS n FROM (SELECT 'sequence' AS kind, seq FROM windows GROUP BY seq HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'gene', gene FROM windows GROUP BY gene HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'source', source FROM windows GROUP BY source HAVING count(DISTINCT split) > 1) GROUP BY kind")
@@ -591,22 +596,23 @@ def giant_component(s, d):
     return sizes.join(F.broadcast(total)).select("component", "size", (C("size") > 0.05 * C("total")).alias("giant"))
 
 
-_COEFFICIENTS = [(2 * i + 1) * 40503 % 65521 for i in range(8)]
-_HASHED = SEQS + ", sh AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(substr(seq, CAST(i AS INT), 8)), 1, 8) AS BIGINT) AS h FROM seqs, (SELECT unnest(range(1, 195)) AS i))"
+@query(f"WITH {_SIGNED} SELECT * FROM signed")
+def minhash(s, d):
+    return near_duplicates.signatures(_reps(s, d), "doc_id", "seq")
 
 
-@query(f"WITH {_HASHED} SELECT doc_id, {', '.join(f'min((h * {a} + {i * 7919}) % 4294967291) AS m{i}' for i, a in enumerate(_COEFFICIENTS))} FROM sh GROUP BY doc_id")
-def minhash(s, d):
-    hashes = F.transform(F.array_distinct(sq.kmers(C("seq"), 8)), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    one = lambda a, i: F.array_min(F.transform("h", lambda h: (h * a + i * 7919) % 4294967291))
-    return seqs(s, d).select("doc_id", hashes.alias("h")).select("doc_id", *[one(a, i).alias(f"m{i}") for i, a in enumerate(_COEFFICIENTS)])
+_RC_Y = "reverse(translate(y.seq, 'ACGU', 'UGCA'))"
 
 
-@query(f"WITH {SEQS}, {_BANDS}, pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.b = y.b AND x.key = y.key AND x.doc_id < y.doc_id) SELECT a, b, CAST(levenshtein(x.seq, y.seq) AS BIGINT) AS edits, 1 - levenshtein(x.seq, y.seq) / 201.0 >= 0.9 AS near FROM pairs JOIN seqs x ON x.doc_id = a JOIN seqs y ON y.doc_id = b")
+@query(f"WITH {_BANDS}, e AS (SELECT a, b, levenshtein(x.seq, y.seq) AS plus, levenshtein(x.seq, {_RC_Y}) AS minus FROM pairs JOIN reps x ON x.doc_id = a JOIN reps y ON y.doc_id = b) SELECT a, b, CASE WHEN plus <= minus THEN '+' ELSE '-' END AS strand, round(1 - least(plus, minus) / 201.0, 6) AS identity FROM e WHERE 1 - least(plus, minus) / 201.0 >= 0.9")
 def near_dup_verify(s, d):
-    x, y = seqs(s, d).select(C("doc_id").alias("a"), C("seq").alias("x")), seqs(s, d).select(C("doc_id").alias("b"), C("seq").alias("y"))
-    edits = F.levenshtein("x", "y").cast("long")
-    return lsh_pairs(s, d).join(x, "a").join(y, "b").select("a", "b", edits.alias("edits"), (1 - edits / 201.0 >= 0.9).alias("near"))
+    found = near_duplicates.verified(lsh_pairs(s, d), _reps(s, d), "doc_id", "seq")
+    return found.select("a", "b", "strand", _6("identity").alias("identity"))
+
+
+@query(f"WITH {_REPS} SELECT s.doc_id, r.doc_id AS rep FROM seqs s JOIN reps r ON r.seq = s.seq")
+def near_dup_members(s, d):
+    return near_duplicates.representatives(seqs(s, d), "doc_id", "seq")
 
 
 @query(f"WITH {WINDOWS} SELECT DISTINCT gene, split FROM windows", name="hash_split")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sequence() -> Column:
+    return F.substring(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, CYCLE), 1, LENGTH)
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.translate(letters, LETTERS, CYCLE), 1, LENGTH).alias("seq")).filter(F.length("seq") == LENGTH)
+    return table(spark, sf_dir, "documents").select("doc_id", _sequence().alias("seq")).filter(F.length("seq") == LENGTH)
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    joined = docs.join(seqs(spark, sf_dir), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", _sequence().alias("seq")).filter(F.length("seq") == LENGTH)
+    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     gene = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 200).cast("string"))
     return joined.select(
         "doc_id", window_id(F.col("doc_id")).alias("window_id"), gene.alias("gene"), F.col("lang").alias("context"), "source", F.col("quality").cast("long").alias("label"), F.col("toxic").cast("long").alias("toxic"),
