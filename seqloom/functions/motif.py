@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,18 @@ class Motif:
         """At each position the letter of the bases that reach this share of the most probable one."""
         return "".join(IUPAC["".join(sorted(b for p, b in zip(row, BASES) if p >= share * max(row)))] for row in self.probabilities)
 
+    def fingerprint(self, name: str, kind: str = "unknown") -> str:
+        return f"{name}:{len(self)}:{self.consensus()}:{kind}"
+
+    def decoys(self, seed: str = "decoys", shuffles: int = 2) -> list[Motif]:
+        """Motifs of the same values: the positions in reverse, and all values shuffled."""
+        made = [replace(self, probabilities=self.probabilities[::-1])]
+        rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(seed.encode(), digest_size=8).digest(), "big"))
+        for _ in range(shuffles):
+            values = rng.permutation([p for row in self.probabilities for p in row]).reshape(-1, 4)
+            made.append(replace(self, probabilities=tuple(tuple(map(float, row)) for row in values)))
+        return made
+
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, b, float(p)) for i, row in enumerate(self.probabilities) for b, p in zip(BASES, row)]
         return spark.createDataFrame(rows, "pos int, base string, p double")

@@ -20,6 +20,21 @@ def balanced(df: DataFrame, stratum: str = "stratum", label: str = "label", clip
     return raw.join(F.broadcast(mean)).withColumn("w", F.col("raw") / F.col("mean_raw")).drop("raw", "mean_raw")
 
 
+def standard(df: DataFrame, label: str = "label", classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Adds w: all rows over twice the rows of the class, with mean one. An error where a class is absent."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # a row for each class
+    if missing := [y for y in classes if not counts.get(y)]:
+        raise ValueError(f"class {missing[0]} is absent")
+    # The mean of N / (2 n_y) over all rows is half the number of classes.
+    w = F.lit(float(sum(counts.values()))) / (len(classes) * F.element_at(F.create_map(*[x for y in classes for x in (F.lit(y), F.lit(float(counts[y])))]), F.col(label).cast("int")))
+    return df.withColumn("w", w)
+
+
+def known_or_other(value: Column, known: Column) -> Column:
+    """The value where it is known, else 'other'."""
+    return F.when(known & value.isNotNull(), value).otherwise("other")
+
+
 def merge_sparse(counts: list[tuple[str, int, int, int, int]], least: int, steps: int = 12) -> dict[tuple[str, int, int], tuple[str, int, int] | None]:
     """Where strata (context, q, t, positives, backgrounds) go, so that each has enough of both: to the next lower q, else the next lower t, else out.
 

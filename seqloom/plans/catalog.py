@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import motif as mo
 from ..functions import sequence as sq
 from ..functions.hashing import hash_split, hash_unit, row_hash
-from ..operators import controls, graph, intervals, metrics, near_duplicates, weights
+from ..operators import attribution, controls, graph, intervals, metrics, near_duplicates, splits, weights
 from ..sources import readers
 from .fixtures import CYCLE, LETTERS, SEQS, WINDOWS, interval_sql, merged_sql, table, unit
 from .fixtures import intervals as ivs
@@ -964,6 +964,59 @@ def flagship(s, d):
     return w.groupBy("stratum").agg(_n().alias("n"), F.sum("label").alias("positives"), _6(F.sum("w") * F.sum("w") / F.sum(C("w") * C("w"))).alias("ess"), _6(F.sum(C("w") * C("gc")) / F.sum("w")).alias("gc"))
 
 
+# Splits, weights and effects as whole operators
+
+_OVER = ", ".join(f"('{k}', CAST({c} AS VARCHAR))" for k, c in (("gene", "gene"), ("sequence", "seq"), ("source", "source"), ("locus", "doc_id // 3")))
+
+
+@query(f"WITH {WINDOWS}, v AS (SELECT DISTINCT split, t.kind, t.value FROM windows, LATERAL (VALUES {_OVER}) AS t(kind, value)), p(first, second) AS (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')), k AS (SELECT DISTINCT kind FROM v) SELECT k.kind, p.first, p.second, (SELECT count(*) FROM v x JOIN v y ON x.kind = y.kind AND x.value = y.value WHERE x.kind = k.kind AND x.split = p.first AND y.split = p.second) AS n FROM k, p")
+def split_overlaps(s, d):
+    w = windows(s, d).withColumn("locus", F.expr("doc_id div 3"))
+    return splits.overlaps(w, {"gene": "gene", "sequence": "seq", "source": "source", "locus": "locus"})
+
+
+@query(f"WITH {WINDOWS} SELECT split, count(*) AS rows, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS background, count(DISTINCT source) AS components, count(DISTINCT gene) AS genes, count(DISTINCT source) FILTER (label = 1) AS positive_components FROM windows GROUP BY split")
+def split_support(s, d):
+    return splits.support(windows(s, d), component="source")
+
+
+@query()
+def split_assignment(s, d):
+    """Components over genes, loci, equal and near-duplicate sequences, and splits by their hash."""
+    w = windows(s, d).withColumn("start", C("doc_id") * 150).withColumn("end", C("doc_id") * 150 + 201)
+    edges = splits.join_edges(w.withColumn("gene", F.concat_ws(":", "gene", F.expr("doc_id div 5"))), "doc_id", locus=("source", "start", "end"))
+    return splits.assign(w, edges, "doc_id", most_lost=1.0).select("doc_id", "component", "split")
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, round((SELECT count(*) FROM windows) / (2.0 * count(*) OVER (PARTITION BY label)), 6) AS w FROM windows")
+def standard_weights(s, d):
+    return weights.standard(windows(s, d)).select("doc_id", _6("w").alias("w"))
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, CASE WHEN source IN (SELECT source FROM windows WHERE split = 'train' GROUP BY source HAVING count(*) >= 5) THEN source ELSE 'other' END AS source FROM windows")
+def known_or_other(s, d):
+    w = windows(s, d)
+    seen = w.filter("split = 'train'").groupBy("source").agg(F.count("*").alias("n")).filter("n >= 5").select(C("source").alias("seen"))
+    return w.join(seen, C("source") == C("seen"), "left").select("doc_id", weights.known_or_other(C("source"), C("seen").isNotNull()).alias("source"))
+
+
+@query("SELECT g.gate, coalesce(l.status, 'missing') AS status, g.gate < 'G5' AS execution, coalesce(l.status, '') IN ('purchase', 'signup') AS passed FROM (SELECT 'G' || CAST(unnest(range(0, 10)) AS VARCHAR) AS gate) g LEFT JOIN (SELECT 'G' || CAST(user_id % 8 AS VARCHAR) AS gate, max_by(event_type, event_id) AS status FROM events GROUP BY 1) l ON l.gate = g.gate")
+def gate_states(s, d):
+    listed = s.range(10).select(F.concat(F.lit("G"), C("id").cast("string")).alias("gate"))
+    return listed.join(gate_summary(s, d), "gate", "left").select("gate", F.coalesce("status", F.lit("missing")).alias("status"), (C("gate") < "G5").alias("execution"), F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+@query()
+def ism_all_positions(s, d):
+    """Every substitution of every sequence, exact and to first order."""
+    return attribution.substitutions(seqs(s, d), "doc_id", "seq", MOTIF)
+
+
+@query()
+def ism_agreement(s, d):
+    return attribution.agreement(ism_all_positions(s, d), "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
