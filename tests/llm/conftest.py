@@ -1,5 +1,13 @@
 import pytest
 
+from seqloom.llm import _shared
+
+
+@pytest.fixture(autouse=True)
+def no_waiting(monkeypatch):
+    """Small tables leave no shuffle files worth waiting for."""
+    monkeypatch.setattr(_shared, "release", lambda spark: None)
+
 
 @pytest.fixture
 def docs(spark):
