@@ -1,6 +1,13 @@
 """A corpus pipeline of five stages; each stage's rows are written as Parquet and read again for the next.
 
 It belongs to the subpackage ``seqloom.llm``.
+
+Defined cases: null and empty texts are scored like others by the classifier, are alone
+among near copies, lose no words, hold no benchmark item, and are not taken by the mix, as
+they have no words; null ids and repeated rows are rows of their own, of which near-dedup
+leaves one of each group of copies; very long texts stay one row throughout; other columns,
+of any name, are kept (``copies`` and ``taken`` are replaced by the last stage); an empty
+table stays empty.
 """
 
 from __future__ import annotations
