@@ -59,7 +59,7 @@ LIKELY = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Members in a block of a group that is compared.
 BLOCK = 2048
 #: Partners, best first, that the passes over the groups verify for each member and block; the last takes all.
-PASSES = (1, 16, None)
+PASSES = (1, None)
 #: Registers, of a byte each, of the longer signatures made for members of buckets that the first leaders leave in several components.
 LONG = 1280
 LIKELY_LONG = THRESHOLD - 4.2 * (THRESHOLD * (1 - THRESHOLD) / LONG) ** 0.5
