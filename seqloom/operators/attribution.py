@@ -22,17 +22,20 @@ def effects_of(sequence: str, motif: Motif) -> tuple[np.ndarray, np.ndarray]:
     if not len(scores):
         return exact, first
     codes = np.array([BASES.find(b) for b in sequence])
-    old = lambda j, p: table[j, codes[p]] if codes[p] >= 0 else 0.0
-    best, at = scores.max(), int(scores.argmax())
+    # old[p, o]: what position p adds to the window that has it at offset o.
+    old = np.where(codes[:, None] >= 0, table.T[codes], 0.0)
+    place, last = np.arange(n), len(scores) - 1
+    start = place[:, None] - np.arange(width)
+    inside = (start >= 0) & (start <= last)
+    changed = np.where(inside, scores[start.clip(0, last)] - old, -np.inf)[:, :, None] + table
     # Best score of the windows before and behind those that hold a position.
     before, behind = np.maximum.accumulate(scores), np.maximum.accumulate(scores[::-1])[::-1]
-    for p in range(n):
-        lo, hi = max(0, p - width + 1), min(p, len(scores) - 1)
-        rest = max(before[lo - 1] if lo else -np.inf, behind[hi + 1] if hi + 1 < len(scores) else -np.inf)
-        changed = np.array([scores[i] - old(p - i, p) + table[p - i] for i in range(lo, hi + 1)]).reshape(-1, 4)
-        exact[p] = np.maximum(changed.max(axis=0, initial=-np.inf), rest) - best
-        if at <= p < at + width:
-            first[p] = table[p - at] - old(p - at, p)
+    ahead = np.where(place >= width, before[(place - width).clip(0, last)], -np.inf)
+    rest = np.maximum(ahead, np.where(place < last, behind[(place + 1).clip(0, last)], -np.inf))
+    exact = np.maximum(changed.max(axis=1), rest[:, None]) - scores.max()
+    site = np.arange(width)
+    best = int(scores.argmax()) + site
+    first[best] = table - old[best, site][:, None]
     return exact, first
 
 

@@ -883,7 +883,7 @@ def metrics_guard(s, d):
     return windows(s, d).groupBy("gene").agg(_n().alias("n"), _6(F.avg("label")).alias("prevalence"), F.when(F.min("label") == F.max("label"), "one_class_input").alias("error"))
 
 
-REPS = 50
+REPS = 2000
 _DRAWS = WINDOWS + f", comp AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT gene FROM windows)), draws AS (SELECT rep, CAST(floor({unit('concat_ws(chr(31), rep, ordinal)')} * n) AS BIGINT) AS ordinal FROM comp, (SELECT unnest(range(0, {REPS})) AS rep)), times AS (SELECT rep, gene, count(*) AS times FROM draws JOIN comp USING (ordinal) GROUP BY rep, gene)"
 _CI = "round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.025), 6) AS lo, round(quantile_cont({v}, 0.975), 6) AS hi, count({v}) AS valid, count(*) - count({v}) AS invalid"
 

@@ -119,3 +119,20 @@ def test_standard_weights_need_both_classes(spark):
     assert sorted(r.w for r in weights.standard(df).collect()) == pytest.approx([2 / 3] * 3 + [2.0])
     with pytest.raises(ValueError):
         weights.standard(df.filter("label = 0"))
+
+
+def test_windows_cover_the_whole_text(spark):
+    """Consecutive windows, the last one up to the end; short texts fill one, empty and null ones have none."""
+    from seqloom.plans import fixtures
+
+    long, short, even = "abcdefghij" * 50, "a, B!", "acgu" * 201
+    texts = [(1, long), (2, short), (3, "12 ."), (4, None), (5, even), (6, ""), (7, long)]
+    got = {}
+    for r in fixtures._cut(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id // fixtures.PLACES, {})[r.doc_id % fixtures.PLACES] = r.seq
+    spelled = long.translate(str.maketrans(fixtures.LETTERS, fixtures.CYCLE))
+    assert sorted(got) == [1, 2, 5, 7]
+    assert got[1] == got[7] == {0: spelled[:201], 1: spelled[201:402], 2: spelled[-201:]}
+    assert got[2] == {0: ("AC" * 101)[:201]}
+    assert "".join(got[5][i] for i in range(4)) == even.translate(str.maketrans(fixtures.LETTERS, fixtures.CYCLE))
+    assert fixtures._cut(spark.createDataFrame([], "doc_id long, text string")).count() == 0
