@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY, BOX = "_k", "_row"
 #: Texts longer than this are cut into words piece by piece, so that one text never becomes one huge list.
 PIECE = 1 << 22
+#: Bits of a row key for the row's place in its file; the rest, but the sign, tell files apart.
+ROW_BITS = 27
 _GAPS = b" \t\n\r\x0b\x0c"
 
 
@@ -95,22 +98,46 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _row_places(df: DataFrame) -> Column | None:
+    """A number for each row from its file and its place in the file; None where the plan is not projections and filters of one Parquet scan.
+
+    Files are told apart by a hash of their path, under the first seed that gives no two of
+    them the same one. The driver holds the list of files anyway, as it plans the scan.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    if not node.nodeName().startswith("LogicalRelation"):
+        return None
+    relation = node.relation()
+    if "HadoopFsRelation" not in relation.getClass().getName() or relation.fileFormat().toString() != "Parquet":
+        return None
+    listed = list(relation.inputFiles())
+    if len(set(listed)) < len(listed) or "_metadata" in (c.lower() for c in [*df.columns, *relation.schema().fieldNames()]):
+        return None
+    bits = ROW_BITS if len(listed) <= 100_000 else ROW_BITS - 4
+    # As the scan spells them: one slash after the scheme of local files.
+    paths = [re.sub(r"^file:/+", "file:/", p) for p in listed]
+    seed = next((n for n in range(64) if len({xxhash.xxh64_intdigest(f"{p}#{n}".encode(), seed=42) >> bits + 1 for p in paths}) == len(paths)), None)
+    if seed is None:
+        return None
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    hashed = F.shiftrightunsigned(F.xxhash64(F.concat(file, F.lit(f"#{seed}"))), bits + 1)
+    return F.when(row < 1 << bits, F.shiftleft(hashed, bits) + row).otherwise(F.raise_error(F.lit(f"a file of over {1 << bits} rows")).cast("long"))
+
+
 def keyed(df: DataFrame, name: str = "input") -> DataFrame:
-    """Adds a row key. It is the row's place in the scan, so it survives null and repeated ids.
+    """Adds a row key, that survives null and repeated ids: the row's file and its place in that file.
 
-    The key must come out the same each time that the plan runs. That holds where the
-    plan is nothing but projections and filters of file scans; any other is first
-    written to the shared folder.
+    It is the same each time that the plan runs, whatever cores there are and however the
+    scan is split. Plans that are more than projections and filters of one scan of Parquet
+    files are first written to the shared folder.
     """
-    todo = [df._jdf.queryExecution().optimizedPlan()]
-    while todo:
-        node = todo.pop()
-        kind, children = node.nodeName(), node.children()
-        if kind not in ("Project", "Filter") and not kind.startswith("LogicalRelation") and not (children.isEmpty() and "Relation" in kind and "Local" not in kind):
-            df = Shelf(df.sparkSession, name).put(df, "rows")
-            break
-        todo += [children.apply(i) for i in range(children.size())]
-    return df.withColumn(KEY, F.monotonically_increasing_id())
+    places = _row_places(df)
+    if places is None:
+        df = Shelf(df.sparkSession, name).put(df, "rows")
+        places = _row_places(df)
+    return df.withColumn(KEY, places)
 
 
 def n_words(text: Column) -> Column:

@@ -179,20 +179,40 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[int | None], list[bytes | None]]]:
-    """A partition's rows in segments: the key of the first row, doc_ids, texts. The same cuts each time that the partition is read."""
-    key, ids, texts, size = None, [], [], 0
+def _segments(segment: int):
+    """Texts with their segment, the key of its first row, and their place in it. Written once: how a scan is cut hangs on the cores of the moment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, place, size = None, 0, 0
+        for batch in batches:
+            keys, texts = batch.column(KEY).to_pylist(), binary(batch.column("text"))
+            segs, places = [], []
+            for k, text in zip(keys, texts):
+                if size >= segment:
+                    key, place, size = None, 0, 0
+                key = k if key is None else key
+                segs.append(key)
+                places.append(place)
+                place += 1
+                size += len(text or b"") + 1
+            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(places, pa.int64()), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["seg", "place", "doc_id", "text"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int | None], list[bytes | None]]]:
+    """Rows of one segment that a scan reads one after the other: segment, first place, doc_ids, texts."""
+    at, ids, texts = None, [], []
     for batch in batches:
-        for k, doc_id, text in zip(batch.column(KEY).to_pylist(), batch.column("doc_id").to_pylist(), binary(batch.column("text"))):
-            key = k if key is None else key
+        for seg, place, doc_id, text in zip(batch.column("seg").to_pylist(), batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), binary(batch.column("text"))):
+            if at is not None and (seg, place) != (at[0], at[1] + len(ids)):
+                yield *at, ids, texts
+                at, ids, texts = None, [], []
+            at = at or (seg, place)
             ids.append(doc_id)
             texts.append(text)
-            size += len(text or b"") + 1
-            if size >= most:
-                yield key, ids, texts
-                key, ids, texts, size = None, [], [], 0
     if ids:
-        yield key, ids, texts
+        yield *at, ids, texts
 
 
 def _fold(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +245,7 @@ def _dealt(kind: int, keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.nd
         yield int(p), order[ends[p] : ends[p + 1]]
 
 
-_PIECES = "seg long, kind int, part int, n long, keys binary, counts binary"
+_PIECES = "seg long, first long, kind int, part int, n long, keys binary, counts binary"
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -235,20 +255,11 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _pieces(parts: int, segment: int):
+def _pieces(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seg, ids, texts in _segments(batches, segment):
+        for seg, first, ids, texts in _runs(batches):
             for kind, (keys, counts) in enumerate(_keys(ids, [modelled(t) for t in texts])):
-                yield _rows(_PIECES, [(seg, kind, part, len(at), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for part, at in _dealt(kind, keys, parts)])
-
-    return run
-
-
-def _texts(segment: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seg, ids, texts in _segments(batches, segment):
-            for s in range(0, len(ids), 256):
-                yield _rows("seg long, doc_id long, text binary", [(seg, i, t) for i, t in zip(ids[s : s + 256], texts[s : s + 256])])
+                yield _rows(_PIECES, [(seg, first, kind, part, len(at), keys[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for part, at in _dealt(kind, keys, parts)])
 
     return run
 
@@ -377,14 +388,14 @@ def tree(counts: DataFrame, shelf: Shelf) -> DataFrame:
     return shelf.put(counts.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(_probabilities, _VALUES), "tree", free=True)
 
 
-_ANSWERS = "seg long, kind int, part int, vals binary"
+_ANSWERS = "seg long, first long, kind int, part int, vals binary"
 
 
 def _answers(pieces: pa.Table, values: pa.Table) -> pa.Table:
     """For each segment's keys of a part their values."""
     known, found = _packed(values["keys"], np.uint64), _packed(values["vals"], np.float64)
-    rows = zip(*(pieces[c].to_pylist() for c in ("seg", "kind", "part", "keys")))
-    return pa.Table.from_batches([_rows(_ANSWERS, [(s, k, p, found[np.searchsorted(known, np.frombuffer(keys, np.uint64))].tobytes()) for s, k, p, keys in rows])])
+    rows = zip(*(pieces[c].to_pylist() for c in ("seg", "first", "kind", "part", "keys")))
+    return pa.Table.from_batches([_rows(_ANSWERS, [(*at, found[np.searchsorted(known, np.frombuffer(keys, np.uint64))].tobytes()) for *at, keys in rows])])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, n_bytes long, base_score double, score double, bits_per_byte double"
@@ -402,10 +413,10 @@ def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.nd
 
 
 def _scored(tokens: int, distinct: int, parts: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, made = texts["doc_id"].to_pylist(), [modelled(t) for t in binary(texts["text"])]
-        got = {(k, p): v for k, p, v in zip(*(answers[c].to_pylist() for c in ("kind", "part", "vals")))}
-        tables = []
+    zero = np.log10(tokens + distinct + 1)
+
+    def scored(ids: list[int | None], texts: list[bytes | None], got: dict[tuple[int, int], bytes]) -> list[tuple]:
+        made, tables = [modelled(t) for t in texts], []
         for kind, (keys, _) in enumerate(_keys(ids, made)):
             values = np.empty(len(keys))
             for part, at in _dealt(kind, keys, parts):
@@ -415,11 +426,24 @@ def _scored(tokens: int, distinct: int, parts: int):
         for owner, keys in _chunks([data for data, _ in made]):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             score[owner[starts]] += np.add.reduceat(_looked_up(keys, *tables[GRAM]), starts)
-        rows, zero = [], np.log10(tokens + distinct + 1)
+        rows = []
         for doc_id, (data, hashes), logs in zip(ids, made, score):
             counts = _looked_up(hashes, *tables[WORD])
             base = float((np.log10(counts + 1) - zero).sum())
             rows.append((doc_id, held_out(doc_id), len(hashes), int((counts > 0).sum()), tokens, len(data), base, float(logs), float(-logs / np.log10(2) / len(data))))
+        return rows
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """The rows of a segment, run by run as its pieces were made."""
+        texts = texts.sort_by("place")
+        places = texts["place"].to_numpy()
+        got: dict[int, dict[tuple[int, int], bytes]] = {}
+        for first, kind, part, vals in zip(*(answers[c].to_pylist() for c in ("first", "kind", "part", "vals"))):
+            got.setdefault(first, {})[kind, part] = vals
+        firsts, rows = sorted(got), []
+        for first, end in zip(firsts, [*firsts[1:], len(places)]):
+            own = texts.slice(np.searchsorted(places, first), end - first)
+            rows += scored(own["doc_id"].to_pylist(), binary(own["text"]), got[first])
         return pa.Table.from_batches([_rows(_SCORES, rows)])
 
     return run
@@ -437,10 +461,11 @@ def scores(docs: DataFrame, parts: int | None = None, segment: int = SEGMENT) ->
     """
     shelf = Shelf(docs.sparkSession, "scoring")
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "scoring").select(KEY, "doc_id", "text")
+    texts = shelf.put(rows.mapInArrow(_segments(segment), "seg long, place long, doc_id long, text binary"), "texts")
     if parts is None:
         least, most = PARTS
-        parts = min(most, max(least, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    pieces = shelf.put(rows.mapInArrow(_pieces(parts, segment), _PIECES), "pieces")
+        parts = min(most, max(least, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    pieces = shelf.put(texts.mapInArrow(_pieces(parts), _PIECES), "pieces")
     # A row for each kind and part: at most 8,192.
     sizes = shelf.put(pieces.groupBy("kind", "part").agg(F.sum("n").alias("all"), F.ceil(F.sum("n") / TOGETHER).alias("salts")), "sizes")
     some = _salted(pieces, sizes).groupBy("kind", "part", "salt").applyInArrow(_added(False), _COUNTS)
@@ -452,11 +477,10 @@ def scores(docs: DataFrame, parts: int | None = None, segment: int = SEGMENT) ->
     sizes = shelf.put(sizes.join(counts.select("kind", "part", "n"), ["kind", "part"]).select("kind", "part", F.ceil(F.col("all") / F.greatest("n", F.lit(TOGETHER))).alias("salts")), "salts")
     copies = values.join(F.broadcast(shelf.get("salts")), ["kind", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     by = ("kind", "part", "salt")
-    asked = _salted(pieces.select("seg", "kind", "part", "keys"), sizes)
+    asked = _salted(pieces.select("seg", "first", "kind", "part", "keys"), sizes)
     answers = shelf.put(asked.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_answers, _ANSWERS), "answers", free=True)
     for name in ("pieces", "third", "second"):
         shelf.drop(name)
-    texts = rows.mapInArrow(_texts(segment), "seg long, doc_id long, text binary")
     return texts.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_scored(tokens, distinct, parts), _SCORES)
 
 
