@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, mixing, near, quality, scoring, substring, tokens, topk
+from . import chat, clusters, decontaminate, html, mixing, near, negatives, quality, scoring, simhash, substring, tokens, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,8 +60,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each negative; some ids' labels are moved on first, as mislabelled rows would be."""
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", moved))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprinted(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_html_extraction, op3_substring_dedup, op4_topk_search, op5_lm_scoring, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_minhash_near_dedup, op10_source_mixing)
+    own = (op1_decontamination, op2_html_extraction, op3_substring_dedup, op4_topk_search, op5_lm_scoring, op6_quality_classifier, op7_token_counts, op8_chat_formatting, op9_minhash_near_dedup, op10_source_mixing, op11_centroid_clustering, op12_hard_negatives, op13_document_fingerprints)
     return {f.__name__: f for f in own}
 
 
@@ -70,6 +85,8 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": OP3,
         "op4_topk_search": OP4,
         "op8_chat_formatting": OP8,
+        "op11_centroid_clustering": OP11,
+        "op12_hard_negatives": OP12,
     }
 
 
@@ -105,3 +122,35 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(3 + sum(length(escaped) + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 11 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_GAP = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _round(i: int) -> str:
+    """Vectors to the nearest centroid, and the centroids of the round after."""
+    return f"""
+a{i} AS MATERIALIZED (SELECT key, vec_id, e, number, gap FROM (SELECT v.key, v.vec_id, v.e, c.number, {_GAP} AS gap, row_number() OVER (PARTITION BY v.key ORDER BY {_GAP}, c.number) AS place FROM v, c{i} c) WHERE place = 1),
+c{i + 1} AS MATERIALIZED (SELECT o.number, coalesce(n.e, o.e) AS e FROM c{i} o LEFT JOIN (
+  SELECT number, list(f ORDER BY pos) AS e FROM (SELECT number, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS f FROM (SELECT number, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{i}) GROUP BY number, pos) GROUP BY number) n ON n.number = o.number)"""
+
+
+OP11 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS number, e FROM (SELECT e, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT 8)),
+{",".join(_round(i) for i in range(11))}
+SELECT a.vec_id, CAST(a.number AS INTEGER) AS cluster, CAST(gap AS BIGINT) AS distance, CAST(sum(gap) OVER (PARTITION BY a.number) AS BIGINT) AS cluster_inertia, CAST(sum(gap) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a10 a JOIN c10 c ON c.number = a.number
+"""
+
+OP12 = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.place, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score, CAST(place AS INTEGER) AS positive_rank FROM n WHERE rank <= 3
+"""
