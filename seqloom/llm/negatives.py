@@ -136,7 +136,7 @@ class _Best:
             self.worst[i] = float(joined[0][order[-1]])
 
 
-def _walk(a: Block, c: Block, same: bool, best: _Best, offset: int, slots: int, low: int, high: int) -> None:
+def _walk(a: Block, c: Block, same: bool, best: _Best, offset: int, slots: int, low: int, high: int, stretch: int) -> None:
     """The anchors' walk of their shared list of a block of candidates. Lists of ``best``: one for each anchor, or each of its positives."""
     if same:
         rows = np.isin(a.labels, c.labels)
@@ -152,7 +152,7 @@ def _walk(a: Block, c: Block, same: bool, best: _Best, offset: int, slots: int,
     # Cutting a vector to the other's width only shortens it, so the lengths of whole anchors are safe.
     order, bound = _order(va, vc)
     live = np.arange(len(rows))
-    for start in range(0, len(order), STRETCH):
+    for start in range(0, len(order), stretch):
         top = bound[start] * la[live] + 1e-9 * np.abs(bound[start] * la[live]) + 1e-6
         if same:
             need = best.worst[offset + rows[live]]
@@ -165,8 +165,8 @@ def _walk(a: Block, c: Block, same: bool, best: _Best, offset: int, slots: int,
         live = live[top >= need]
         if not len(live):
             return
-        at = columns[order[start : start + STRETCH]]
-        scores = exact(va[live], vc[order[start : start + STRETCH]])
+        at = columns[order[start : start + stretch]]
+        scores = exact(va[live], vc[order[start : start + stretch]])
         for i, score in zip(rows[live], scores):
             if same:
                 fit = np.flatnonzero((c.labels[at] == a.labels[i]) & (c.keys[at] != a.keys[i]) & (score >= best.worst[offset + i]))
@@ -188,7 +188,7 @@ def _walk(a: Block, c: Block, same: bool, best: _Best, offset: int, slots: int,
 _FOUND = "anchor long, slot int, score long, vec_named boolean, vec_id long, vec_key long"
 
 
-def _met(k: int, slots: int, low: int, high: int):
+def _met(k: int, slots: int, low: int, high: int, stretch: int):
     """The walks of one group of anchor blocks over one group of candidate blocks. slots: 0 for positives."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +199,7 @@ def _met(k: int, slots: int, low: int, high: int):
         for r in right.itertuples(index=False):
             candidates = Block.read(r)
             for a, offset in zip(anchors, offsets):
-                _walk(a, candidates, not slots, best, int(offset), lists, low, high)
+                _walk(a, candidates, not slots, best, int(offset), lists, low, high, stretch)
         keys = np.repeat(np.concatenate([a.keys for a in anchors]) if anchors else np.zeros(0, np.int64), lists)
         sizes = [len(x[0]) for x in best.rows]
         score, named, ids, at = (np.concatenate(x) for x in zip(*best.rows)) if best.rows else (np.zeros(0, np.int64),) * 4
@@ -269,10 +269,10 @@ def mined(vectors: DataFrame, label: str = "label", positives: int = POSITIVES,
         dealt = df.repartitionByRange(parts(m, ANCHORS), "label", "cluster", KEY).sortWithinPartitions("label", "cluster", KEY)
         return shelf.put(dealt.mapInPandas(_packed(ANCHORS, slots), _BLOCK), name)
 
-    first = shelf.put(_ranked(_grid(blocked(named, 1, "blocks-1"), blocks, (tall, wide), _met(positives, 0, low, high)), positives), "positives")
+    first = shelf.put(_ranked(_grid(blocked(named, 1, "blocks-1"), blocks, (tall, wide), _met(positives, 0, low, high, STRETCH)), positives), "positives")
     listed = first.groupBy("anchor").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
     again = named.drop("scores").join(listed, F.col(KEY) == F.col("anchor")).select(*named.columns)
-    second = shelf.put(_ranked(_grid(blocked(again, positives, "blocks-2"), blocks, (tall, wide), _met(negatives, positives, low, high)), negatives), "found")
+    second = shelf.put(_ranked(_grid(blocked(again, positives, "blocks-2"), blocks, (tall, wide), _met(negatives, positives, low, high, STRETCH)), negatives), "found")
     own = lambda df, names: df.select(*[F.when(F.col("vec_named"), F.col("vec_id")).alias(b) if a == "vec_id" else F.col(a).alias(b) for a, b in names.items()])
     x = own(first, {"anchor": "anchor", "rank": "positive_rank", "vec_id": "positive_id", "score": "positive_score"})
     y = own(second.withColumn("positive_rank", F.col("slot") + 1), {"anchor": "anchor", "positive_rank": "positive_rank", "rank": "rank", "vec_id": "negative_id", "score": "negative_score"})
