@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,17 +68,42 @@ def scan(s: Column, motif: Motif) -> Column:
 
 
 def scan_scores(sequences: Sequence[str], motif: Motif) -> list[np.ndarray]:
-    """The same for a batch, with numpy."""
+    """The same for a batch, with numpy: sequences are laid end to end, and each gets the scores of its own starts."""
+    scores, first, counts = scan_flat(sequences, motif)
+    return [scores[i : i + n] for i, n in zip(first, counts)]
+
+
+def scan_flat(sequences: Sequence[str], motif: Motif) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of all starts, those of a sequence next to each other; where each sequence's begin, and how many it has."""
     table = np.zeros((256, len(motif)))
     for j, row in enumerate(motif.log_odds()):
         for b, v in zip(BASES, row):
             table[ord(b), j] = v
-    out = []
-    for s in sequences:
-        codes = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
-        n = len(codes) - len(motif) + 1
-        out.append(sum(table[codes[j : j + n], j] for j in range(len(motif))) if n > 0 else np.zeros(0))
-    return out
+    data = [s.encode("latin-1", "replace") for s in sequences]
+    sizes = np.array([len(x) for x in data], np.int64)
+    codes = np.frombuffer(b"".join(data), np.uint8)
+    counts = np.maximum(sizes - len(motif) + 1, 0)
+    first = np.cumsum(counts) - counts
+    # Starts in the joined codes: each sequence's own, without those whose window runs over its end.
+    at = np.repeat(np.cumsum(sizes) - sizes - first, counts) + np.arange(counts.sum())
+    scores = np.zeros(len(at))
+    for j in range(len(motif)):
+        scores += table[codes[at + j], j]
+    return scores, first, counts
+
+
+def scanned(df: DataFrame, key: str, sequence: str, motif: Motif) -> DataFrame:
+    """key, pos, score: a row for each start of each sequence, made in Arrow batches where the sequence is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                scores, first, counts = scan_flat([x or "" for x in part.column(1).to_pylist()], motif)
+                pos = np.arange(len(scores)) - np.repeat(first, counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(pos), pa.array(scores)], names=[key, "pos", "score"])
+
+    return df.select(F.col(key).cast("long").alias(key), sequence).mapInArrow(run, f"{key} long, pos long, score double")
 
 
 def best_hits(scores: np.ndarray, width: int, threshold: float) -> list[int]:

@@ -50,12 +50,12 @@ def draw_counts(wanted: np.ndarray, n: int, replicates: int, seed: str) -> np.nd
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch], n: int, replicates: int, seed: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _cells(batches: Iterator[pa.RecordBatch], n: int, replicates: int, seed: str, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Group, range, scores, labels and weights (cells x replicates) of consecutive cells of one group."""
     for batch in batches:
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", order.RANGE, "score", "label", "ordinal", "n")]
-        for start in range(0, batch.num_rows, CELLS):
-            g, range_, score, label, ordinal, count = (c[start : start + CELLS] for c in columns)
+        for start in range(0, batch.num_rows, size):
+            g, range_, score, label, ordinal, count = (c[start : start + size] for c in columns)
             wanted, at = np.unique(ordinal, return_inverse=True)
             weights = draw_counts(wanted, n, replicates, seed)[at] * count[:, None].astype(np.float64)
             for own in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
@@ -65,12 +65,12 @@ def _cells(batches: Iterator[pa.RecordBatch], n: int, replicates: int, seed: str
 _VECTORS = "g long, range long, a binary, b binary"
 
 
-def _totals(n: int, replicates: int, seed: str):
+def _totals(n: int, replicates: int, seed: str, size: int):
     """What each range adds to the positives and to all rows of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list[np.ndarray]] = {}
-        for g, range_, _, label, weights in _cells(batches, n, replicates, seed):
+        for g, range_, _, label, weights in _cells(batches, n, replicates, seed, size):
             held = sums.setdefault((g, range_), [np.zeros(replicates), np.zeros(replicates)])
             held[0] += weights[label == 1].sum(axis=0)
             held[1] += weights.sum(axis=0)
@@ -80,7 +80,7 @@ def _totals(n: int, replicates: int, seed: str):
     return run
 
 
-def _parts(shared, n: int, replicates: int, seed: str):
+def _parts(shared, n: int, replicates: int, seed: str, size: int):
     """Each range's part of the sum of positives times precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def _parts(shared, n: int, replicates: int, seed: str):
             total += np.divide(new_hits * hits, seen, out=np.zeros(replicates), where=seen > 0)
             new_hits[:], new_seen[:] = 0, 0
 
-        for g, range_, score, label, weights in _cells(batches, n, replicates, seed):
+        for g, range_, score, label, weights in _cells(batches, n, replicates, seed, size):
             if (g, range_) not in state:
                 state[g, range_] = [score[0], *(x.copy() for x in shared.value[g, range_]), *(np.zeros(replicates) for _ in range(3))]
             held = state[g, range_]
@@ -111,7 +111,7 @@ def _parts(shared, n: int, replicates: int, seed: str):
     return run
 
 
-def replicated_ap(df: DataFrame, by: list[str], component: str = "component", score: str = "score", label: str = "label", replicates: int = REPLICATES, seed: str = "bootstrap") -> DataFrame:
+def replicated_ap(df: DataFrame, by: list[str], component: str = "component", score: str = "score", label: str = "label", replicates: int = REPLICATES, seed: str = "bootstrap", size: int = CELLS) -> DataFrame:
     """by, replicate, ap: average precision of each group of ``by`` in each replicate; null where a replicate has one class only.
 
     All groups resample the same components: those of the whole table. Rows without a component, score or label are left out.
@@ -128,7 +128,7 @@ def replicated_ap(df: DataFrame, by: list[str], component: str = "component", sc
     ranked = [F.col("g"), F.desc("score")]
     cells = order.ranges(counted, ranked).sortWithinPartitions(*ranked)
     # Two vectors a range and group that it has: bounded by partitions and groups, whatever the rows.
-    totals = cells.mapInArrow(_totals(n, replicates, seed), _VECTORS).toPandas().sort_values(["g", "range"])
+    totals = cells.mapInArrow(_totals(n, replicates, seed, size), _VECTORS).toPandas().sort_values(["g", "range"])
     before, ends = {}, {}
     for g, part in totals.groupby("g"):
         held = [np.zeros(replicates), np.zeros(replicates)]
@@ -146,7 +146,7 @@ def replicated_ap(df: DataFrame, by: list[str], component: str = "component", sc
         ap = np.where(both, total / np.where(both, hits, 1), np.nan)
         return pd.DataFrame({"g": key[0], "replicate": np.arange(replicates, dtype=np.int32), "ap": [x if ok else None for x, ok in zip(ap, both)]})
 
-    made = cells.mapInArrow(_parts(shared, n, replicates, seed), _VECTORS).groupBy("g").applyInPandas(summed, "g long, replicate int, ap double")
+    made = cells.mapInArrow(_parts(shared, n, replicates, seed, size), _VECTORS).groupBy("g").applyInPandas(summed, "g long, replicate int, ap double")
     return made.join(F.broadcast(groups), "g").select(*by, "replicate", "ap")
 
 

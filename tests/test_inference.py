@@ -97,11 +97,10 @@ def scored():
     return [(cond, seed, c, y, round(rng.random() + 0.3 * y * (1 + (cond == "C1")), 1)) for c, y in base for cond in ("C0", "C1") for seed in (1, 2)]
 
 
-def test_paired_bootstrap_is_that_of_one_process(spark, monkeypatch, scored):
-    monkeypatch.setattr(bootstrap, "CELLS", 16)
+def test_paired_bootstrap_is_that_of_one_process(spark, scored):
     df = spark.createDataFrame(scored, "condition string, seed int, component string, label int, score double").repartition(5)
     reps = 60
-    got = {(r.seed, r.replicate): r.delta for r in bootstrap.paired_ap(df, "condition", "C0", "C1", "seed", replicates=reps).collect()}
+    got = {(r.seed, r.replicate): r.delta for r in bootstrap.paired_ap(df, "condition", "C0", "C1", "seed", replicates=reps, size=16).collect()}
     names = sorted({r[2] for r in scored})
     counts = bootstrap.draw_counts(np.arange(len(names)), len(names), reps, "bootstrap")
     assert len(got) == 2 * reps
