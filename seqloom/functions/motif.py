@@ -106,6 +106,28 @@ def scanned(df: DataFrame, key: str, sequence: str, motif: Motif) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), sequence).mapInArrow(run, f"{key} long, pos long, score double")
 
 
+def with_best(df: DataFrame, key: str, sequence: str, motif: Motif, threshold: float) -> DataFrame:
+    """key, best, best_start, over: the best score, where it first stands, and how many starts reach the threshold; nulls and 0 for sequences that are too short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                scores, first, counts = scan_flat([x or "" for x in part.column(1).to_pylist()], motif)
+                some = counts > 0
+                best, at, over = np.full(len(counts), np.nan), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+                if some.any():
+                    owner = np.repeat(np.arange(len(counts)), counts)
+                    best[some] = np.maximum.reduceat(scores, first[some])
+                    top = np.flatnonzero(scores == best[owner])
+                    _, earliest = np.unique(owner[top], return_index=True)
+                    at[some] = top[earliest] - first[some]
+                    over[some] = np.add.reduceat((scores >= threshold).astype(np.int64), first[some])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, mask=~some), pa.array(at, mask=~some), pa.array(over)], names=[key, "best", "best_start", "over"])
+
+    return df.select(F.col(key).cast("long").alias(key), sequence).mapInArrow(run, f"{key} long, best double, best_start long, over long")
+
+
 def best_hits(scores: np.ndarray, width: int, threshold: float) -> list[int]:
     """Starts that reach the threshold, best first, none overlapping one taken before; ties to the left."""
     taken: list[int] = []

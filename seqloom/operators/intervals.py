@@ -82,3 +82,19 @@ def previous_links(df: DataFrame, group: str, key: str) -> DataFrame:
     order = Window.partitionBy(group).orderBy("st", "en", key)
     linked = df.withColumn("prev", F.lag(key).over(order)).withColumn("prev_en", F.lag("en").over(order))
     return linked.filter(F.col("st") < F.col("prev_en")).select(group, F.col("prev").alias("a"), F.col(key).alias("b"))
+
+
+def in_genes(windows: DataFrame, genes: DataFrame, exons: DataFrame, width: int = BIN) -> DataFrame:
+    """The windows with gene and context: those that lie over exactly one gene's span, exonic where one of that gene's own exons overlaps, else intronic.
+
+    windows (chrom, st, en, ...), genes and exons (gene, chrom, st, en). An exon of another gene does not count. What a
+    window is hangs on its place alone, so ids may repeat.
+    """
+    place = ["chrom", "st", "en"]
+    spans = genes.select(F.col("gene").alias("r_gene"), F.col("chrom").alias("r_chrom"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
+    one = overlaps(windows.select(*place).distinct(), spans, width).groupBy(*place).agg(F.count("*").alias("n"), F.min("r_gene").alias("gene")).filter("n = 1").drop("n")
+    # Within the gene, so the equi-join is by gene and bin.
+    own = exons.select(F.col("gene").alias("r_chrom"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
+    exonic = overlaps(one.select(F.col("chrom").alias("contig"), F.col("gene").alias("chrom"), "st", "en"), own, width).select(F.col("contig").alias("chrom"), "st", "en").distinct().withColumn("exonic", F.lit(True))
+    context = F.when(F.col("exonic"), "exonic").otherwise("intronic")
+    return windows.join(one.join(exonic, place, "left").select(*place, "gene", context.alias("context")), place)

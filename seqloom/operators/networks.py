@@ -20,7 +20,11 @@ from ..functions.sequence import BASES
 #: Channels in, channels out, kernel, dilation of each convolution; width of the hidden layer. Fixed values.
 LAYERS = ((4, 32, 11, 1), (32, 32, 5, 2), (32, 32, 5, 4))
 HIDDEN = 32
-_ERF = np.frompyfunc(math.erf, 1, 1)
+#: The error function from 0 to 6 at steps of 2**-10, with its slope; between, cubics that meet both are within 1e-14 of it.
+_STEP = 2.0**-10
+_GRID = np.arange(6 * 1024 + 2) * _STEP
+_VALUE = np.array([math.erf(x) for x in _GRID])
+_SLOPE = 2 / math.sqrt(math.pi) * np.exp(-_GRID * _GRID)
 
 
 def one_hot(sequences: list[str]) -> np.ndarray:
@@ -33,12 +37,22 @@ def one_hot(sequences: list[str]) -> np.ndarray:
     return (codes[:, None, :] == np.arange(4)[None, :, None]).astype(np.float64)
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    size = np.minimum(np.abs(x), 6.0)
+    at = (size / _STEP).astype(np.int64)
+    t = size / _STEP - at
+    low, high = _VALUE[at], _VALUE[at + 1]
+    a, b = _SLOPE[at] * _STEP, _SLOPE[at + 1] * _STEP
+    gap = high - low
+    return np.sign(x) * (low + t * (a + t * (3 * gap - 2 * a - b + t * (a + b - 2 * gap))))
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _ERF(x / math.sqrt(2)).astype(np.float64))
+    return 0.5 * x * (1 + erf(x / math.sqrt(2)))
 
 
 def _gelu_slope(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _ERF(x / math.sqrt(2)).astype(np.float64)) + x * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    return 0.5 * (1 + erf(x / math.sqrt(2))) + x * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
 @dataclass(frozen=True)
@@ -78,7 +92,10 @@ class Network:
         width, n = kernel.shape[2], x.shape[2]
         pad = (width - 1) * dilation // 2
         padded = np.pad(x, ((0, 0), (0, 0), (pad, (width - 1) * dilation - pad)))
-        return sum(np.einsum("oi,bin->bon", kernel[:, :, j], padded[:, :, j * dilation : j * dilation + n], optimize=True) for j in range(width)) + self.biases[i][:, None]
+        made = np.repeat(self.biases[i][None, :, None], len(x), axis=0) + np.zeros((1, 1, n))
+        for j in range(width):
+            made += kernel[:, :, j] @ padded[:, :, j * dilation : j * dilation + n]
+        return made
 
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         before = []
@@ -107,7 +124,7 @@ class Network:
             pad = (width - 1) * dilation // 2
             wide = np.zeros((len(grad), kernel.shape[1], n + (width - 1) * dilation))
             for j in range(width):
-                wide[:, :, j * dilation : j * dilation + n] += np.einsum("oi,bon->bin", kernel[:, :, j], grad, optimize=True)
+                wide[:, :, j * dilation : j * dilation + n] += kernel[:, :, j].T @ grad
             grad = wide[:, :, pad : pad + n]
         return grad
 

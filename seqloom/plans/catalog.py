@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kmers
 from ..functions import motif as mo
 from ..functions import sequence as sq
 from ..functions.hashing import hash_split, hash_unit, row_hash
-from ..operators import attribution, controls, graph, intervals, metrics, near_duplicates, splits, weights
+from ..operators import attribution, background, controls, graph, intervals, metrics, near_duplicates, quantiles, splits, weights
 from ..sources import readers
 from .fixtures import CYCLE, LETTERS, SEQS, WINDOWS, interval_sql, merged_sql, table, unit
 from .fixtures import intervals as ivs
@@ -304,8 +305,12 @@ _SCAN = f"scan AS (SELECT doc_id, i, {' + '.join(f'coalesce(odds[{j + 1}][substr
 
 @query(f"WITH {SEQS}, {_SCAN} SELECT round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.9), 6) AS q90, round(quantile_cont(v, 0.99), 6) AS threshold, round(quantile_cont(v, 0.999), 6) AS q999, count(*) AS positions FROM scan")
 def null_threshold(s, d):
-    v = seqs(s, d).select(F.explode(mo.scan(C("seq"), MOTIF)).alias("v"))
-    return v.agg(F.percentile("v", F.array(*map(F.lit, (0.5, 0.9, 0.99, 0.999)))).alias("q"), _n().alias("positions")).select(*[_6(C("q")[i]).alias(n) for i, n in enumerate(("q50", "q90", "threshold", "q999"))], "positions")
+    # Two scans and no sort: scores are counted by cells between the bounds that the matrix has.
+    shares = (0.5, 0.9, 0.99, 0.999)
+    values, n = quantiles.quantiles(seqs(s, d).select("seq"), lambda batch: mo.scan_flat(batch.column(0).to_pylist(), MOTIF)[0], list(shares))
+    names = ("q50", "q90", "threshold", "q999")
+    row = s.createDataFrame([(*values, n)], ", ".join(f"{x} double" for x in names) + ", positions long")
+    return row.select(*[_6(x).alias(x) for x in names], "positions")
 
 
 _PREF = "CASE WHEN score - other < -1e-6 THEN 1.0 WHEN abs(score - other) <= 1e-6 THEN 0.5 ELSE 0.0 END"
@@ -482,11 +487,8 @@ _KMERS = SEQS + ", k AS (SELECT doc_id, k, substr(seq, CAST(i AS INT), CAST(k AS
 
 @query(f"WITH {_KMERS} SELECT doc_id, k, kmer, round(count(*) / (201.0 - k + 1), 6) AS freq FROM k WHERE NOT regexp_matches(kmer, '[^ACGU]') GROUP BY doc_id, k, kmer")
 def kmer_freq(s, d):
-    def _sized(k):
-        return F.transform(sq.kmers(C("seq"), k), lambda x: F.struct(F.lit(k).alias("k"), x.alias("kmer")))
-
-    each = seqs(s, d).select("doc_id", F.inline(F.flatten(F.array(*[_sized(k) for k in (3, 4, 5)]))))
-    return each.filter(sq.is_canonical(C("kmer"))).groupBy("doc_id", "k", "kmer").agg(_6(F.count("*") / (201.0 - C("k") + 1)).alias("freq"))
+    made = kmers.frequencies(seqs(s, d), "doc_id", "seq")
+    return made.select("doc_id", "k", "kmer", _6("freq").alias("freq"))
 
 
 @query(f"WITH {WINDOWS} SELECT doc_id, CAST(context = 'en' AS DOUBLE) AS is_en, CAST(context = 'de' AS DOUBLE) AS is_de, round(tpm, 6) AS log1p_tpm FROM windows")
@@ -537,13 +539,13 @@ def pwm_consensus(s, d):
 
 @query(f"WITH {SEQS}, {_SCAN} SELECT doc_id, i AS pos, round(v, 6) AS score FROM scan")
 def pwm_scan(s, d):
-    return seqs(s, d).select("doc_id", F.posexplode(mo.scan(C("seq"), MOTIF)).alias("pos", "v")).select("doc_id", C("pos").cast("long").alias("pos"), _6("v").alias("score"))
+    return mo.scanned(seqs(s, d), "doc_id", "seq", MOTIF).select("doc_id", "pos", _6("score").alias("score"))
 
 
 @query(f"WITH {SEQS}, {_SCAN} SELECT doc_id, round(max(v), 6) AS best, count(*) FILTER (v >= {HIT}) AS over FROM scan GROUP BY doc_id")
 def motif_scores(s, d):
-    v = mo.scan(C("seq"), MOTIF)
-    return seqs(s, d).select("doc_id", v.alias("v")).select("doc_id", _6(F.array_max("v")).alias("best"), F.size(F.filter("v", lambda x: x >= HIT)).cast("long").alias("over"))
+    found = mo.with_best(seqs(s, d), "doc_id", "seq", MOTIF, HIT)
+    return found.select("doc_id", _6("best").alias("best"), "over")
 
 
 @query()
@@ -718,14 +720,27 @@ def common_support(s, d):
     return st.join(good, "stratum", "left_semi").select("doc_id")
 
 
-@query(f"WITH {interval_sql('a', 'A')}, {merged_sql('a', 'm')}, free AS (SELECT chrom, en AS lo, lead(st) OVER (PARTITION BY chrom ORDER BY st) AS hi FROM m), c AS (SELECT chrom, lo + CAST(floor({unit('concat_ws(chr(31), chrom, lo, k)')} * (hi - lo)) AS BIGINT) AS place, {unit('concat_ws(chr(31), chrom, lo, k, 1)')} AS u FROM free, (SELECT unnest([0, 1]) AS k) WHERE hi > lo) SELECT chrom, place FROM (SELECT chrom, place, min(u) AS u FROM c GROUP BY chrom, place) ORDER BY u, chrom, place LIMIT 500")
+QUOTA, WIDE = 2000, 7
+
+
+def _network_sql() -> str:
+    """The keyed permutation of the first draws, round by round; as many draws as any table needs for the quota."""
+    steps = ["net0 AS (SELECT k, k >> half AS l, k & ((1 << half) - 1) AS r FROM (SELECT unnest(range(0, least(1 << (2 * half), 40000))) AS k FROM size), size)"]
+    for i in range(background.ROUNDS):
+        steps.append(f"net{i + 1} AS (SELECT k, r AS l, xor(l, CAST('0x' || substr(md5('background:{i}:' || CAST(r AS VARCHAR)), 1, 13) AS BIGINT) & ((1 << half) - 1)) AS r FROM net{i}, size)")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {interval_sql('a', 'A')}, {interval_sql('n', 'N')}, {merged_sql('a', 'm')}, gaps AS (SELECT chrom, en AS st, lead(st) OVER (PARTITION BY chrom ORDER BY st) AS en FROM m),
+places AS (SELECT *, coalesce(sum(starts) OVER (ORDER BY chrom, st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT chrom, st, en - st - {WIDE} + 1 AS starts FROM gaps WHERE en - st >= {WIDE})),
+total AS (SELECT CAST(sum(starts) AS BIGINT) AS t FROM places), size AS (SELECT greatest(1, CAST(ceil(ceil(log2(t)) / 2) AS BIGINT)) AS half FROM total), {_network_sql()},
+drawn AS (SELECT k, (l << half) | r AS x FROM net{background.ROUNDS}, size, total WHERE ((l << half) | r) < t)
+SELECT k AS draw, chrom, CAST(st + x - before AS BIGINT) AS start FROM drawn JOIN places ON x >= before AND x < before + starts WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.chrom = places.chrom AND n.st = places.st + x - before) ORDER BY k LIMIT {QUOTA}""")
 def bg_sample(s, d):
-    # Free segments stay ranges; places are drawn in them by hash, not listed.
+    """Windows between the intervals of one kind that do not start where one of another kind does: each start with the same chance, none twice."""
     order = Window.partitionBy("chrom").orderBy("st")
-    free = intervals.merge(ivs(s, d, "A")).select("chrom", C("en").alias("lo"), F.lead("st").over(order).alias("hi")).filter("hi > lo")
-    c = free.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    at = C("lo") + F.floor(hash_unit(C("chrom"), C("lo"), C("k")) * (C("hi") - C("lo")))
-    return c.select("chrom", at.alias("place"), hash_unit(C("chrom"), C("lo"), C("k"), F.lit(1)).alias("u")).groupBy("chrom", "place").agg(F.min("u").alias("u")).orderBy("u", "chrom", "place").limit(500).select("chrom", "place")
+    gaps = intervals.merge(ivs(s, d, "A")).select("chrom", C("en").alias("st"), F.lead("st").over(order).alias("en")).filter("en > st")
+    return background.sample(gaps, QUOTA, WIDE, positives=ivs(s, d, "N").select("chrom", C("st").alias("start")))
 
 
 @query()
@@ -1018,8 +1033,11 @@ def ism_agreement(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import studies  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -77,6 +77,11 @@ def plain_logit(net, x):
 SMALL = networks.Network.drawn(3, ((4, 5, 5, 1), (5, 6, 3, 2)), 4)
 
 
+def test_error_function():
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, 6.0, -6.0, 40.0]])
+    assert np.abs(networks.erf(x) - [math.erf(v) for v in x]).max() < 1e-13
+
+
 def test_size_of_the_network():
     net = networks.Network.drawn(1)
     assert (net.parameters, net.reach) == (13857, 35)
