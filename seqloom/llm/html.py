@@ -2,13 +2,18 @@
 
 Every text node of a page has a path of tags from the root. For each path the
 nodes, characters of text and punctuation marks are summed; text per node and
-punctuation per node are smoothed over the order in which paths first appear
-(a heading between paragraphs gains from them), and fused by multiplication. The
-threshold is the standard deviation of the fused ratios, on every page. Paths through
-elements that say what they are (nav, footer, form, an advert's class and the like)
-count as nothing. Two checks follow: where a path that passed is in what the page
-marks as its article, paths outside go; and a heading, which is short, comes along
-where a path that passed is in the element that it heads.
+punctuation per node are smoothed over the order in which paths first appear, and fused
+by multiplication. What an element is called weighs in: a path's weight is the product
+of those of its elements, below one for navigation, adverts, comments and the like, less so for
+names that articles have too, and above one for what is marked as an article. A name is never a veto: long
+text under a doubtful name outweighs it.
+
+The threshold is a share of the weighted ratio in the middle of the page's text (a median, in which a
+path counts by its characters times its ratio, so that neither one very long nor very many short paths move it far). Paths that pass are
+the seeds; the content node is the deepest element marked as an article that holds nearly all of
+their text, or else the deepest container that does. Under it all paths are kept, short
+ones too (lists, tables, code, quotes, captions), but for those below a doubtful name that do not reach
+the threshold themselves. Headings of the elements around it come along.
 
 Text nodes join into blocks at block-level tags. Tags of scripts and styles, and
 comments, hold no text. Unclosed tags close the way HTML closes them; markup cut
@@ -44,25 +49,29 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table article section main div body aside nav header footer form blockquote select".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements, and words in class, id or role, that are not article text.
+#: Elements, and words in class, id or role, that are hardly ever article text, and words that articles have too.
 ASIDE = frozenset("head nav header footer aside form button select input dialog menu svg canvas audio video object fieldset".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent notice notification alert nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget comment comments "
-    "reply replies respond disqus share sharing social related recommended newsletter subscribe popup modal login signup search pagination pager toolbar skip copyright legal disclaimer complementary contentinfo".split()
+    "ad ads advert advertisement adverts advertising sponsor sponsored cookie cookies consent notice notification alert nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget comment comments "
+    "reply replies respond disqus share sharing social newsletter subscribe popup modal login signup search pagination pager toolbar skip copyright legal disclaimer complementary contentinfo".split()
 )
+DOUBTFUL_WORDS = frozenset("banner promo promotion related recommended".split())
 MAIN = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN_WORDS = frozenset(("article", "articlebody", "main", "maincontent", "post", "postcontent", "entrycontent", "storybody", "content"))
+#: Elements that hold others, in which the content may be all there is.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
+#: Weights of names; the share of the middle ratio that a path must reach; the share of the seeds' text that the content node holds.
+WEIGHTS, SHARE, HELD = {"-": 0.02, "~": 0.1, "+": 4.0}, 0.1, 0.95
+#: A path of whose text this share is in links is doubtful.
+MENU = 0.8
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """'-' for what is not article text, '+' for what is marked as it."""
-    if tag in ASIDE:
-        return "-"
+    """The names of an element: '-' for what is not article text, '~' for what is doubtful, '+' for what is marked as an article."""
     words = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())} if attributes else set()
-    if words & ASIDE_WORDS:
-        return "-"
-    return "+" if tag in MAIN or (tag in ("div", "section", "td") and words & _MAIN_WORDS) else ""
+    main = tag in MAIN or (tag in ("div", "section", "td") and bool(words & _MAIN_WORDS))
+    return "-" * (tag in ASIDE or bool(words & ASIDE_WORDS)) + "~" * bool(words & DOUBTFUL_WORDS) + "+" * main
 
 
 class Paths:
@@ -70,18 +79,30 @@ class Paths:
 
     def __init__(self) -> None:
         self.above, self.label = [-1], [""]
-        self.aside, self.main = [False], [False]
+        self.weight, self.own, self.marked = [1.0], [1.0], [False]
+        #: Of each text node, whether it is in a link.
+        self.linked: list[bool] = []
         self.known: dict[tuple[int, str], int] = {}
 
     def child(self, above: int, tag: str, kind: str) -> int:
         node = self.known.setdefault((above, tag + kind), len(self.label))
         if node == len(self.label):
+            own = 1.0
+            for k in kind:
+                own *= WEIGHTS[k]
             self.above.append(above)
             self.label.append(tag)
-            self.aside.append(self.aside[above] or kind == "-")
-            self.main.append(self.main[above] or kind == "+")
+            self.own.append(own)
+            # Any number of names of one kind, one in the other, are still a weight.
+            self.weight.append(min(max(self.weight[above] * own, 1e-9), 1e3))
+            self.marked.append("+" in kind and "-" not in kind)
         return node
 
+    def up(self, node: int) -> Iterator[int]:
+        while node >= 0:
+            yield node
+            node = self.above[node]
+
 
 class _Open:
     """The open elements, with the places of each tag and of those that end tags do not reach out of."""
@@ -126,6 +147,7 @@ def text_nodes(html: str) -> tuple[list[str], list[int], list[int], Paths]:
         texts.append(unescape(text))
         path_of.append(open_.path())
         block_of.append(block)
+        paths.linked.append(open_.last(("a",)) >= 0)
 
     size = len(html)
     while at < size:
@@ -178,25 +200,47 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def chosen_paths(paths: Paths, order: list[int], nodes: np.ndarray, characters: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which of the paths in ``order`` hold content."""
-    aside = np.array([paths.aside[p] for p in order], bool)
-    main = np.array([paths.main[p] for p in order], bool) & ~aside
-    per = np.where(aside, 0, characters / np.maximum(nodes, 1))
-    dots = np.where(aside, 0, marks / np.maximum(nodes, 1))
-    fused = _smooth(per) * (1 + _smooth(dots))
-    fused[aside] = 0
-    keep = (fused > 0) & (fused >= min(fused.std(), fused.max()))
-    if (keep & main).any():
-        # The page says where its article is: what passed outside goes.
-        keep &= main
-    within = set()
-    for p, kept in zip(order, keep):
-        while kept and p >= 0 and p not in within:
-            within.add(p)
-            p = paths.above[p]
-    heads = np.array([paths.label[p] in _HEADINGS and paths.above[p] in within for p in order], bool)
-    return keep | (heads & ~aside & (characters > 0) & (main | ~(keep & main).any()))
+def _content_node(paths: Paths, order: list[int], mass: np.ndarray) -> int:
+    """The deepest marked element, or else the deepest container, that holds nearly all of the mass (of text, by path)."""
+    held = np.zeros(len(paths.label))
+    np.add.at(held, np.array(order), mass)
+    # Nodes come after those above them.
+    for node in range(len(held) - 1, 0, -1):
+        held[paths.above[node]] += held[node]
+    node, marked, children = 0, None, {}
+    for child, above in enumerate(paths.above):
+        children.setdefault(above, []).append(child)
+    while True:
+        marked = node if paths.marked[node] else marked
+        node_ = max(children.get(node, ()), key=held.__getitem__, default=None)
+        if node_ is None or held[node_] < HELD * held[0] or paths.label[node_] not in CONTAINERS:
+            return node if marked is None else marked
+        node = node_
+
+
+def chosen_paths(paths: Paths, order: list[int], nodes: np.ndarray, characters: np.ndarray, marks: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Which of the paths in ``order`` hold content. links: characters in links, of which menus are made."""
+    menu = links >= MENU * np.maximum(characters, 1)
+    weight = np.array([paths.weight[p] for p in order]) * np.where(menu, WEIGHTS["~"], 1.0)
+    fused = weight * _smooth(characters / np.maximum(nodes, 1)) * (1 + _smooth(marks / np.maximum(nodes, 1)))
+    mass = characters * weight
+    if not mass.sum():
+        return np.zeros(len(order), bool)
+    rank, worth = np.argsort(fused, kind="stable"), characters * fused
+    middle = fused[rank[np.searchsorted(np.cumsum(worth[rank]), worth.sum() / 2)]] if worth.sum() else 0.0
+    seeds = (fused >= SHARE * middle) & (characters > 0)
+    content = _content_node(paths, order, np.where(seeds, mass, 0))
+    # Names on the way from the content node to a path. Nodes come after those above them.
+    inside, doubt = np.zeros(len(paths.label), bool), np.zeros(len(paths.label), bool)
+    inside[content] = True
+    for node in range(content + 1, len(inside)):
+        inside[node] = inside[paths.above[node]]
+        doubt[node] = inside[node] and (doubt[paths.above[node]] or paths.own[node] < 1)
+    keep = inside[order] & (seeds | ~(doubt[order] | menu))
+    around = set(paths.up(content))
+    heads = np.array([paths.label[p] in _HEADINGS and paths.above[p] in around and paths.own[p] >= 1 for p in order], bool)
+    # Above the content node, a doubtful name covers the content as well.
+    return (keep | heads) & (characters > 0)
 
 
 def main_text(html: bytes | None) -> str:
@@ -211,7 +255,7 @@ def main_text(html: bytes | None) -> str:
     sizes = np.array([len("".join(t.split())) for t in texts])
     dots = np.array([len(_MARKS.findall(t)) for t in texts])
     n = len(number)
-    keep = chosen_paths(paths, list(number), np.bincount(ids, sizes > 0, n), np.bincount(ids, sizes, n), np.bincount(ids, dots, n))
+    keep = chosen_paths(paths, list(number), np.bincount(ids, sizes > 0, n), np.bincount(ids, sizes, n), np.bincount(ids, dots, n), np.bincount(ids, sizes * np.array(paths.linked), n))
     blocks: dict[int, list[str]] = {}
     for text, path, block in zip(texts, ids, block_of):
         if keep[path]:

@@ -254,6 +254,8 @@ def mined(vectors: DataFrame, label: str = "label", positives: int = POSITIVES,
     n, m = ready.count(), asked.count()
     parts = lambda count, size: max(1, min(-(-count // size), 20_000))
     tall, wide = (max(1, -(-count // (size * TOGETHER))) for count, size in ((m, ANCHORS), (n, CANDIDATES)))
+    # Enough groups of candidates for all tasks; no more than there are blocks.
+    wide = max(wide, min(-(-n // CANDIDATES), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // tall)))
     # By label, so that most blocks have few; the key parts a frequent label.
     ordered = ready.withColumn("cluster", F.lit(0)).repartitionByRange(parts(n, CANDIDATES), "label", KEY).sortWithinPartitions("label", KEY)
     blocks = shelf.put(ordered.mapInPandas(_packed(CANDIDATES, 0), _BLOCK), "candidates")

@@ -167,7 +167,7 @@ def test_html():
 def test_html_ratios_decide_where_the_article_is_marked():
     links = b"".join(b"<li><a href='/%d'>Go %d</a></li>" % (i, i) for i in range(8))
     texts = b"".join(b"<p>Long text, with many marks, and more of them. It goes on, here, for a while.</p>" for _ in range(3))
-    page = b"<body><main><h1>Head</h1>" + texts + b"<hr><div class='x'><span>y</span></div><ul>" + links + b"</ul></main></body>"
+    page = b"<body><main><h1>Head</h1>" + texts + b"<hr><div class='x'><span></span></div><ul>" + links + b"</ul></main></body>"
     assert html.main_text(page) == "Head " + " ".join(["Long text, with many marks, and more of them. It goes on, here, for a while."] * 3)
 
 
