@@ -47,6 +47,8 @@ PART_BYTES, PARTS = 4 << 20, (64, 4096)
 #: Sequences of different segments that meet in one task.
 TOGETHER = 2_000_000
 WORD, GRAM = 0, 1
+#: Sequences of a segment's chunks that are held beside those folded, at least.
+FOLD = 1 << 19
 _U8, _255 = np.uint64(8), np.uint64(255)
 _END_HASH = xxhash.xxh64_intdigest(END)
 
@@ -195,7 +197,9 @@ def _segments(segment: int):
                 places.append(place)
                 place += 1
                 size += len(text or b"") + 1
-            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(places, pa.int64()), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["seg", "place", "doc_id", "text"])
+            for s in range(0, len(keys), 256):
+                part = slice(s, s + 256)
+                yield pa.RecordBatch.from_arrays([pa.array(segs[part], pa.int64()), pa.array(places[part], pa.int64()), batch.column("doc_id").slice(s, 256), pa.array(texts[part], pa.binary())], names=["seg", "place", "doc_id", "text"])
 
     return run
 
@@ -226,13 +230,16 @@ def _keys(ids: list[int | None], made: list[tuple[bytes, np.ndarray]]) -> tuple[
     learnt = np.array([not held_out(i) for i in ids])
     words = [np.unique(hashes, return_counts=True) for _, hashes in made]
     words = _fold([(k, n * learn) for (k, n), learn in zip(words, learnt)])
-    grams = []
+    grams = [_fold([])]
     for owner, keys in _chunks([data for data, _ in made]):
         fit = learnt[owner]
         grams.append(np.unique(keys[fit], return_counts=True))
         if not fit.all():
             others = np.unique(keys[~fit])
             grams.append((others, np.zeros(len(others), np.int64)))
+        # What chunks add is folded in once it is as much as is held, so that memory follows the distinct sequences.
+        if sum(len(k) for k, _ in grams[1:]) > max(len(grams[0][0]), FOLD):
+            grams = [_fold(grams)]
     return words, _fold(grams)
 
 
@@ -435,11 +442,14 @@ def _scored(tokens: int, distinct: int, parts: int):
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """The rows of a segment, run by run as its pieces were made."""
-        texts = texts.sort_by("place")
         places = texts["place"].to_numpy()
+        if (np.diff(places) < 0).any():
+            texts = texts.sort_by("place")
+            places = texts["place"].to_numpy()
         got: dict[int, dict[tuple[int, int], bytes]] = {}
         for first, kind, part, vals in zip(*(answers[c].to_pylist() for c in ("first", "kind", "part", "vals"))):
             got.setdefault(first, {})[kind, part] = vals
+        del answers
         firsts, rows = sorted(got), []
         for first, end in zip(firsts, [*firsts[1:], len(places)]):
             own = texts.slice(np.searchsorted(places, first), end - first)
