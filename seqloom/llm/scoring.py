@@ -10,7 +10,7 @@ training, the mixture ends at the deepest one that was.
 
 All that training needs are the counts of six-byte sequences. They grow with the
 corpus and are counted over all of it, like the words of the base model. Texts are
-folded by segments of some 24 MB: a segment sends each of its sequences and words once,
+folded by segments of some 16 MB: a segment sends each of its sequences and words once,
 packed by parts, and gets the value of each back the same way. Parts are dealt by the
 latest three bytes of the context, so a part holds whole subtrees of depth three; the
 levels above are sums over a part's nodes, and sums of these.
@@ -41,7 +41,7 @@ from ._shared import KEY, Shelf, binary, keyed, mix, words_of
 
 DEPTH, END = 5, b"\n"
 #: Bytes of text in a segment, and in the pieces that it is worked through in.
-SEGMENT, CHUNK = 24 << 20, 2 << 20
+SEGMENT, CHUNK = 16 << 20, 2 << 20
 #: Parts: one for so many bytes of text, within bounds.
 PART_BYTES, PARTS = 4 << 20, (64, 4096)
 #: Sequences of different segments that meet in one task.
