@@ -10,16 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order as ordered
+
 BIN = 64
 
 
+def islands(df: DataFrame, chrom: str = "chrom", start: str = "st", end: str = "en", touching: bool = False) -> DataFrame:
+    """The distinct (chrom, start, end) with ``island``, a number that intervals share which overlap, directly or through others (with ``touching``, also those that only touch).
+
+    Both the reach of all intervals before and the number are running values over ranges of the order,
+    so a chromosome is dealt to as many tasks as its rows need.
+    """
+    places = df.select(chrom, start, end).distinct()
+    by = [F.col(chrom), F.col(start), F.col(end)]
+    # The greatest pair before is that of the latest chromosome, so the reach of another chromosome tells itself apart.
+    reached = ordered.running(places, by, {"reach": F.struct(F.col(chrom).alias("chrom"), F.col(end).alias("end"))}, how=F.max)
+    met = F.col(start) <= F.col("reach.end") if touching else F.col(start) < F.col("reach.end")
+    fresh = F.when(F.col("reach.chrom").eqNullSafe(F.col(chrom)) & met, 0).otherwise(1).cast("long")
+    counted = ordered.running(reached.withColumn("fresh", fresh).drop("reach"), by, {"before": F.col("fresh")})
+    return counted.select(chrom, start, end, (F.col("before") + F.col("fresh")).alias("island"))
+
+
 def merge(df: DataFrame, chrom: str = "chrom", start: str = "st", end: str = "en") -> DataFrame:
     """The union of intervals; those that touch are one."""
-    order = Window.partitionBy(chrom).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(chrom, start, end).withColumn("new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(chrom, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+    return islands(df, chrom, start, end, touching=True).groupBy(chrom, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
 def _binned(df: DataFrame, start: Column, end: Column, width: int, name: str) -> DataFrame:
@@ -64,7 +78,8 @@ def expand(df: DataFrame, by: int) -> DataFrame:
 def collapse(df: DataFrame, group: str, key: str) -> DataFrame:
     """Greedy: in order of (start, end, key), a row stays iff it starts at or after the end of the last that stayed.
 
-    The choice hangs on rows kept before, so it runs along each group's sorted array, without leaving the JVM.
+    A row that starts at or after all ends before it stays whatever was chosen before, so each island of overlaps is
+    decided by itself: along its sorted array, without leaving the JVM.
     """
     rows = F.sort_array(F.collect_list(F.struct("st", "en", key)))
     kept = F.aggregate(
@@ -74,7 +89,9 @@ def collapse(df: DataFrame, group: str, key: str) -> DataFrame:
         lambda a: a["kept"],
     )
     typed = df.select(group, F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), F.col(key).cast("long").alias(key))
-    return typed.groupBy(group).agg(rows.alias("rows")).select(group, F.inline(kept))
+    places = islands(typed, group).select(F.col(group).alias("_g"), F.col("st").alias("_st"), F.col("en").alias("_en"), "island")
+    same = typed[group].eqNullSafe(F.col("_g")) & typed["st"].eqNullSafe(F.col("_st")) & typed["en"].eqNullSafe(F.col("_en"))
+    return typed.join(places, same).groupBy(group, "island").agg(rows.alias("rows")).select(group, F.inline(kept))
 
 
 def previous_links(df: DataFrame, group: str, key: str) -> DataFrame:
