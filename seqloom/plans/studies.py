@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import as_number, hash_unit, keyed_hash, keyed_unit
-from ..operators import balancing, baselines, bootstrap, comparison, intervals, near_duplicates, networks, panels
+from ..operators import balancing, baselines, bootstrap, comparison, dataset, intervals, near_duplicates, networks, panels
+from ..sources import readers
 from .catalog import HIT, MOTIF, _6, C, _edges, _reps, lsh_pairs, query
-from .fixtures import WINDOWS, interval_sql, table, unit
+from .fixtures import CYCLE, LETTERS, WINDOWS, interval_sql, table, unit
 from .fixtures import intervals as ivs
 from .fixtures import windows
 
@@ -162,3 +163,75 @@ def cnn_effects(s, d):
     panel, _ = panels.by_stratum(_present(s, d), ["label", "present"], 16, component="gene")
     made = networks.substitutions(panel.select("doc_id", "seq"), "doc_id", "seq", NETWORK)
     return made.select("doc_id", "pos", "base", _6("exact").alias("exact"), _6("first_order").alias("first_order"))
+
+
+# The dataset and its split
+
+GENE, EXON = 1500, 300
+BUILD = dataset.Rules(buffer=50, assembly="documents", least_tpm=1.0)
+
+
+def _contigs(s, d):
+    """Each document's letters are a contig."""
+    docs = table(s, d, "documents").filter("text IS NOT NULL")
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, CYCLE.replace("U", "T"))
+    return docs.select(F.concat(F.lit("d"), C("doc_id").cast("string")).alias("contig"), letters.alias("sequence"))
+
+
+def _peaks(s, d):
+    """Returned items are peaks on the contig that has their part's number; some name no contig, or lie outside of it."""
+    rows = ivs(s, d, "R").filter("st < en")
+    return rows.select(F.concat(F.lit("d"), C("chrom").cast("string")).alias("chrom"), C("st").alias("start"), C("en").alias("end"), F.when(C("id") % 2 == 0, "+").otherwise("-").alias("strand"), (C("id") % 97).cast("double").alias("signal"))
+
+
+def _annotation(s, d):
+    """genes, exons, expression: a gene for each 1,500 letters, of which 1,450 are its span; exons of 120 in each 300."""
+    spans = _contigs(s, d).select(C("contig").alias("chrom"), F.length("sequence").alias("size"))
+    at = F.posexplode(F.sequence(F.lit(0), F.greatest(C("size") - 1, F.lit(0)), F.lit(GENE))).alias("i", "start")
+    genes = spans.select("chrom", "size", at).withColumn("gene_id", F.concat_ws(":", "chrom", C("i").cast("string"))).withColumn("end", F.least(C("start") + GENE - 50, "size")).filter("end > start")
+    exons = genes.select("gene_id", "chrom", "end", F.explode(F.sequence("start", C("end") - 1, F.lit(EXON))).alias("start")).select("gene_id", "chrom", "start", F.least(C("start") + 120, "end").alias("end"))
+    return genes.select("gene_id", C("gene_id").alias("gene_name"), "chrom", "start", "end"), exons, genes.select("gene_id", (hash_unit(C("gene_id")) * 10).alias("tpm"))
+
+
+def _chunks(s, d):
+    return readers.fasta_chunks(_contigs(s, d), BUILD.chunk)
+
+
+@query(f"""WITH RECURSIVE {interval_sql('iv', 'R')}, p AS (SELECT 'd' || CAST(iv.chrom AS VARCHAR) AS chrom, st AS ps, en AS pe, CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(id % 97 AS DOUBLE) AS signal, (st + en) // 2 - 100 AS st, (st + en) // 2 + 101 AS en FROM iv WHERE st < en),
+sizes AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chrom, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS size FROM documents WHERE text IS NOT NULL),
+o AS (SELECT p.*, row_number() OVER (PARTITION BY p.chrom ORDER BY p.st, ps, pe, strand, signal) AS rn FROM p JOIN sizes ON p.chrom = sizes.chrom WHERE st >= 0 AND en <= size),
+k AS (SELECT chrom, rn, en AS last, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.chrom, o.rn, CASE WHEN o.st >= k.last THEN o.en ELSE k.last END, o.st >= k.last FROM k JOIN o ON o.chrom = k.chrom AND o.rn = k.rn + 1)
+SELECT o.chrom, o.st, o.en, strand, ps AS peak_start, pe AS peak_end, signal FROM o JOIN k ON o.chrom = k.chrom AND o.rn = k.rn WHERE kept""")
+def positive_windows(s, d):
+    """Windows about peaks, within their contig, that do not overlap one that starts earlier and stays."""
+    return dataset.positives(_peaks(s, d), _chunks(s, d), BUILD)[0].select("chrom", "st", "en", "strand", "peak_start", "peak_end", "signal")
+
+
+@query(f"""WITH {interval_sql('iv', 'R')}, p AS (SELECT 'd' || CAST(iv.chrom AS VARCHAR) AS chrom, (st + en) // 2 - 100 AS st, (st + en) // 2 + 101 AS en FROM iv WHERE st < en),
+sizes AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chrom, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS size FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), '[a-z]'))
+SELECT CASE WHEN size IS NULL THEN 'chromosome_not_in_genome' ELSE 'window_out_of_bounds' END AS reason, p.chrom, st AS "start", en AS "end" FROM p LEFT JOIN sizes ON p.chrom = sizes.chrom WHERE size IS NULL OR st < 0 OR en > size""")
+def positives_out_of_place(s, d):
+    """Peaks whose contig is unknown or too short for their window."""
+    return dataset.positives(_peaks(s, d), _chunks(s, d), BUILD)[1].filter("reason IN ('chromosome_not_in_genome', 'window_out_of_bounds')")
+
+
+def _built(s, d):
+    genes, exons, expression = _annotation(s, d)
+    return dataset.build(_peaks(s, d), genes, exons, expression, _chunks(s, d), BUILD)
+
+
+@query()
+def dataset_rows(s, d):
+    return _built(s, d).rows.select("window_id", "chrom", "start", "end", "strand", "label", "gene_id", "context", "sequence", _6("gc").alias("gc"), _6("tpm").alias("tpm"))
+
+
+@query()
+def dataset_report(s, d):
+    return _built(s, d).report
+
+
+@query()
+def dataset_split(s, d):
+    """The dataset's rows with component and split, after the checks of the split."""
+    made = dataset.checked_split(_built(s, d).rows, most_lost=1.0)
+    return made.rows.select("window_id", "gene_id", "label", "component", "split")
