@@ -54,17 +54,24 @@ def order_controls(key: object, sequence: str, motif: Motif, threshold: float, m
 
 def outside_controls(key: object, sequence: str, motif: Motif, threshold: float, most: int = 20) -> list[str]:
     """Segments as wide as the motif, clear of all hits, in other orders, that make no hit."""
+    return [made for _, made in outside_edits(key, sequence, motif, threshold, most)]
+
+
+def outside_edits(key: object, sequence: str, motif: Motif, threshold: float, most: int = 20) -> list[tuple[int, str]]:
+    """The controls of ``outside_controls``, each with the start of its segment."""
     scores = scan_scores([sequence], motif)[0]
     width = len(motif)
     hits = np.flatnonzero(scores >= threshold)
     if not len(hits):
         return []
     clear = [i for i in range(len(sequence) - width + 1) if np.abs(hits - i).min() >= width]
-    rng, out = _generator(key, "outside"), []
+    rng, out, seen = _generator(key, "outside"), [], set()
     for _ in range(max(200 * most, 2000) if clear else 0):
-        made = _shuffled(sequence, int(rng.choice(clear)), width, rng)
-        if made != sequence and made not in out and set(np.flatnonzero(scan_scores([made], motif)[0] >= threshold)) <= set(hits):
-            out.append(made)
+        start = int(rng.choice(clear))
+        made = _shuffled(sequence, start, width, rng)
+        if made != sequence and made not in seen and set(np.flatnonzero(scan_scores([made], motif)[0] >= threshold)) <= set(hits):
+            out.append((start, made))
+            seen.add(made)
         if len(out) == most:
             break
     return out
