@@ -26,7 +26,7 @@ class Rules:
     """Windows of the edited panel and components it should have; edits of a hit, at most and at least; windows of a stratum of the panel of
     substitutions; the gap of logits that counts as none; least medians of correlation and of equal signs."""
 
-    windows: int = 1000
+    windows: int = 500
     components: int = 100
     most: int = 20
     least: int = 5
@@ -82,7 +82,7 @@ def edited(df: DataFrame, motif: Motif, threshold: float, rules: Rules = Rules()
     names = [key, *keep, "natural"]
     inputs = df.select(key, *keep, F.coalesce(F.col(sequence), F.lit("")).alias("natural"))
 
-    def edits_of(k: object, s: str) -> tuple[bool, list[dict[str, object]]]:
+    def one(k: object, s: str) -> tuple[bool, list[dict[str, object]]]:
         scores = scan_scores([s], motif)[0]
         hits = best_hits(scores, len(motif), threshold)
         if not hits:
@@ -99,7 +99,7 @@ def edited(df: DataFrame, motif: Motif, threshold: float, rules: Rules = Rules()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                made = [edits_of(k, s) for k, s in zip(part.column(0).to_pylist(), part.column(len(names) - 1).to_pylist())]
+                made = [one(k, s) for k, s in zip(part.column(0).to_pylist(), part.column(len(names) - 1).to_pylist())]
                 columns = [pa.array([x for x, _ in made], pa.bool_()), pa.array([bool(x) for _, x in made], pa.bool_()), pa.array([x for _, x in made], pa.list_(_EDIT))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, "instance", "informative", "edits"])
 
@@ -149,22 +149,39 @@ def decided(checks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return row.withColumn("usable", usable).withColumn("decision", F.when(usable, "first order").otherwise("exact"))
 
 
+def panel_edits(df: DataFrame, motif: Motif, threshold: float, rules: Rules = Rules(), key: str = "window_id", seed: str = "") -> tuple[DataFrame, DataFrame]:
+    """One row on the panel of ``panels.audit``, and its windows as ``edited`` gives them."""
+    panel, about = panels.audit(df, threshold, rules.windows, rules.components, key, seed=seed)
+    # The panel is cut off in one task; its windows are dealt again before they are edited.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return about, cut(edited(panel.repartition(parts, key), motif, threshold, rules, key))
+
+
+def substitution_checks(df: DataFrame, threshold: float, network: networks.Network, rules: Rules = Rules(), key: str = "window_id", seed: str = "") -> tuple[DataFrame, DataFrame]:
+    """The strata of the panel of substitutions, and key, status, spearman, sign_agreement of each of its windows."""
+    present = df.filter("label IN (0, 1)").withColumn("label", F.col("label").cast("long")).withColumn("present", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    wanted = df.sparkSession.createDataFrame([(y, p) for y in (1, 0) for p in (True, False)], "label long, present boolean")
+    chosen, strata = panels.by_stratum(present, ["label", "present"], rules.per, key=key, seed=seed, wanted=wanted)
+    chosen = cut(chosen.select(key, "seq"))
+    numbered = _numbered(chosen.select("seq").dropna())
+    agreed = numbered.join(attribution.agreement(networks.substitutions(numbered, "_place", "seq", network), "_place"), "_place").drop("_place")
+    return strata, chosen.join(agreed, "seq", "left").select(key, F.coalesce("status", F.lit("no sequence")).alias("status"), "spearman", "sign_agreement")
+
+
 def run(df: DataFrame, motif: Motif, threshold: float, network: networks.Network, rules: Rules = Rules(), key: str = "window_id", seed: str = "") -> Audit:
     """The audit of rows (key, component, label, seq, score) of one split; score is the best of the motif, null for sequences too short for it.
 
     ``key`` must tell rows apart. Rows without a label are in no stratum of the panel of substitutions. An empty table has
     empty tables of edits, preferences and checks, strata that are all short, and the decision to stay exact.
     """
-    panel, about = panels.audit(df, threshold, rules.windows, rules.components, key, seed=seed)
-    windows = cut(edited(panel, motif, threshold, rules, key))
-    edits = windows.select(key, "component", "label", "natural", F.inline("edits"))
+    about, windows = panel_edits(df, motif, threshold, rules, key, seed)
+    edits = edits_of(windows, key)
     values = by_component(preferences(edits, network, rules.tie, (key, "component")))
-    present = df.filter("label IN (0, 1)").withColumn("label", F.col("label").cast("long")).withColumn("present", F.coalesce(F.col("score") >= threshold, F.lit(False)))
-    wanted = df.sparkSession.createDataFrame([(y, p) for y in (1, 0) for p in (True, False)], "label long, present boolean")
-    chosen, strata = panels.by_stratum(present, ["label", "present"], rules.per, key=key, seed=seed, wanted=wanted)
-    chosen = cut(chosen.select(key, "seq"))
-    numbered = _numbered(chosen.select("seq").dropna())
-    effects = networks.substitutions(numbered, "_place", "seq", network)
-    agreed = numbered.join(attribution.agreement(effects, "_place"), "_place").drop("_place")
-    checks = cut(chosen.join(agreed, "seq", "left").select(key, F.coalesce("status", F.lit("no sequence")).alias("status"), "spearman", "sign_agreement"))
+    strata, checks = substitution_checks(df, threshold, network, rules, key, seed)
+    checks = cut(checks)
     return Audit(about, edits, controls_summary(windows), values, strata, checks, decided(checks, rules))
+
+
+def edits_of(windows: DataFrame, key: str = "window_id") -> DataFrame:
+    """The edits of ``panel_edits``, a row each."""
+    return windows.select(key, "component", "label", "natural", F.inline("edits"))

@@ -176,7 +176,10 @@ def predicted(df: DataFrame, key: str, sequence: str, network: Network, batch: i
 
 
 def substitutions(df: DataFrame, key: str, sequence: str, network: Network) -> DataFrame:
-    """key, pos, base, exact, first_order of every substitution. Sequences that are empty or have other letters give no rows."""
+    """key, pos, base, exact, first_order of every substitution. Sequences that are empty or have other letters give no rows.
+
+    A row takes hundreds of passes, so even few rows are dealt to as many tasks as the session shuffles to.
+    """
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,4 +192,6 @@ def substitutions(df: DataFrame, key: str, sequence: str, network: Network) -> D
                 other = np.array([BASES.find(b) for b in s])[pos] != base
                 yield pd.DataFrame({key: k, "pos": pos[other], "base": np.array(list(BASES))[base[other]], "exact": exact.ravel()[other], "first_order": first.ravel()[other]})
 
-    return df.select(F.col(key).cast("long").alias(key), sequence).mapInPandas(run, f"{key} long, pos long, base string, exact double, first_order double")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.col(key).cast("long").alias(key), sequence).repartition(parts, key)
+    return dealt.mapInPandas(run, f"{key} long, pos long, base string, exact double, first_order double")

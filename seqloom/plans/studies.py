@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import motif as mo
 from ..functions.hashing import as_number, hash_unit, keyed_hash, keyed_unit
-from ..operators import balancing, baselines, bootstrap, comparison, dataset, intervals, near_duplicates, networks, panels
+from ..operators import audit, balancing, baselines, bootstrap, comparison, dataset, intervals, near_duplicates, networks, panels
 from ..sources import readers
 from .catalog import HIT, MOTIF, _6, C, _edges, _reps, lsh_pairs, query
 from .fixtures import CYCLE, LETTERS, WINDOWS, interval_sql, table, unit
@@ -165,6 +166,42 @@ def cnn_effects(s, d):
     return made.select("doc_id", "pos", "base", _6("exact").alias("exact"), _6("first_order").alias("first_order"))
 
 
+# The audit of the network
+
+
+def _scored(s, d):
+    """The validation windows with the best score of the queries' motif."""
+    w = windows(s, d).filter("split = 'validation'").select("window_id", "doc_id", C("gene").alias("component"), "label", "seq")
+    best = mo.with_best(w, "doc_id", "seq", MOTIF, HIT).select(C("doc_id").alias("_d"), C("best").alias("score"))
+    return w.join(best, C("doc_id") == C("_d")).drop("doc_id", "_d")
+
+
+@query()
+def audit_edits(s, d):
+    """Every edit of the panel's windows, with its place, the scores of the hit before and after, and what it changes."""
+    made = audit.edits_of(audit.panel_edits(_scored(s, d), MOTIF, HIT)[1])
+    return made.select("window_id", "kind", "edit", "sequence", "start", "end", _6("score").alias("score"), _6("edited_score").alias("edited_score"), "new_hits", "pair_change")
+
+
+@query()
+def audit_controls(s, d):
+    """How many windows have a hit, edits of either kind, or too few; and whether all edits keep their bases."""
+    return audit.controls_summary(audit.panel_edits(_scored(s, d), MOTIF, HIT)[1]).withColumn("mean_pair_change", _6("mean_pair_change"))
+
+
+@query()
+def audit_preferences(s, d):
+    """How often the network prefers the natural sequence, by component and kind of edit."""
+    made = audit.preferences(audit.edits_of(audit.panel_edits(_scored(s, d), MOTIF, HIT)[1]), NETWORK)
+    return audit.by_component(made).select("kind", "component", "edits", _6("value").alias("value"))
+
+
+@query()
+def audit_decision(s, d):
+    """Whether first-order effects agree with exact ones well enough on the panel of substitutions."""
+    return audit.decided(audit.substitution_checks(_scored(s, d), HIT, NETWORK)[1]).withColumns({c: _6(c) for c in ("spearman", "sign_agreement")})
+
+
 # The dataset and its split
 
 GENE, EXON = 1500, 300
