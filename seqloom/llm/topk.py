@@ -181,20 +181,23 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     ready = shelf.put(good.select(KEY, F.coalesce("vec_id", F.lit(_LAST)).alias("vec_id"), F.col("vec_id").isNotNull().alias("named"), "vector", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).alias("square")), "ready")
     asked = ready.filter(F.col("named") & (F.col("vec_id") % every == 0))
     n, m = ready.count(), asked.count()
-    parts = lambda count, size: max(1, min(-(-count // size), 20_000))
+    # A partition holds several buckets: its rows stream through, and what the driver keeps of ranges and tasks stays as it is, whatever the rows.
+    most = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda count, size: max(1, min(-(-count // size), most))
     # The key splits runs of equal lengths, so one vector in very many copies still fills buckets evenly.
     sorted_ = ready.select(KEY, "vec_id", "named", "vector", "square").repartitionByRange(parts(n, BUCKET), F.desc("square"), KEY).sortWithinPartitions(F.desc("square"), KEY)
     buckets = shelf.put(sorted_.drop("square").mapInPandas(_pack(BUCKET), _PACKED).withColumn("slot", F.spark_partition_id()), "buckets")
     blocks = shelf.put(asked.select(KEY, "vec_id", "named", "vector", "square").repartitionByRange(parts(m, BLOCK), F.desc("square"), KEY).drop("square").mapInPandas(_pack(BLOCK), _PACKED), "blocks")
     named = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("n", "dims", "ids", "named", "keys", "vectors", *(["g"] if "g" in df.columns else []))])
-    # One bucket: at most 4,096 vectors.
-    top = named(buckets.orderBy(F.desc("longest")).limit(1), "top").withColumn("one", F.lit(1))
+    # One bucket, at most 4,096 vectors: the first of the longest vectors' range. It is chosen by its length alone, so no others' vectors move.
+    first = buckets.agg(F.max(F.struct("longest", -F.col("slot"))).alias("x")).first()["x"]
+    here = (F.col("slot") == -first[1]) & (F.col("longest") == first[0]) if first else F.lit(False)
+    top = named(buckets.filter(here).limit(1), "top").withColumn("one", F.lit(1))
     seeded = blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("one", F.lit(1)).join(F.broadcast(top), "one").drop("one")
     seeds = shelf.put(seeded.mapInPandas(_seed(k), f"{_PACKED}, block long, bound binary, need double"), "seeds")
     tall = max(1, -(-(-(-m // BLOCK)) // CELL))
-    wide = max(1, min(-(-n // BUCKET), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # Buckets are in the order of length by partition: a group is a run of partitions.
-    placed = buckets.select("n", "dims", "longest", "ids", "named", "keys", "vectors", F.floor(F.col("slot") * wide / parts(n, BUCKET)).cast("long").alias("g"))
+    # Partitions of buckets are ranges of length, and the groups.
+    placed = buckets.select("n", "dims", "longest", "ids", "named", "keys", "vectors", F.col("slot").cast("long").alias("g"))
     # A row for each group: at most twice the shuffle partitions.
     reach = F.array(*[F.struct(F.lit(r.g).alias("g"), F.lit(r.longest).alias("longest")) for r in placed.groupBy("g").agg(F.max("longest").alias("longest")).collect()] or [F.struct(F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("longest"))])
     left = seeds.withColumn("h", F.pmod(F.xxhash64("block"), F.lit(tall))).withColumn("g", F.explode(F.transform(F.filter(reach, lambda x: x["longest"] * (1 + SLACK) >= F.col("need")), lambda x: x["g"]))).drop("need")

@@ -128,3 +128,19 @@ def test_tree_finds_the_nearest_with_ties(k):
     number, gap = clusters.Tree(centroids).nearest(vectors)
     all_ = ((vectors[:, None] - centroids[None]) ** 2).sum(axis=2)
     assert (number == all_.argmin(axis=1)).all() and (gap == all_.min(axis=1)).all()
+
+
+def test_ranges_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Buckets are many more than partitions; results are those of all products."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(700)]
+    monkeypatch.setattr(topk, "BUCKET", 16)
+    seen = []
+    frame = type(spark.range(1))
+    plain = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by: seen.append(n) or plain(self, n, *by))
+    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    wanted = [(q, rank, v, s) for q in range(0, 700, 50) for rank, (s, v) in enumerate(sorted(((-int(whole[q] @ whole[v]), v) for v in range(700) if v != q))[:5], 1)]
+    assert got == sorted((q, r, v, -s) for q, r, v, s in wanted)
+    assert max(seen) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
