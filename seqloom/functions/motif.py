@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,12 +74,19 @@ def scan_scores(sequences: Sequence[str], motif: Motif) -> list[np.ndarray]:
     return [scores[i : i + n] for i, n in zip(first, counts)]
 
 
-def scan_flat(sequences: Sequence[str], motif: Motif) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of all starts, those of a sequence next to each other; where each sequence's begin, and how many it has."""
+@lru_cache
+def _table(motif: Motif) -> np.ndarray:
+    """What each letter adds at each position."""
     table = np.zeros((256, len(motif)))
     for j, row in enumerate(motif.log_odds()):
         for b, v in zip(BASES, row):
             table[ord(b), j] = v
+    return table
+
+
+def scan_flat(sequences: Sequence[str], motif: Motif) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of all starts, those of a sequence next to each other; where each sequence's begin, and how many it has."""
+    table = _table(motif)
     data = [s.encode("latin-1", "replace") for s in sequences]
     sizes = np.array([len(x) for x in data], np.int64)
     codes = np.frombuffer(b"".join(data), np.uint8)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.motif import Motif, best_hits, scan_scores
+from ..functions.sequence import BASES
 
 
 def _generator(*parts: object) -> np.random.Generator:
@@ -27,14 +28,30 @@ def _shuffled(sequence: str, start: int, width: int, rng: np.random.Generator) -
     return sequence[:start] + "".join(part) + sequence[start + width :]
 
 
+def _about(made: str, start: int, odds: list[dict[str, float]]) -> dict[int, float]:
+    """Scores of the starts whose window meets the motif-wide segment at ``start``: no others change when it is edited. Added up in the order of the scan."""
+    width = len(odds)
+    out = {}
+    for i in range(max(0, start - width + 1), min(len(made) - width, start + width - 1) + 1):
+        total = 0.0
+        for j in range(width):
+            total += odds[j].get(made[i + j], 0.0)
+        out[i] = total
+    return out
+
+
+def _odds(motif: Motif) -> list[dict[str, float]]:
+    return [dict(zip(BASES, row)) for row in motif.log_odds()]
+
+
 def order_controls(key: object, sequence: str, motif: Motif, threshold: float, most: int = 20) -> list[str]:
     """The best hit's bases in other orders: same composition, a lower score, and no hit that was not there."""
     scores = scan_scores([sequence], motif)[0]
     hits = best_hits(scores, len(motif), threshold)
     if not hits:
         return []
-    rng, out = _generator(key, "order"), []
-    before = set(np.flatnonzero(scores >= threshold))
+    rng, out, odds = _generator(key, "order"), [], _odds(motif)
+    before = set(np.flatnonzero(scores >= threshold).tolist())
     # Once every distinct order was drawn, no further draw can add one.
     part = sequence[hits[0] : hits[0] + len(motif)]
     orders, seen = math.factorial(len(part)) // math.prod(math.factorial(part.count(b)) for b in set(part)), set()
@@ -43,8 +60,8 @@ def order_controls(key: object, sequence: str, motif: Motif, threshold: float, m
             break
         made = _shuffled(sequence, hits[0], len(motif), rng)
         if made != sequence and made not in seen:
-            after = scan_scores([made], motif)[0]
-            if after[hits[0]] < scores[hits[0]] and set(np.flatnonzero(after >= threshold)) <= before - {hits[0]}:
+            after = _about(made, hits[0], odds)
+            if after[hits[0]] < scores[hits[0]] and {i for i, v in after.items() if v >= threshold} <= before - {hits[0]}:
                 out.append(made)
         seen.add(made)
         if len(out) == most:
@@ -65,11 +82,11 @@ def outside_edits(key: object, sequence: str, motif: Motif, threshold: float, mo
     if not len(hits):
         return []
     clear = [i for i in range(len(sequence) - width + 1) if np.abs(hits - i).min() >= width]
-    rng, out, seen = _generator(key, "outside"), [], set()
+    rng, out, seen, odds, held = _generator(key, "outside"), [], set(), _odds(motif), set(hits.tolist())
     for _ in range(max(200 * most, 2000) if clear else 0):
-        start = int(rng.choice(clear))
+        start = clear[int(rng.integers(0, len(clear)))]
         made = _shuffled(sequence, start, width, rng)
-        if made != sequence and made not in seen and set(np.flatnonzero(scan_scores([made], motif)[0] >= threshold)) <= set(hits):
+        if made != sequence and made not in seen and {i for i, v in _about(made, start, odds).items() if v >= threshold} <= held:
             out.append((start, made))
             seen.add(made)
         if len(out) == most:
@@ -77,18 +94,23 @@ def outside_edits(key: object, sequence: str, motif: Motif, threshold: float, mo
     return out
 
 
-def control_panel(df: DataFrame, motif: Motif, threshold: float, most: int = 20, least: int = 5) -> DataFrame:
-    """doc_id, kind, edit, sequence, informative: both kinds of controls of each row; rows with too few say why."""
+def control_panel(df: DataFrame, motif: Motif, threshold: float, most: int = 20, least: int = 5, kinds: tuple[str, ...] = ("order", "outside")) -> DataFrame:
+    """doc_id, kind, edit, sequence, informative: controls of the kinds of each row; rows with too few say why.
+
+    Rows are dealt to as many tasks as the session shuffles to, as a scan of a large row group is one task.
+    """
+    make_of = {"order": order_controls, "outside": outside_controls}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, sequence in zip(batch["doc_id"], batch["seq"]):
-                for kind, make in (("order", order_controls), ("outside", outside_controls)):
-                    made = make(key, sequence, motif, threshold, most)
+                for kind in kinds:
+                    made = make_of[kind](key, sequence, motif, threshold, most)
                     enough = len(made) >= least
                     reason = None if enough else f"fewer than {least} controls"
                     rows += [(key, kind, i, s, enough, reason) for i, s in enumerate(made)] or [(key, kind, -1, None, False, "no control")]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "edit", "sequence", "informative", "exclusion_reason"])
 
-    return df.select("doc_id", "seq").mapInPandas(run, "doc_id long, kind string, edit int, sequence string, informative boolean, exclusion_reason string")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select("doc_id", "seq").repartition(parts, "doc_id").mapInPandas(run, "doc_id long, kind string, edit int, sequence string, informative boolean, exclusion_reason string")
