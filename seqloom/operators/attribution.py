@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +39,32 @@ def effects_of(sequence: str, motif: Motif) -> tuple[np.ndarray, np.ndarray]:
     return exact, first
 
 
-def substitutions(df: DataFrame, key: str, sequence: str, motif: Motif) -> DataFrame:
-    """key, pos, base, exact, first_order: three rows for each position of each sequence, in Arrow batches."""
+def substitutions(df: DataFrame, key: str, sequence: str, motif: Motif, size: int = 64) -> DataFrame:
+    """key, pos, base, exact, first_order: three rows for each position of each sequence, in batches of ``size`` sequences.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Sequences are dealt to as many tasks as the session shuffles to, as a scan of a large row group is one task.
+    """
+    spelled = pa.array(list(BASES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, s in zip(batch[key], batch[sequence].fillna("")):
-                exact, first = effects_of(s, motif)
-                pos, base = np.divmod(np.arange(exact.size), 4)
-                other = np.array([BASES.find(b) for b in s])[pos] != base if len(s) else np.zeros(0, bool)
-                yield pd.DataFrame({key: k, "pos": pos[other], "base": np.array(list(BASES))[base[other]], "exact": exact.ravel()[other], "first_order": first.ravel()[other]})
+            for begin in range(0, batch.num_rows, size):
+                part = batch.slice(begin, size)
+                owner, places, bases, effects = [], [], [], ([], [])
+                for i, s in enumerate(part.column(1).to_pylist()):
+                    s = s or ""
+                    made = effects_of(s, motif)
+                    pos, base = np.divmod(np.arange(made[0].size), 4)
+                    other = np.array([BASES.find(b) for b in s], np.int64)[pos] != base
+                    owner.append(np.full(int(other.sum()), i))
+                    places.append(pos[other])
+                    bases.append(base[other])
+                    for held, x in zip(effects, made):
+                        held.append(x.ravel()[other])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(places)), spelled.take(pa.array(np.concatenate(bases))), *[pa.array(np.concatenate(x)) for x in effects]], names=[key, "pos", "base", "exact", "first_order"])
 
-    return df.select(F.col(key).cast("long").alias(key), sequence).mapInPandas(run, f"{key} long, pos long, base string, exact double, first_order double")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(F.col(key).cast("long").alias(key), sequence).repartition(parts, key).mapInArrow(run, f"{key} long, pos long, base string, exact double, first_order double")
 
 
 def agreement(effects: DataFrame, key: str, least: int = 3, flat: float = 1e-8) -> DataFrame:
