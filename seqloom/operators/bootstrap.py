@@ -4,7 +4,7 @@ A replicate draws as many components as there are, with replacement. How often i
 multinomial vector, which is parted along the order of components: of a range's draws, a
 binomial number falls in its first half. Each node of these halvings has its own generator, seeded by its
 place, which gives the numbers of all replicates at once; so any task can tell the counts of
-the components in its rows, by halving down to them, without draws or counts being shuffled.
+the components in its rows, by halving down to them, without draws or counts being shuffled. A process makes each once.
 
 Rows of one condition, seed, score, component and label are counted first. These cells are dealt by ranges of
 falling score. A first pass sums up each range's positives and rows, weighted by each replicate's
@@ -15,6 +15,7 @@ the average precision, rows of equal score entering together. No row exists for
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,16 +51,53 @@ def draw_counts(wanted: np.ndarray, n: int, replicates: int, seed: str) -> np.nd
     return out
 
 
+#: Of one table's draws (components, replicates, seed): the counts made so far, and the steps of components that are.
+_HELD: dict[tuple[int, int, str], tuple[np.ndarray, np.ndarray]] = {}
+STEP = 256
+
+
+def held_counts(wanted: np.ndarray, n: int, replicates: int, seed: str) -> np.ndarray:
+    """``draw_counts``, each made once in a process: they stay in a file without a name, as bytes, which the system holds in memory as far as it can."""
+    key = (n, replicates, seed)
+    if key not in _HELD:
+        _HELD.clear()
+        with tempfile.TemporaryFile() as file:
+            _HELD[key] = np.memmap(file, np.uint8, "w+", shape=(n, replicates)), np.zeros(-(-n // STEP), bool)
+    counts, ready = _HELD[key]
+    for step in np.unique(wanted // STEP):
+        if not ready[step]:
+            made = draw_counts(np.arange(step * STEP, min(n, (step + 1) * STEP)), n, replicates, seed)
+            if made.max() > 255:
+                return draw_counts(wanted, n, replicates, seed)
+            counts[step * STEP : (step + 1) * STEP] = made
+            ready[step] = True
+    return np.asarray(counts[wanted])
+
+
 def _cells(batches: Iterator[pa.RecordBatch], n: int, replicates: int, seed: str, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Group, range, scores, labels and weights (cells x replicates) of consecutive cells of one group."""
+    """Group, range, scores, positives and rows (scores x replicates) of consecutive cells of one group."""
     for batch in batches:
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", order.RANGE, "score", "label", "ordinal", "n")]
         for start in range(0, batch.num_rows, size):
             g, range_, score, label, ordinal, count = (c[start : start + size] for c in columns)
             wanted, at = np.unique(ordinal, return_inverse=True)
-            weights = draw_counts(wanted, n, replicates, seed)[at] * count[:, None].astype(np.float64)
-            for own in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
-                yield int(g[own[0]]), int(range_[own[0]]), score[own], label[own], weights[own]
+            counts = held_counts(wanted, n, replicates, seed)
+            # Whole numbers below 2**24 add up exactly in four bytes.
+            number = np.float32 if int(counts.max()) * int(count.sum()) < 1 << 24 else np.float64
+            weights = counts.astype(number)[at]
+            first = np.flatnonzero(np.r_[True, (np.diff(g) != 0) | (np.diff(score) != 0)])
+            hits, seen = _added(weights, np.where(label == 1, count, 0).astype(number), first), _added(weights, count.astype(number), first)
+            for own in np.split(np.arange(len(first)), np.flatnonzero(np.diff(g[first])) + 1):
+                yield int(g[first[own[0]]]), int(range_[first[own[0]]]), score[first[own]], hits[own].astype(np.float64), seen[own].astype(np.float64)
+
+
+def _added(weights: np.ndarray, times: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The rows times their numbers, added up from each first row to the next."""
+    if len(first) > 16:
+        return np.add.reduceat(weights * times[:, None], first, axis=0)
+    terms = np.zeros((len(first), len(times)), times.dtype)
+    terms[np.searchsorted(first, np.arange(len(times)), side="right") - 1, np.arange(len(times))] = times
+    return terms @ weights
 
 
 _VECTORS = "g long, range long, a binary, b binary"
@@ -70,10 +108,10 @@ def _totals(n: int, replicates: int, seed: str, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list[np.ndarray]] = {}
-        for g, range_, _, label, weights in _cells(batches, n, replicates, seed, size):
+        for g, range_, _, hits, seen in _cells(batches, n, replicates, seed, size):
             held = sums.setdefault((g, range_), [np.zeros(replicates), np.zeros(replicates)])
-            held[0] += weights[label == 1].sum(axis=0)
-            held[1] += weights.sum(axis=0)
+            held[0] += hits.sum(axis=0)
+            held[1] += seen.sum(axis=0)
         for (g, range_), (a, b) in sums.items():
             yield pa.RecordBatch.from_pydict({"g": [g], "range": [range_], "a": [a.tobytes()], "b": [b.tobytes()]})
 
@@ -94,16 +132,16 @@ def _parts(shared, n: int, replicates: int, seed: str, size: int):
             total += np.divide(new_hits * hits, seen, out=np.zeros(replicates), where=seen > 0)
             new_hits[:], new_seen[:] = 0, 0
 
-        for g, range_, score, label, weights in _cells(batches, n, replicates, seed, size):
+        for g, range_, score, hits, seen in _cells(batches, n, replicates, seed, size):
             if (g, range_) not in state:
                 state[g, range_] = [score[0], *(x.copy() for x in shared.value[g, range_]), *(np.zeros(replicates) for _ in range(3))]
             held = state[g, range_]
-            for tie in np.split(np.arange(len(score)), np.flatnonzero(np.diff(score)) + 1):
-                if score[tie[0]] != held[0]:
+            for tie in range(len(score)):
+                if score[tie] != held[0]:
                     close(held)
-                    held[0] = score[tie[0]]
-                held[3] += weights[tie][label[tie] == 1].sum(axis=0)
-                held[4] += weights[tie].sum(axis=0)
+                    held[0] = score[tie]
+                held[3] += hits[tie]
+                held[4] += seen[tie]
         for (g, range_), held in state.items():
             close(held)
             yield pa.RecordBatch.from_pydict({"g": [g], "range": [range_], "a": [held[5].tobytes()], "b": [b""]})
@@ -118,13 +156,14 @@ def replicated_ap(df: DataFrame, by: list[str], component: str = "component", sc
     """
     spark = df.sparkSession
     rows = df.select(*by, F.col(component).alias("component"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")).dropna(subset=["component", "score", "label"])
+    rows = cut(rows.groupBy(*by, "component", "score", "label").agg(F.count("*").alias("n")))
     numbered = cut(order.ordinals(rows.select("component").distinct(), [F.col("component")], "ordinal"))
     n = numbered.count()
     # Conditions and seeds: as many as models were trained.
     groups = cut(rows.select(*by).distinct().withColumn("g", F.monotonically_increasing_id()))
     same = [rows[c].eqNullSafe(groups[c]) for c in by]
-    named = rows.join(F.broadcast(groups), same).select("g", "component", "score", "label") if by else rows.withColumn("g", F.lit(0).cast("long"))
-    counted = named.groupBy("g", "component", "score", "label").agg(F.count("*").alias("n")).join(numbered, "component").drop("component")
+    named = rows.join(F.broadcast(groups), same).select("g", "component", "score", "label", "n") if by else rows.withColumn("g", F.lit(0).cast("long"))
+    counted = named.join(numbered, "component").drop("component")
     ranked = [F.col("g"), F.desc("score")]
     cells = order.ranges(counted, ranked).sortWithinPartitions(*ranked)
     # Two vectors a range and group that it has: bounded by partitions and groups, whatever the rows.
@@ -181,7 +220,7 @@ def paired_means(df: DataFrame, condition: str, first: object, second: object, s
             for start in range(0, batch.num_rows, CELLS):
                 part = batch.slice(start, CELLS)
                 wanted, at = np.unique(part.column("ordinal").to_numpy(), return_inverse=True)
-                counts, seeds = draw_counts(wanted, n, replicates, seed)[at], np.array(part.column("seed").to_pylist(), object)
+                counts, seeds = held_counts(wanted, n, replicates, seed)[at].astype(np.float64), np.array(part.column("seed").to_pylist(), object)
                 gaps = part.column("gap").to_numpy()
                 for s in set(seeds):
                     held, own = sums.setdefault(s, [np.zeros(replicates), np.zeros(replicates)]), seeds == s

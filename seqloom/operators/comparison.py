@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bootstrap
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -77,6 +78,8 @@ def specificity(preferences: DataFrame, first: object, second: object, rules: Ru
 
 def primary(scores: DataFrame, preferences: DataFrame, first: object = "C0", second: object = "C1", rules: Rules = Rules(), **options) -> DataFrame:
     """requirement, estimate, lo, hi, n, agreeing, passes: three rows."""
+    # A row for each condition, seed, component and kind: means of these are all that is asked for.
+    preferences = cut(preferences.groupBy("condition", "seed", "component", "kind").agg(F.avg("value").alias("value")))
     made = predictive(scores, first, second, rules, **options).unionByName(preference(preferences, first, second, rules, **options))
     return made.unionByName(specificity(preferences, first, second, rules, **options))
 
