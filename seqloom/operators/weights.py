@@ -13,11 +13,12 @@ def bin_of(x: Column, edges: list[Column]) -> Column:
 
 def balanced(df: DataFrame, stratum: str = "stratum", label: str = "label", clip: float = 5.0) -> DataFrame:
     """Adds w: rows of the stratum over twice the rows of its class in it, clipped, with mean one."""
-    n = F.count("*").over(Window.partitionBy(stratum))
-    ny = F.count("*").over(Window.partitionBy(stratum, label))
-    raw = df.withColumn("raw", F.least(n / (2 * ny), F.lit(clip)))
-    mean = raw.agg(F.avg("raw").alias("mean_raw"))
-    return raw.join(F.broadcast(mean)).withColumn("w", F.col("raw") / F.col("mean_raw")).drop("raw", "mean_raw")
+    # A row for each class of each stratum, so no stratum is sorted in one task.
+    counts = df.groupBy(F.col(stratum).alias("_s"), F.col(label).alias("_y")).agg(F.count("*").alias("ny")).withColumn("n", F.sum("ny").over(Window.partitionBy("_s")))
+    raw = counts.withColumn("raw", F.least(F.col("n") / (2 * F.col("ny")), F.lit(clip)))
+    mean = raw.agg((F.sum(F.col("raw") * F.col("ny")) / F.sum("ny")).alias("mean_raw"))
+    told = raw.join(F.broadcast(mean)).select("_s", "_y", (F.col("raw") / F.col("mean_raw")).alias("w"))
+    return df.join(F.broadcast(told), F.col(stratum).eqNullSafe(F.col("_s")) & F.col(label).eqNullSafe(F.col("_y"))).drop("_s", "_y")
 
 
 def standard(df: DataFrame, label: str = "label", classes: tuple[int, ...] = (0, 1)) -> DataFrame:

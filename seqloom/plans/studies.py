@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import motif as mo
 from ..functions.hashing import as_number, hash_unit, keyed_hash, keyed_unit
 from ..operators import audit, balancing, baselines, bootstrap, comparison, dataset, intervals, near_duplicates, networks, panels
+from ..operators.lineage import cut
 from ..sources import readers
 from .catalog import HIT, MOTIF, _6, C, _edges, _reps, lsh_pairs, query
 from .fixtures import CYCLE, LETTERS, WINDOWS, interval_sql, table, unit
@@ -134,11 +135,12 @@ def _baselines(s, d):
 
 
 def _balanced(s, d):
-    rows = _study(s, d)
+    # Of each training window what the weights need, made once: sequences are not read again.
+    counts = [(F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).alias(f"n_{b}") for b in "ACGU"]
+    train = cut(_study(s, d).filter("split = 'train'").select("doc_id", "label", "split", "gc", "tpm", "log1p_tpm", "context", *counts))
     # One row: the edges of the bins.
-    e = _edges(rows).first()
-    train = rows.filter("split = 'train'").select("doc_id", "label", "gc", "log1p_tpm", "context", *[(F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).alias(f"n_{b}") for b in "ACGU"])
-    return balancing.weighted(train, [e[f"gc_{i}"] for i in range(4)], [e[f"tpm_{i}"] for i in range(2)], LANGUAGES[:3], residual=("n_A", "n_C", "n_G", "n_U"))
+    e = _edges(train).first()
+    return balancing.weighted(train.drop("split", "tpm"), [e[f"gc_{i}"] for i in range(4)], [e[f"tpm_{i}"] for i in range(2)], LANGUAGES[:3], residual=("n_A", "n_C", "n_G", "n_U"))
 
 
 @query()
