@@ -211,10 +211,10 @@ BUILD = dataset.Rules(buffer=50, assembly="documents", least_tpm=1.0)
 
 
 def _contigs(s, d):
-    """Each document's letters are a contig."""
-    docs = table(s, d, "documents").filter("text IS NOT NULL")
+    """Each document's letters are a contig. Spelled once, by all tasks, as sizes, genes and each look at the letters need them anew."""
+    docs = table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", "text").repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
     letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, CYCLE.replace("U", "T"))
-    return docs.select(F.concat(F.lit("d"), C("doc_id").cast("string")).alias("contig"), letters.alias("sequence"))
+    return cut(docs.select(F.concat(F.lit("d"), C("doc_id").cast("string")).alias("contig"), letters.alias("sequence")))
 
 
 def _peaks(s, d):
@@ -223,17 +223,19 @@ def _peaks(s, d):
     return rows.select(F.concat(F.lit("d"), C("chrom").cast("string")).alias("chrom"), C("st").alias("start"), C("en").alias("end"), F.when(C("id") % 2 == 0, "+").otherwise("-").alias("strand"), (C("id") % 97).cast("double").alias("signal"))
 
 
-def _annotation(s, d):
+def _annotation(contigs):
     """genes, exons, expression: a gene for each 1,500 letters, of which 1,450 are its span; exons of 120 in each 300."""
-    spans = _contigs(s, d).select(C("contig").alias("chrom"), F.length("sequence").alias("size"))
+    spans = contigs.select(C("contig").alias("chrom"), F.length("sequence").alias("size"))
     at = F.posexplode(F.sequence(F.lit(0), F.greatest(C("size") - 1, F.lit(0)), F.lit(GENE))).alias("i", "start")
+    # Small beside the letters; genes, exons, expression and the looks at each of them start from it.
+    spans = cut(spans)
     genes = spans.select("chrom", "size", at).withColumn("gene_id", F.concat_ws(":", "chrom", C("i").cast("string"))).withColumn("end", F.least(C("start") + GENE - 50, "size")).filter("end > start")
     exons = genes.select("gene_id", "chrom", "end", F.explode(F.sequence("start", C("end") - 1, F.lit(EXON))).alias("start")).select("gene_id", "chrom", "start", F.least(C("start") + 120, "end").alias("end"))
     return genes.select("gene_id", C("gene_id").alias("gene_name"), "chrom", "start", "end"), exons, genes.select("gene_id", (hash_unit(C("gene_id")) * 10).alias("tpm"))
 
 
-def _chunks(s, d):
-    return readers.fasta_chunks(_contigs(s, d), BUILD.chunk)
+def _chunks(contigs):
+    return readers.fasta_chunks(contigs, BUILD.chunk)
 
 
 @query(f"""WITH RECURSIVE {interval_sql('iv', 'R')}, p AS (SELECT 'd' || CAST(iv.chrom AS VARCHAR) AS chrom, st AS ps, en AS pe, CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(id % 97 AS DOUBLE) AS signal, (st + en) // 2 - 100 AS st, (st + en) // 2 + 101 AS en FROM iv WHERE st < en),
@@ -243,7 +245,7 @@ k AS (SELECT chrom, rn, en AS last, true AS kept FROM o WHERE rn = 1 UNION ALL S
 SELECT o.chrom, o.st, o.en, strand, ps AS peak_start, pe AS peak_end, signal FROM o JOIN k ON o.chrom = k.chrom AND o.rn = k.rn WHERE kept""")
 def positive_windows(s, d):
     """Windows about peaks, within their contig, that do not overlap one that starts earlier and stays."""
-    return dataset.positives(_peaks(s, d), _chunks(s, d), BUILD)[0].select("chrom", "st", "en", "strand", "peak_start", "peak_end", "signal")
+    return dataset.positives(_peaks(s, d), _chunks(_contigs(s, d)), BUILD)[0].select("chrom", "st", "en", "strand", "peak_start", "peak_end", "signal")
 
 
 @query(f"""WITH {interval_sql('iv', 'R')}, p AS (SELECT 'd' || CAST(iv.chrom AS VARCHAR) AS chrom, (st + en) // 2 - 100 AS st, (st + en) // 2 + 101 AS en FROM iv WHERE st < en),
@@ -251,12 +253,12 @@ sizes AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS chrom, length(regexp_replace(
 SELECT CASE WHEN size IS NULL THEN 'chromosome_not_in_genome' ELSE 'window_out_of_bounds' END AS reason, p.chrom, st AS "start", en AS "end" FROM p LEFT JOIN sizes ON p.chrom = sizes.chrom WHERE size IS NULL OR st < 0 OR en > size""")
 def positives_out_of_place(s, d):
     """Peaks whose contig is unknown or too short for their window."""
-    return dataset.positives(_peaks(s, d), _chunks(s, d), BUILD)[1].filter("reason IN ('chromosome_not_in_genome', 'window_out_of_bounds')")
+    return dataset.positives(_peaks(s, d), _chunks(_contigs(s, d)), BUILD)[1].filter("reason IN ('chromosome_not_in_genome', 'window_out_of_bounds')")
 
 
 def _built(s, d):
-    genes, exons, expression = _annotation(s, d)
-    return dataset.build(_peaks(s, d), genes, exons, expression, _chunks(s, d), BUILD)
+    contigs = _contigs(s, d)
+    return dataset.build(_peaks(s, d), *_annotation(contigs), _chunks(contigs), BUILD)
 
 
 @query()
