@@ -15,8 +15,9 @@ hands on at most k rows for each query and cell.
 Components are floor(256 x). Products are exact whole numbers, whatever the components; those beyond a
 long count as the nearest long. Bounds are doubles and let out by a margin.
 
-Groups of buckets are cut in the order of length. A block of queries is copied to the groups only whose
-longest vector can reach what one of its queries still needs.
+Groups of buckets are cut in the order of length, four cells of the grid for each core. A block of queries is
+copied to the groups only whose longest vector can reach what one of its queries still needs. Blocks and buckets
+meet by a shuffle, never by a broadcast: the copies of a block are as many as groups, which no size of a file tells.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 take no part; shorter vectors are filled up with zeros; equal scores go to the
@@ -46,6 +47,11 @@ _LAST = np.iinfo(np.int64).max
 _PACKED = "n int, dims int, longest double, ids binary, named binary, keys binary, vectors binary"
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in two bytes each where they fit, else as doubles."""
+    return x.astype(np.int16 if np.abs(x).max(initial=0) < 1 << 15 else np.float64)
+
+
 def _pack(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def emit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +62,7 @@ def _pack(size: int):
             length = lengths(made)
             order = np.lexsort((rows[KEY].to_numpy(), -length))
             ids, keys = rows["vec_id"].to_numpy(np.int64)[order], rows[KEY].to_numpy(np.int64)[order]
-            return pd.DataFrame({"n": [len(rows)], "dims": [dims], "longest": [float(length.max())], "ids": [ids.tobytes()], "named": [rows["named"].to_numpy(bool)[order].tobytes()], "keys": [keys.tobytes()], "vectors": [made[order].astype(np.float64).tobytes()]})
+            return pd.DataFrame({"n": [len(rows)], "dims": [dims], "longest": [float(length.max())], "ids": [ids.tobytes()], "named": [rows["named"].to_numpy(bool)[order].tobytes()], "keys": [keys.tobytes()], "vectors": [_narrow(made[order]).tobytes()]})
 
         held: list[pd.DataFrame] = []
         for batch in batches:
@@ -77,7 +83,8 @@ class Block:
 
     def __init__(self, n: int, dims: int, ids: bytes, named: bytes, keys: bytes, vectors: bytes) -> None:
         self.ids, self.named, self.keys = np.frombuffer(ids, np.int64), np.frombuffer(named, bool), np.frombuffer(keys, np.int64)
-        self.vectors = np.frombuffer(vectors, np.float64).reshape(n, dims)
+        kind = np.int16 if len(vectors) == 2 * n * dims else np.float64
+        self.vectors = np.frombuffer(vectors, kind).reshape(n, dims).astype(np.float64)
         self.length = lengths(self.vectors)
 
 
@@ -196,13 +203,14 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     seeded = blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("one", F.lit(1)).join(F.broadcast(top), "one").drop("one")
     seeds = shelf.put(seeded.mapInPandas(_seed(k), f"{_PACKED}, block long, bound binary, need double"), "seeds")
     tall = max(1, -(-(-(-m // BLOCK)) // CELL))
-    # Partitions of buckets are ranges of length, and the groups.
-    placed = buckets.select("n", "dims", "longest", "ids", "named", "keys", "vectors", F.col("slot").cast("long").alias("g"))
-    # A row for each group: at most twice the shuffle partitions.
+    # Partitions of buckets are ranges of length; some that follow each other make a group.
+    wide, slots = max(1, 4 * spark.sparkContext.defaultParallelism // tall), parts(n, BUCKET)
+    placed = buckets.select("n", "dims", "longest", "ids", "named", "keys", "vectors", F.floor(F.col("slot") * min(wide, slots) / slots).alias("g"))
+    # A row for each group: at most four for each core.
     reach = F.array(*[F.struct(F.lit(r.g).alias("g"), F.lit(r.longest).alias("longest")) for r in placed.groupBy("g").agg(F.max("longest").alias("longest")).collect()] or [F.struct(F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("longest"))])
     left = seeds.withColumn("h", F.pmod(F.xxhash64("block"), F.lit(tall))).withColumn("g", F.explode(F.transform(F.filter(reach, lambda x: x["longest"] * (1 + SLACK) >= F.col("need")), lambda x: x["g"]))).drop("need")
     right = named(placed, "b").withColumn("g", F.col("b_g")).drop("b_g").withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tall - 1).cast("long"))))
-    met = right.join(left, ["g", "h"]).drop("g", "h")
+    met = right.hint("merge").join(left, ["g", "h"]).drop("g", "h")
     found = met.mapInPandas(_search(k), "query_id long, query_key long, vec_named boolean, vec_id long, vec_key long, score long")
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), F.desc("vec_named"), "vec_id", "vec_key")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

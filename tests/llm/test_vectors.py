@@ -144,3 +144,20 @@ def test_ranges_do_not_grow_with_the_rows(spark, monkeypatch):
     wanted = [(q, rank, v, s) for q in range(0, 700, 50) for rank, (s, v) in enumerate(sorted(((-int(whole[q] @ whole[v]), v) for v in range(700) if v != q))[:5], 1)]
     assert got == sorted((q, r, v, -s) for q, r, v, s in wanted)
     assert max(seen) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_blocks_meet_buckets_without_a_broadcast(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], 1) for i in range(300)]
+    found = topk.search(spark.createDataFrame(rows, SCHEMA))
+    # Blocks are copied to groups after the scan, so the size of their files says nothing of what a broadcast would hold.
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30
+
+
+def test_vectors_are_packed_in_two_bytes_where_they_fit():
+    small, large = np.array([[-32767.0, 32767.0]]), np.array([[-32768.0, 1.0]])
+    assert topk._narrow(small).dtype == np.int16 and topk._narrow(large).dtype == np.float64
+    for x in (small, large):
+        block = topk.Block(1, 2, np.zeros(1, np.int64).tobytes(), np.ones(1, bool).tobytes(), np.zeros(1, np.int64).tobytes(), topk._narrow(x).tobytes())
+        assert block.vectors.tolist() == x.tolist()
