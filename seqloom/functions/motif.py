@@ -75,7 +75,7 @@ def scan_scores(sequences: Sequence[str], motif: Motif) -> list[np.ndarray]:
 
 
 @lru_cache
-def _table(motif: Motif) -> np.ndarray:
+def score_table(motif: Motif) -> np.ndarray:
     """What each letter adds at each position."""
     table = np.zeros((256, len(motif)), order="F")
     for j, row in enumerate(motif.log_odds()):
@@ -86,7 +86,7 @@ def _table(motif: Motif) -> np.ndarray:
 
 def scan_flat(sequences: Sequence[str], motif: Motif) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of all starts, those of a sequence next to each other; where each sequence's begin, and how many it has."""
-    table = _table(motif)
+    table = score_table(motif)
     data = [s.encode("latin-1", "replace") for s in sequences]
     sizes = np.array([len(x) for x in data], np.int64)
     codes = np.frombuffer(b"".join(data), np.uint8)
