@@ -103,7 +103,8 @@ def order_controls(key: object, sequence: str, motif: Motif, threshold: float, m
     while left > 0 and len(out) < most and len(seen) < orders:
         # Distinct ones that were not drawn before, in the order of the draws.
         fresh = list(dict.fromkeys(x for x in _orders(part, min(left, some), rng) if x not in seen))
-        left -= some
+        # Twice as many the next time: with many orders of which few will do, nearly all get drawn.
+        left, some = left - some, 2 * some
         if fresh:
             at = [start] * len(fresh)
             after = near.scores(at, fresh)
@@ -134,12 +135,13 @@ def outside_edits(key: object, sequence: str, motif: Motif, threshold: float, mo
     left = max(200 * most, 2000) if clear else 0
     while left > 0 and len(out) < most:
         starts, parts = [], []
-        for _ in range(min(left, most + 4)):
+        n = min(left, most - len(out) + 4)
+        for _ in range(n):
             starts.append(clear[int(rng.integers(0, len(clear)))])
             segment = list(sequence[starts[-1] : starts[-1] + width])
             rng.shuffle(segment)
             parts.append("".join(segment))
-        left -= most + 4
+        left -= n
         for start, part, ok in zip(starts, parts, near.clean(starts, near.scores(starts, parts), held)):
             made = sequence[:start] + part + sequence[start + width :]
             if ok and made not in seen:
